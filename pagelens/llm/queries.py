@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.llm import license_scan, mixing, near_dedup, packing, substring_dedup, url_filters
+from pagelens.llm import license_scan, media, mixing, near_dedup, packing, substring_dedup, toxicity, url_filters
 from pagelens.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,10 +22,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "n_shingles")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return url_filters.filter_urls(url_filters.dated_captures(pages), url_filters.dated_entries(pages))
@@ -44,7 +52,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_minhash_near_dedup, op5_mixing_sources, op7_url_filters, op8_packing, op9_license_scans, op10_substring_dedup)
+    named = (op1_minhash_near_dedup, op2_media_columns, op5_mixing_sources, op6_toxicity, op7_url_filters, op8_packing, op9_license_scans, op10_substring_dedup)
     return {q.__name__: q for q in named}
 
 

@@ -75,11 +75,11 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         yield batch.slice(first)
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the index of each text's first word (one more at the end)."""
     n = len(data)
     gap = np.ones(n + 2, bool)
-    gap[1:-1] = SPACE[data]
+    gap[1:-1] = breaks[data]
     edge = np.zeros(n + 1, bool)  # a text ends where the next begins, without white space between
     edge[offsets] = True
     starts = np.flatnonzero(~gap[1:] & (gap[:-1] | edge))
