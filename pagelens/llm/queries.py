@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.llm import license_scan, media, mixing, near_dedup, packing, substring_dedup, toxicity, url_filters
+from pagelens.llm import embedding_dedup, html_main, license_scan, media, mixing, near_dedup, packing, substring_dedup, toxicity, url_filters
 from pagelens.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,14 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,7 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_minhash_near_dedup, op2_media_columns, op5_mixing_sources, op6_toxicity, op7_url_filters, op8_packing, op9_license_scans, op10_substring_dedup)
+    named = (op1_minhash_near_dedup, op2_media_columns, op3_html_extraction, op4_embedding_near_dedup, op5_mixing_sources, op6_toxicity, op7_url_filters, op8_packing, op9_license_scans, op10_substring_dedup)
     return {q.__name__: q for q in named}
 
 
