@@ -41,14 +41,14 @@ def json_ld_facts(blocks: list[str] | None) -> dict:
     out = {"blocks": 0, "types": set(), "same_as": set(), "ids": set(), "texts": set(), "dates": set(), "relations": 0}
     for block in blocks if blocks is not None else ():
         try:
-            todo = [json.loads(block)]
+            todo = [(json.loads(block), 1)]
         except (ValueError, RecursionError):
             continue
         out["blocks"] += 1
         while todo:
-            node = todo.pop()
+            node, times = todo.pop()
             if isinstance(node, list):
-                todo += node
+                todo += [(n, times) for n in node]
             if not isinstance(node, dict):
                 continue
             kinds = node.get("@type")
@@ -61,8 +61,9 @@ def json_ld_facts(blocks: list[str] | None) -> dict:
                 out["ids"].add(node["@id"])
             out["dates"] |= {k for k in DATE_KEYS if isinstance(node.get(k), str) and node[k].strip()}
             out["texts"] |= {t[:140] for k in TEXT_KEYS if isinstance(node.get(k), str) and 8 <= len(t := plain(node[k])) <= 220}
-            out["relations"] += sum(k.lower() in RELATIONS and isinstance(v, (dict, list, str)) for k, v in node.items())
-            todo += [node["@graph"]] * ("@graph" in node) + [v for v in node.values() if isinstance(v, (dict, list))]
+            out["relations"] += times * sum(k.lower() in RELATIONS and isinstance(v, (dict, list, str)) for k, v in node.items())
+            todo += [(v, 2 * times if k == "@graph" else times) for k, v in node.items() if isinstance(v, (dict, list))]
+    out["relations"] = min(out["relations"], 2**31 - 1)
     return {k: sorted(v) if isinstance(v, set) else v for k, v in out.items()}
 
 
