@@ -171,3 +171,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     n_links = F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1 + F.col("links")).cast("long")
     out = out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+ORACLE = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v),
+l as (select a.vec_id as i, b.vec_id as j from u a join u b on a.vec_id <> b.vec_id where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+r(i, j) as (select vec_id, vec_id from u union select r.i, l.j from r join l on r.j = l.i),
+c as (select i, min(j) as component_id from r group by i), n as (select i, count(*) as n from l group by i)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from u join c on u.vec_id = c.i left join n on u.vec_id = n.i
+"""

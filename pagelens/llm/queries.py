@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelens.llm import embedding_dedup, html_main, license_scan, media, mixing, near_dedup, packing, substring_dedup, toxicity, url_filters
 from pagelens.llm.common import read
@@ -44,7 +45,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    return url_filters.filter_urls(url_filters.dated_captures(pages), url_filters.dated_entries(pages))
+    found = url_filters.filter_urls(url_filters.dated_captures(pages), url_filters.dated_entries(pages))
+    return found.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "valid_from")})
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing_sources": mixing.ORACLE, "op7_url_filters": url_filters.ORACLE}
+    return {
+        "op4_embedding_near_dedup": embedding_dedup.ORACLE,
+        "op5_mixing_sources": mixing.ORACLE,
+        "op7_url_filters": url_filters.ORACLE,
+        "op10_substring_dedup": substring_dedup.ORACLE,
+    }

@@ -223,3 +223,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("own_row.text"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kinds.get("n_chars", "long"))).otherwise(F.col("own_row.n_chars")) if "n_chars" in names else None}
     return out.select(*[(changed[c] if changed.get(c) is not None else F.col(f"own_row.`{c}`")).alias(c) for c in names])
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+w as (select doc_id, len(words) as n, unnest(words) as word, generate_subscripts(words, 1) as p from d),
+s as (select *, string_agg(word, ' ') over (partition by doc_id order by p rows between current row and 49 following) as win from w),
+f as (select win, min(doc_id) as first from s where p <= n - 49 group by win having count(distinct doc_id) > 1),
+h as (select s.doc_id, s.p, s.word, coalesce(s.p <= s.n - 49 and f.first < s.doc_id, false)::int as hit from s left join f on s.win = f.win),
+g as (select *, max(hit) over (partition by doc_id order by p rows between 49 preceding and current row) as gone from h),
+k as (select doc_id, sum(gone)::bigint as n_removed, string_agg(word, ' ' order by p) filter (where gone = 0) as kept from g group by doc_id)
+select d.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k on d.doc_id = k.doc_id
+"""

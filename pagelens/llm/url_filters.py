@@ -96,6 +96,6 @@ m as (select c.page_id, c.url, c.fetched_on, c.host, v.*,
            and v.valid_from <= c.fetched_on and (v.valid_to is null or c.fetched_on < v.valid_to)
            and (v.pattern = c.host or v.pattern = c.host || '/' || c.segment
                 or ends_with(c.host, '.' || v.pattern) or ends_with(c.host || '/' || c.segment, '.' || v.pattern)))
-select c.page_id, c.url, c.fetched_on, c.host, m.pattern is not null as blocked, m.pattern, m.category, m.valid_from
+select c.page_id, c.url, c.fetched_on::varchar as fetched_on, c.host, m.pattern is not null as blocked, m.pattern, m.category, m.valid_from::varchar as valid_from
 from c left join m on c.page_id = m.page_id and c.url = m.url and m.rn = 1
 """
