@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pagelens.llm.wordnum import SPACE, U64, find_words, mix, pieces, text_bytes, word_hashes
 
 CELLS = 1 << 20
-MOST_LABELLED = 12_000
+MOST_LABELLED = 6_000
 GRADES = 4  # 0 clean, 1 to 3 toxic
 PREFIXES = (4, 5, 6, 7)
 SCREEN = 6.0  # z value of a feature's mean among toxic against clean texts
@@ -44,7 +44,7 @@ def _features(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _values(counts: np.ndarray) -> np.ndarray:
-    return np.log1p(counts)
+    return np.log1p(counts, dtype=np.float32)
 
 
 def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +62,7 @@ class Model:
     cells: np.ndarray  # sorted
     weights: np.ndarray
     cuts: np.ndarray  # ascending
+    limit: float = 0.5  # of P(grade >= 1), beyond which a text is toxic
 
     def at_least(self, margin: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.. of each margin."""
@@ -70,7 +71,7 @@ class Model:
 
 def family_weights(cells: list[np.ndarray]) -> np.ndarray:
     """1 / the number of sampled texts that share min-hashes of uncommon words: a family of copies counts about once."""
-    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *cells]), minlength=CELLS)
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *cells]), minlength=CELLS)
     root = list(range(len(cells)))
 
     def find(i: int) -> int:
@@ -163,7 +164,9 @@ def fit(sample: Sample, grades: np.ndarray, rounds: int = 500) -> Model:
         w = np.sign(w) * np.maximum(np.abs(w) - step * PENALTY / total, 0)
         cuts = np.maximum.accumulate(cuts - STEP / np.sqrt(scale_c) * g_c + np.arange(GRADES - 1) * 1e-6)
     used = np.flatnonzero(w)
-    return Model(kept[used], w[used], cuts)
+    # the limit that all but one in a thousand clean labelled texts stay under
+    p = 1 / (1 + np.exp(np.clip(cuts[0] - x[grades == 0] @ w.astype(np.float32), -40, 40)))
+    return Model(kept[used], w[used], cuts, float(np.clip(np.quantile(p, 0.999), 0.15, 0.5)) if len(p) else 0.5)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Sample:
@@ -171,11 +174,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
     few = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    rows = texts.select("text", "toxic").mapInArrow(_cells_of, "toxic int, cells array<int>, counts array<int>").limit(most).toPandas()
-    rows = rows.assign(size=rows["cells"].map(len), key=rows["cells"].map(lambda c: int(np.sum(c, dtype=np.int64)))).sort_values(["size", "key", "toxic"])  # an order that does not depend on tasks
-    cells = [np.asarray(c, np.int64) for c in rows["cells"]]
-    flat = lambda lists: np.concatenate([np.zeros(0, np.int64), *lists])
-    return Sample(np.repeat(np.arange(len(cells)), rows["size"]), flat(cells), flat([np.asarray(c, np.int64) for c in rows["counts"]]), rows["toxic"].to_numpy(np.int64), family_weights(cells))
+    table = texts.select("text", "toxic").mapInArrow(_cells_of, "toxic int, cells array<int>, counts array<int>").limit(most).toArrow().combine_chunks()
+    cells = [np.asarray(c.values, np.int32) for c in table.column("cells")]
+    counts, toxic = [np.asarray(c.values, np.int32) for c in table.column("counts")], np.asarray(table.column("toxic"), np.int64)
+    order = sorted(range(len(cells)), key=lambda i: (len(cells[i]), int(cells[i].sum(dtype=np.int64)), toxic[i]))  # does not depend on tasks
+    cells, counts = [cells[i] for i in order], [counts[i] for i in order]
+    of = np.repeat(np.arange(len(cells), dtype=np.int32), [len(c) for c in cells])
+    flat = lambda lists: np.concatenate([np.zeros(0, np.int32), *lists])
+    return Sample(of, flat(cells), flat(counts), toxic[order], family_weights(cells))
 
 
 def _scored(model: Broadcast):
@@ -190,7 +196,7 @@ def _scored(model: Broadcast):
                 used = np.flatnonzero(here >= 0)
                 both, counts = np.unique(rows[used] * CELLS + here[used], return_counts=True)
                 p = m.at_least(np.bincount(both // CELLS, m.weights[both % CELLS] * _values(counts), piece.num_rows))
-                out = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1)), pa.array(p[:, 0] >= 0.5)]
+                out = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1)), pa.array(p[:, 0] > m.limit)]
                 kept = [i for i, name in enumerate(piece.schema.names) if name != "text"]
                 yield pa.RecordBatch.from_arrays([*(piece.columns[i] for i in kept), *out], [*(piece.schema.names[i] for i in kept), "severity", "p_toxic", "grade", "toxic"])
 
@@ -200,8 +206,8 @@ def _scored(model: Broadcast):
 def score_toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, own: str | None = None) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, toxic) -> doc_id, severity, p_toxic, grade, toxic (and the own column), one row per row.
 
-    severity is the expected grade of 0..3, toxic says that grade 1 or more is likelier
-    than not.  Null and empty texts have no words and score as such.  Labels without id
+    severity is the expected grade of 0..3, toxic says that P(grade >= 1) is above
+    the model's limit, which 99.9 % of the clean labelled texts stay under (at most 0.5).  Null and empty texts have no words and score as such.  Labels without id
     or value are left out; without toxic labels nothing is toxic.  Rows may repeat and
     doc_id may be null; other columns are not read; an empty table gives no rows.
     """
