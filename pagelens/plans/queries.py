@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import numbers, urls
 from pagelens.functions import text as T
-from pagelens.operators import graph, rollup, scores, seo, store
+from pagelens.operators import graph, page_content, rollup, scores, seo, store
 from pagelens.operators.profiles import page_profiles
 from pagelens.plans import oracle_parts as O
+from pagelens.plans import report
 from pagelens.sources import structured
 from pagelens.sources.pages import page_facts, read_pages
 
@@ -355,3 +356,61 @@ def backlink_figures(spark, sf_dir):
 def score_bands(spark, sf_dir):
     value = F.col("o_totalprice") / 5000
     return table(spark, sf_dir, "orders").select("o_orderkey", numbers.score(value).alias("score"), numbers.status(value).alias("status"))
+
+
+# -- page content, candidates, indexability, reports ------------------------------------------
+
+_EEAT = {
+    "experience": O.score(O.points((25, "has_quantified_data"), (20, "has_reference_section"), (15, "has_inline_citations"), (15, "has_update_log")) + " + case when word_count >= 900 then 25 when word_count >= 500 then 15 else 5 end"),
+    "expertise": O.score(O.points((25, "answer_first")) + " + case when word_count >= 900 then 20 when word_count >= 500 then 10 else 0 end + round_even(heading_quality_score * 0.2::double, 0) + round_even(information_density_score * 0.2::double, 0) + round_even(chunk_structure_score * 0.15::double, 0)"),
+    "source_citations": O.score(O.points((55, "has_reference_section"), (45, "has_inline_citations"))),
+    "qa_format": O.score(O.points((60, "has_faq"), (40, "answer_first"))),
+    "structure_clarity": O.score("heading_quality_score::double * 0.55::double + chunk_structure_score::double * 0.45::double"),
+}
+
+
+@query(f"with {O.PROFILES} select page_id, {', '.join(f'{v} as {k}' for k, v in _EEAT.items())} from p")
+def page_content_factors(spark, sf_dir):
+    return page_content.page_content_audit(profiles(spark, sf_dir)).select("page_id", *_EEAT)
+
+
+@query(None)
+def page_content_audit(spark, sf_dir):
+    return page_content.page_content_audit(profiles(spark, sf_dir))
+
+
+@query(f"""with {O.URLS}, b as (select site_id, min(scope_root) as root, min(prefix) as prefix, min(host) as host from u group by 1),
+n as (select distinct u.site_id, u.page_url from u join b on u.site_id = b.site_id where u.page_id % 2 = 1 and not regexp_matches(lower(u.page_url), '/tag/|/author/|/category/|/page/|utm_|#')
+      and not exists (select 1 from u k where k.page_id % 2 = 0 and k.site_id = u.site_id and k.page_url = u.page_url)),
+r as (select site_id, page_url as url, row_number() over (partition by site_id order by length(page_url), page_url) as ord from n)
+select site_id, ord, url from r where ord <= 12""")
+def audit_candidates(spark, sf_dir):
+    """Pages with odd ids are the candidates, those with even ids are profiled already."""
+    u = F.col("url")
+    found = read_pages(spark, sf_dir).select("page_id", urls.normalize_url(u).alias("url")).select("page_id", "url", urls.site_id(u).alias("site_id"), urls.scope_root(u).alias("base_url"))
+    sites = found.groupBy("site_id").agg(F.min("base_url").alias("base_url"))
+    return page_content.audit_candidates(sites, found.where("page_id % 2 = 1").select("site_id", "url"), found.where("page_id % 2 = 0").select("site_id", "url"), 12)
+
+
+@query(None)
+def page_indexability(spark, sf_dir):
+    return page_content.indexability(read_pages(spark, sf_dir))
+
+
+@query(None)
+def site_reports(spark, sf_dir):
+    summary = rollup.site_summary(profiles(spark, sf_dir))
+    return report.site_reports(summary, rollup.action_plan(summary))
+
+
+@query(None)
+def ai_perception(spark, sf_dir):
+    """Perception of every site; what pages cannot tell (sitemap, llms.txt, structured data) counts as missing."""
+    audit = page_content.page_content_audit(profiles(spark, sf_dir)).select("page_id", *page_content.EEAT)
+    known = profiles(spark, sf_dir).select("page_id", "site_id")
+    mean = known.join(audit, "page_id").groupBy("site_id").agg(*[F.avg(e).alias(e) for e in page_content.EEAT])
+    sites = rollup.site_summary(profiles(spark, sf_dir)).join(mean, "site_id")
+    named = {"visibility": "visibility_score", "authority": "brand_score", "citability": "visibility_score", "presence": "brand_score", "content": "content_score", "technical": "technical_score", "schema": "schema_score", "platform": "platform_score"}
+    flags = {n: F.lit(False) for n in ("company_name_detected", "same_as_detected", "llms_exists")}
+    scored_sites = sites.withColumns({k: F.col(v) for k, v in named.items()} | flags | {"same_domain_sitemap": F.lit(None).cast("boolean")})
+    return scores.percentages(page_content.ai_perception(scored_sites), "site_id", ["positive", "neutral", "controversial"])
