@@ -136,5 +136,5 @@ def indexability(pages: DataFrame) -> DataFrame:
 def bounded_adjustments(base: DataFrame, deltas: DataFrame, key: str, most: dict[str, int]) -> DataFrame:
     """Scores moved by outside judgements (key, <score>_delta as text): each delta within its bound, the score within 0..100; what is no number moves nothing."""
     joined = base.join(deltas, key, "left")
-    moved = {n: score(c(n) + F.coalesce(F.greatest(F.lit(-m), F.least(F.lit(m), c(f"{n}_delta").try_cast("int"))), F.lit(0))) for n, m in most.items()}
+    moved = {n: score(c(n) + F.greatest(F.lit(-m), F.least(F.lit(m), F.coalesce(c(f"{n}_delta").try_cast("int"), F.lit(0))))) for n, m in most.items()}
     return joined.withColumns(moved).select(base.columns)
