@@ -135,8 +135,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     no rows.
     """
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    # one class per different vector; its hash names it
-    keyed = given.withColumn("key", F.xxhash64("embedding")).withColumn("key2", F.hash("embedding"))
+    # one class per different vector; its hash names it (hashing skips nulls, so the size counts too)
+    keyed = given.withColumn("key", F.xxhash64("embedding")).withColumn("key2", F.hash("embedding", F.size("embedding")))
     found = keyed.groupBy("key", "key2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     found = found.withColumn("class", F.xxhash64("key", "key2"))
     schema = "class long, copies long, embedding array<float>, steps binary, place double, size int"
