@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.wordnum import SPACE, U64, find_words, mix, pieces, text_bytes, word_hashes
+from pagelens.llm.wordnum import SPACE, U64, find_words, mix, pieces, segments, text_bytes, word_hashes
 
 CELLS = 1 << 20
-MOST_LABELLED = 6_000
+MOST_LABELLED = 4_000
 GRADES = 4  # 0 clean, 1 to 3 toxic
 PREFIXES = (4, 5, 6, 7)
 SCREEN = 6.0  # z value of a feature's mean among toxic against clean texts
@@ -69,10 +70,11 @@ class Model:
         return 1 / (1 + np.exp(self.cuts - margin[:, None]))
 
 
-def family_weights(cells: list[np.ndarray]) -> np.ndarray:
+def family_weights(cells: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """1 / the number of sampled texts that share min-hashes of uncommon words: a family of copies counts about once."""
-    seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *cells]), minlength=CELLS)
-    root = list(range(len(cells)))
+    n = len(offsets) - 1
+    seen = np.bincount(cells, minlength=CELLS)
+    root = list(range(n))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -81,15 +83,15 @@ def family_weights(cells: list[np.ndarray]) -> np.ndarray:
         return i
 
     first: dict[tuple[int, ...], int] = {}
-    for i, c in enumerate(cells):
+    for i in range(n):
+        c = cells[offsets[i] : offsets[i + 1]]
         rare = c[(seen[c] > 1) & (seen[c] <= 50)].astype(np.uint64)
         if len(rare) >= 4:
             least = [int(mix(rare, 200 + k).min()) for k in range(8)]
             for k in range(4):
                 root[find(i)] = find(first.setdefault((k, *least[2 * k : 2 * k + 2]), i))
-    family = [find(i) for i in range(len(cells))]
-    size = np.bincount(family, minlength=1)
-    return 1 / size[family]
+    family = [find(i) for i in range(n)]
+    return 1 / np.bincount(family, minlength=1)[family] if n else np.zeros(0)
 
 
 @dataclass
@@ -110,10 +112,9 @@ class Sample:
 
 def screened(sample: Sample) -> np.ndarray:
     """Features whose mean value is higher among toxic texts than chance allows."""
-    value, weight = _values(sample.counts), sample.weights[sample.of]
-    own = [weight * (sample.toxic[sample.of] == side) for side in (1, 0)]
+    value, weight = _values(sample.counts), sample.weights.astype(np.float32)[sample.of]
     n = [max(float(sample.weights[sample.toxic == side].sum()), 1) for side in (1, 0)]
-    mean = [np.bincount(sample.cells, o * value, CELLS) / m for o, m in zip(own, n)]
+    mean = [np.bincount(sample.cells, weight * value * (sample.toxic == side)[sample.of], CELLS) / m for side, m in zip((1, 0), n)]
     pooled = np.bincount(sample.cells, weight * value**2, CELLS) / sum(n) - (np.bincount(sample.cells, weight * value, CELLS) / sum(n)) ** 2
     spread = pooled * (1 / n[0] + 1 / n[1])
     often = np.bincount(sample.cells, weight * (sample.toxic[sample.of] == 1), CELLS) >= 3
@@ -175,13 +176,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
     table = texts.select("text", "toxic").mapInArrow(_cells_of, "toxic int, cells array<int>, counts array<int>").limit(most).toArrow().combine_chunks()
-    cells = [np.asarray(c.values, np.int32) for c in table.column("cells")]
-    counts, toxic = [np.asarray(c.values, np.int32) for c in table.column("counts")], np.asarray(table.column("toxic"), np.int64)
-    order = sorted(range(len(cells)), key=lambda i: (len(cells[i]), int(cells[i].sum(dtype=np.int64)), toxic[i]))  # does not depend on tasks
-    cells, counts = [cells[i] for i in order], [counts[i] for i in order]
-    of = np.repeat(np.arange(len(cells), dtype=np.int32), [len(c) for c in cells])
-    flat = lambda lists: np.concatenate([np.zeros(0, np.int32), *lists])
-    return Sample(of, flat(cells), flat(counts), toxic[order], family_weights(cells))
+    toxic = np.asarray(table.column("toxic"), np.int64)
+    lists = [table.column(n).combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())) for n in ("cells", "counts")]
+    cells, counts = (np.asarray(x.flatten(), np.int32) for x in lists)
+    size = np.asarray(pc.list_value_length(lists[0]), np.int64)
+    start = np.cumsum(size) - size
+    sums = np.concatenate([[0], np.cumsum(cells, dtype=np.int64)])
+    order = np.lexsort((toxic, sums[start + size] - sums[start], size))  # does not depend on tasks
+    at = np.repeat(start[order], size[order]) + segments(size[order])
+    cells, counts, size = cells[at], counts[at], size[order]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return Sample(np.repeat(np.arange(len(size), dtype=np.int32), size), cells, counts, toxic[order], family_weights(cells, offsets))
 
 
 def _scored(model: Broadcast):

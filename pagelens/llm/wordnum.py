@@ -62,7 +62,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about most_bytes of text each (one long text may exceed it)."""
     lengths = np.asarray(pc.binary_length(batch.column(column).cast(pa.large_string())).fill_null(0))
     total, first = 0, 0
