@@ -3,7 +3,8 @@
 P(grade >= k) = logistic(w.x - cut_k) with one weight vector for all ordered cuts; x
 holds the log counts of a text's hashed words and word beginnings, and the output is the expected grade.  The model
 is fitted on the driver from at most MOST_LABELLED labelled rows (the ones with the
-smallest hash of their id); scoring is a pass over the whole texts in the executors.
+smallest hash of their id), whose features are counted and screened by aggregations;
+scoring is a pass over the whole texts in the executors.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.wordnum import SPACE, U64, find_words, mix, pieces, segments, text_bytes, word_hashes
+from pagelens.llm.common import cut
+from pagelens.llm.wordnum import SPACE, U64, find_words, mix, pieces, text_bytes, word_hashes
 
 CELLS = 1 << 20
-MOST_LABELLED = 4_000
+MOST_LABELLED = 12_000
+SAMPLE_TASKS = 8  # tasks over the labelled sample, a bounded table
 GRADES = 4  # 0 clean, 1 to 3 toxic
 PREFIXES = (4, 5, 6, 7)
 SCREEN = 6.0  # z value of a feature's mean among toxic against clean texts
@@ -55,7 +57,7 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both, counts = np.unique(rows << 20 | cells, return_counts=True)
             at = pa.array(np.searchsorted(both >> 20, np.arange(piece.num_rows + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (both & (CELLS - 1), counts)]
-            yield pa.RecordBatch.from_arrays([piece.column("toxic"), *lists], ["toxic", "cells", "counts"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("toxic"), *lists], ["doc_id", "toxic", "cells", "counts"])
 
 
 @dataclass
@@ -70,61 +72,80 @@ class Model:
         return 1 / (1 + np.exp(self.cuts - margin[:, None]))
 
 
-def family_weights(cells: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """1 / the number of sampled texts that share min-hashes of uncommon words: a family of copies counts about once."""
-    n = len(offsets) - 1
-    seen = np.bincount(cells, minlength=CELLS)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    first: dict[tuple[int, ...], int] = {}
-    for i in range(n):
-        c = cells[offsets[i] : offsets[i + 1]]
-        rare = c[(seen[c] > 1) & (seen[c] <= 50)].astype(np.uint64)
-        if len(rare) >= 4:
-            least = [int(mix(rare, 200 + k).min()) for k in range(8)]
-            for k in range(4):
-                root[find(i)] = find(first.setdefault((k, *least[2 * k : 2 * k + 2]), i))
-    family = [find(i) for i in range(n)]
-    return 1 / np.bincount(family, minlength=1)[family] if n else np.zeros(0)
-
-
 @dataclass
 class Sample:
-    """Labelled texts: features and counts end to end, the text of each, the labels, and the weight of each text."""
+    """Labelled texts (label and weight of each) and their entries: text, marking feature, log count."""
 
-    of: np.ndarray
-    cells: np.ndarray
-    counts: np.ndarray
     toxic: np.ndarray
     weights: np.ndarray
+    of: np.ndarray
+    at: np.ndarray
+    values: np.ndarray
+    cells: np.ndarray  # sorted; entries point into it
 
-    def part(self, keep: np.ndarray) -> Sample:
-        new = np.cumsum(keep) - 1
-        here = keep[self.of]
-        return Sample(new[self.of[here]], self.cells[here], self.counts[here], self.toxic[keep], self.weights[keep])
 
+def _min_hashes(rare: Broadcast):
+    """Eight min-hashes of each text's cells that are set in rare; texts with fewer than four such cells give none."""
 
-def screened(sample: Sample) -> np.ndarray:
-    """Features whose mean value is higher among toxic texts than chance allows."""
-    value, weight = _values(sample.counts), sample.weights.astype(np.float32)[sample.of]
-    n = [max(float(sample.weights[sample.toxic == side].sum()), 1) for side in (1, 0)]
-    mean = [np.bincount(sample.cells, weight * value * (sample.toxic == side)[sample.of], CELLS) / m for side, m in zip((1, 0), n)]
-    pooled = np.bincount(sample.cells, weight * value**2, CELLS) / sum(n) - (np.bincount(sample.cells, weight * value, CELLS) / sum(n)) ** 2
-    spread = pooled * (1 / n[0] + 1 / n[1])
-    often = np.bincount(sample.cells, weight * (sample.toxic[sample.of] == 1), CELLS) >= 3
-    return np.flatnonzero(often & ((mean[0] - mean[1]) / np.sqrt(np.maximum(spread, 1e-12)) > SCREEN))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = [], []
+            for i, cells in zip(batch.column("doc_id").to_pylist(), batch.column("cells")):
+                c = np.asarray(cells.values, np.int64)
+                c = c[rare.value[c]].astype(np.uint64)
+                if len(c) >= 4:
+                    ids.append(i)
+                    hashes.append([int(mix(c, 200 + k).min()) >> 1 for k in range(8)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+    return run
+
+
+def family_weights(texts: DataFrame, ids: np.ndarray) -> np.ndarray:
+    """For each of the sorted ids 1 / the number of sampled texts that share min-hashes of uncommon words: a family of copies counts about once.
+
+    One bit a cell and eight hashes a sampled text reach the driver.
+    """
+    seen = texts.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    rare = np.zeros(CELLS, bool)
+    rare[np.asarray(seen.where("n between 2 and 50").select("cell").toArrow().column("cell"), np.int64)] = True
+    shared = texts.sparkSession.sparkContext.broadcast(rare)
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first: dict[tuple[int, ...], int] = {}
+    table = texts.mapInArrow(_min_hashes(shared), "doc_id long, hashes array<long>").toArrow().sort_by("doc_id")
+    for i, least in zip(np.searchsorted(ids, np.asarray(table.column("doc_id"), np.int64)).tolist(), table.column("hashes").to_pylist()):
+        for k in range(4):
+            root[find(i)] = find(first.setdefault((k, *least[2 * k : 2 * k + 2]), i))
+    shared.destroy()
+    family = [find(i) for i in range(len(ids))]
+    return 1 / np.bincount(family, minlength=1)[family] if len(ids) else np.zeros(0)
+
+
+def screened(entries: DataFrame, n: tuple[float, float]) -> DataFrame:
+    """Cells whose mean value is higher among toxic texts than chance allows; n: weight of the toxic and of the clean texts."""
+    total, toxic = sum(n), F.col("toxic") == 1
+    weighted = F.col("weight") * F.col("value")
+    sums = entries.groupBy("cell").agg(
+        *[F.coalesce(F.sum(F.when(side, weighted)), F.lit(0.0)).alias(name) for side, name in ((toxic, "bad"), (~toxic, "good"))],
+        F.sum(weighted * F.col("value")).alias("squares"), F.coalesce(F.sum(F.when(toxic, F.col("weight"))), F.lit(0.0)).alias("often"),
+    )
+    mean = (F.col("bad") + F.col("good")) / total
+    spread = (F.col("squares") / total - mean * mean) * (1 / n[0] + 1 / n[1])
+    z = (F.col("bad") / n[0] - F.col("good") / n[1]) / F.sqrt(F.greatest(spread, F.lit(1e-12)))
+    return sums.where((F.col("often") >= 3) & (z > SCREEN)).select("cell")
 
 
 def severity_grades(sample: Sample) -> np.ndarray:
     """Grades from binary labels: clean 0, toxic 1 to 3 in thirds of the log counts of features that mark toxic texts."""
     grades, n = np.zeros(len(sample.toxic), np.int64), len(sample.toxic)
-    marks = np.bincount(sample.of, np.isin(sample.cells, screened(sample)) * _values(sample.counts), n)
+    marks = np.bincount(sample.of, sample.values, n)
     toxic = np.flatnonzero(sample.toxic > 0)
     rank = np.argsort(np.argsort(marks[toxic], kind="stable"), kind="stable")
     grades[toxic] = 1 + rank * (GRADES - 1) // max(len(toxic), 1)
@@ -132,18 +153,15 @@ def severity_grades(sample: Sample) -> np.ndarray:
 
 
 def fit(sample: Sample, grades: np.ndarray, rounds: int = 500) -> Model:
-    """Maximum likelihood of the ordinal model under an L1 penalty, by proximal gradient steps.
+    """Maximum likelihood of the ordinal model under an L1 penalty, by proximal gradient steps on sparse entries.
 
     Without toxic texts nothing is learnt and every text is clean.
     """
-    kept, share = screened(sample), sample.weights
-    n, top, total = len(grades), int(grades.max(initial=0)), share.sum()
-    if not len(kept) or not top:
+    kept, share = sample.cells, sample.weights
+    n, total = len(grades), share.sum()
+    if not len(kept) or not grades.max(initial=0):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, 30.0))
-    x = np.zeros((n, len(kept)), np.float32)
-    at = np.minimum(np.searchsorted(kept, sample.cells), len(kept) - 1)
-    here = kept[at] == sample.cells
-    x[sample.of[here], at[here]] = _values(sample.counts[here])
+    margin = lambda w: np.bincount(sample.of, w[sample.at] * sample.values, n)
     w, cuts = np.zeros(len(kept)), np.linspace(3, 6, GRADES - 1)
     # accumulated squared gradients scale the steps, rare and frequent features alike
     scale_w, scale_c = np.full(len(kept), 1e-8), np.full(GRADES - 1, 1e-8)
@@ -151,10 +169,10 @@ def fit(sample: Sample, grades: np.ndarray, rounds: int = 500) -> Model:
     for _ in range(rounds):
         s = np.ones((n, GRADES + 1))
         s[:, GRADES] = 0
-        s[:, 1:GRADES] = 1 / (1 + np.exp(np.clip(cuts - (x @ w.astype(np.float32))[:, None], -40, 40)))
+        s[:, 1:GRADES] = 1 / (1 + np.exp(np.clip(cuts - margin(w)[:, None], -40, 40)))
         up, down = s[rows, grades], s[rows, grades + 1]
         between = np.maximum(up - down, 1e-9)
-        g_w = (share * (up + down - 1)).astype(np.float32) @ x / total
+        g_w = np.bincount(sample.at, (share * (up + down - 1))[sample.of] * sample.values, len(kept)) / total
         g_c = np.zeros(GRADES + 1)
         np.add.at(g_c, grades, share * up * (1 - up) / between)
         np.add.at(g_c, grades + 1, -share * down * (1 - down) / between)
@@ -166,27 +184,38 @@ def fit(sample: Sample, grades: np.ndarray, rounds: int = 500) -> Model:
         cuts = np.maximum.accumulate(cuts - STEP / np.sqrt(scale_c) * g_c + np.arange(GRADES - 1) * 1e-6)
     used = np.flatnonzero(w)
     # the limit that all but one in a thousand clean labelled texts stay under
-    p = 1 / (1 + np.exp(np.clip(cuts[0] - x[grades == 0] @ w.astype(np.float32), -40, 40)))
+    p = 1 / (1 + np.exp(np.clip(cuts[0] - margin(w)[grades == 0], -40, 40)))
     return Model(kept[used], w[used], cuts, float(np.clip(np.quantile(p, 0.999), 0.15, 0.5)) if len(p) else 0.5)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Sample:
-    """Features and labels of at most `most` labelled documents; several labels of a document count as their maximum."""
+    """At most `most` labelled documents with the entries of their marking features.
+
+    Several labels of a document count as their maximum, several texts as the least of
+    them.  Counts and screening of the features are aggregations over the sample; only
+    the features that pass the screen reach the driver.
+    """
+    spark = docs.sparkSession
     few = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    table = texts.select("text", "toxic").mapInArrow(_cells_of, "toxic int, cells array<int>, counts array<int>").limit(most).toArrow().combine_chunks()
-    toxic = np.asarray(table.column("toxic"), np.int64)
-    lists = [table.column(n).combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())) for n in ("cells", "counts")]
-    cells, counts = (np.asarray(x.flatten(), np.int32) for x in lists)
-    size = np.asarray(pc.list_value_length(lists[0]), np.int64)
-    start = np.cumsum(size) - size
-    sums = np.concatenate([[0], np.cumsum(cells, dtype=np.int64)])
-    order = np.lexsort((toxic, sums[start + size] - sums[start], size))  # does not depend on tasks
-    at = np.repeat(start[order], size[order]) + segments(size[order])
-    cells, counts, size = cells[at], counts[at], size[order]
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    return Sample(np.repeat(np.arange(len(size), dtype=np.int32), size), cells, counts, toxic[order], family_weights(cells, offsets))
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).coalesce(SAMPLE_TASKS)
+    texts = cut(texts.mapInArrow(_cells_of, "doc_id long, toxic int, cells array<int>, counts array<int>"))
+    marks = texts.select("doc_id", "toxic").toArrow().sort_by("doc_id")
+    ids, toxic = np.asarray(marks.column("doc_id"), np.int64), np.asarray(marks.column("toxic"), np.int64)
+    if not (toxic > 0).any():  # nothing to tell apart
+        none = np.zeros(0, np.int64)
+        return Sample(toxic, np.ones(len(ids)), none, none, np.zeros(0), none)
+    weights = family_weights(texts, ids)
+    weighed = spark.createDataFrame(pa.table({"doc_id": ids, "weight": weights}))
+    entries = texts.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.inline(F.arrays_zip(F.col("cells").alias("cell"), F.col("counts").alias("count"))).alias("cell", "count"))
+    entries = entries.withColumn("value", F.log1p("count"))
+    n = [max(float(weights[(toxic > 0) == side].sum()), 1) for side in (True, False)]
+    kept = screened(entries.join(F.broadcast(weighed), "doc_id"), tuple(n)).toArrow().sort_by("cell").column("cell")
+    cells = np.asarray(kept, np.int64)
+    found = entries.join(F.broadcast(spark.createDataFrame(pa.table({"cell": kept}))), "cell").select("doc_id", "cell", "value").toArrow().sort_by([("doc_id", "ascending"), ("cell", "ascending")])
+    of, at = np.searchsorted(ids, np.asarray(found.column("doc_id"), np.int64)), np.searchsorted(cells, np.asarray(found.column("cell"), np.int64))
+    return Sample(toxic, weights, of, at, np.asarray(found.column("value"), float), cells)
 
 
 def _scored(model: Broadcast):
