@@ -106,7 +106,7 @@ def repeated_cells(docs: DataFrame) -> np.ndarray:
     """The merged sketch's verdict, a bit a cell: SKETCH_ROWS * 2**LOG_CELLS bits at any input size."""
     rows = docs.select("text").mapInArrow(_sketch, "slice int, cells binary").repartition(SKETCH_ROWS * SLICES, "slice").mapInArrow(_merge, "slice int, bits binary")
     bits = np.zeros((SKETCH_ROWS * SLICES, (1 << (LOG_CELLS - 6)) // 8), np.uint8)
-    for r in rows.toLocalIterator():
+    for r in cut(rows).coalesce(8).toLocalIterator():  # merged in parallel, then fetched in a few parts
         bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return bits.reshape(SKETCH_ROWS, -1)
 
@@ -148,6 +148,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs))
     named = docs.where("doc_id is not null")
     runs = cut(named.mapInArrow(_runs(bits), "doc_id long, text_key long, anchor long, run long, at int, windows array<long>"))
+    bits.destroy()  # the runs are written
     different = cut(runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("windows").alias("windows")))
     # anchors with runs that differ: their windows one by one
     spread = different.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
