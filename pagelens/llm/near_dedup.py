@@ -307,8 +307,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     ]
     blocks = dealt[0].unionByName(dealt[1]).join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(_block_links(idf, threshold), "u long, v long")
     more = cut(verify(few).unionByName(blocks).distinct())
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    idf.destroy()  # all that reads it is written
+    if not more.isEmpty():  # the stars found so far stand for their links
+        found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     owners = nodes.select("w1", "w2", "id").join(found, "id", "left").select("w1", "w2", F.coalesce("component", "id").alias("class"))
     out = signed.select("doc_id", "text_key", "n_shingles", "w1", "w2").join(owners, ["w1", "w2"], "left")
