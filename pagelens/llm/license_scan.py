@@ -1,24 +1,24 @@
 """License scans over a positional rare-token index, with DataFrame functions only.
 
-Licence templates are indexed by word and position.  A file's licence words with the
-highest inverse document frequency (over all files) look up the postings; postings
-that agree on the shift between file and template vote for that alignment, and an
-alignment counts once the template's key phrase stands there word for word.
+Licence templates are indexed by one word and its position: the word of the template's
+key phrase with the highest inverse document frequency (over all files).  Every place of
+such a word in a file proposes an alignment between file and template, which counts once
+the key phrase stands there word for word.  A phrase cannot stand without its rarest
+word, so no template is missed, however many other licence words a file has.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import cut, text_key
+from pagelens.llm.common import cut
 
 #: Lower-case words; upper-case ASCII is lowered first.  Raw text counts the same words with A-Z allowed.
 LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-RARE = 8  # licence words a file looks up
 
 # Label, licence text, key phrase.
 TEMPLATES = (
@@ -42,14 +42,14 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 # Template words that are common everywhere and never looked up.
 COMMON = frozenset("a an and any are as by can for in is it may not of or that the this to use with you".split())
 
-VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - COMMON)
+WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
+CODES = {w: i + 1 for i, w in enumerate(WORDS)}  # 0: no template word
+VOCABULARY = [w for w in WORDS if w not in COMMON]
 
 
-def _hits(words: Column) -> Column:
-    """Every template word of a file with its place."""
-    known = F.array(*[F.lit(w) for w in sorted({w for _, text, _ in TEMPLATES for w in text.split()})])
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    return F.filter(placed, lambda x: F.array_contains(known, x["word"]))
+def _codes(words: Column) -> Column:
+    """The code of every word of a file, in order."""
+    return F.transform(words, lambda w: F.array_position(F.array(*map(F.lit, WORDS)), w).cast("short"))
 
 
 def _base(words: Column, phrase: str) -> Column:
@@ -60,58 +60,55 @@ def _base(words: Column, phrase: str) -> Column:
     return F.filter(starts, same)
 
 
-def _postings(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
-    rows = []
-    for t, (label, text, _) in enumerate(TEMPLATES):
-        whole = sum(idf[w] for w in set(text.split()) - COMMON)
-        rows += [(t, label, w, i, idf[w], whole) for i, w in enumerate(text.split()) if w not in COMMON]
-    return spark.createDataFrame(rows, "template int, label string, word string, place int, idf double, whole double")
+def _postings(idf: dict[str, float]) -> tuple[list[int], Column]:
+    """The codes looked up, and each template with the code of its looked-up word and the words of its phrase and text, placed relative to that word."""
+    short, rows = lambda v: F.lit(v).cast("short"), []
+    for label, text, phrase in TEMPLATES:
+        text, phrase = text.split(), phrase.split()
+        first = next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
+        place = max((i for i in range(first, first + len(phrase)) if text[i] not in COMMON), key=lambda i: (idf[text[i]], text[i]))
+        weighed = [(i - place, w, idf[w]) for i, w in enumerate(text) if w not in COMMON]
+        stands = F.array(*[F.struct(F.lit(first + i - place).alias("by"), short(CODES[w]).alias("code")) for i, w in enumerate(phrase)])
+        mass = F.array(*[F.struct(F.lit(by).alias("by"), short(CODES[w]).alias("code"), F.lit(m / sum(m for _, _, m in weighed)).alias("share")) for by, w, m in weighed])
+        rows.append((CODES[text[place]], F.struct(F.lit(label).alias("label"), short(CODES[text[place]]).alias("code"), stands.alias("phrase"), mass.alias("mass"))))
+    return sorted({code for code, _ in rows}), F.array(*[row for _, row in rows])
+
+
+def _aligned(codes: Column, idf: dict[str, float]) -> Column:
+    """Label and share of every alignment whose key phrase stands in the file."""
+    looked_up, postings = _postings(idf)
+    here = lambda at, x: F.coalesce(F.get(codes, at + x["by"]) == x["code"], F.lit(False))
+    share = lambda at, p: F.aggregate(p["mass"], F.lit(0.0), lambda sum_, x: sum_ + F.when(here(at, x), x["share"]).otherwise(0.0))
+    places = F.filter(F.transform(codes, lambda c, i: F.when(F.array_contains(F.array(*[F.lit(c).cast("short") for c in looked_up]), c), i)), lambda i: i.isNotNull())
+    stands = lambda at: F.filter(postings, lambda p: (p["code"] == F.get(codes, at)) & F.forall(p["phrase"], lambda x: here(at, x)))
+    return F.flatten(F.transform(places, lambda at: F.transform(stands(at), lambda p: F.struct(p["label"].alias("label"), share(at, p).alias("share")))))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row per row.
 
     The base columns count every place of the phrases in BASE.  labels adds those of
-    templates whose key phrase stands where the file's rare words align; score is the
-    largest share of a template's idf mass that its aligned rare words carry, 0 without
-    one.  Null and empty texts have no words and no labels.  Rows alike in doc_id and
-    text get the same labels; doc_id may be null.  Other columns are not read.
+    all templates whose key phrase stands in the file; score is the largest share of such
+    a template's idf mass (over its places) that its aligned words carry, 0 without one.
+    Null and empty texts have no words and no labels.  Rows alike in text get the same
+    labels; doc_id may be null.  Other columns are not read.
     """
-    spark = docs.sparkSession
     lowered = F.lower(F.coalesce("text", F.lit("")))  # beyond A-Z it maps letters to letters, none of them in a phrase
     words = F.regexp_extract_all(lowered, F.lit(LOWER_WORD), F.lit(0))
-    counted = docs.select("doc_id", text_key().alias("text_key"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RAW_WORD), F.lit(0))).cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, VOCABULARY)), words).alias("known"), "text")
+    counted = docs.select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RAW_WORD), F.lit(0))).cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, VOCABULARY)), words).alias("known"), "text")
     # the words themselves are needed only where a licence word occurs
     words = F.when(F.size("known") > 0, F.regexp_extract_all(F.lower("text"), F.lit(LOWER_WORD), F.lit(0)))
     words = counted.withColumn("words", words)
     base = F.when(F.array_contains("known", "license"), F.array(*[F.struct(F.lit(label).alias("label"), _base(F.col("words"), phrase).alias("at")) for phrase, label in BASE]))
-    scanned = cut(words.select("doc_id", "text_key", "n_words", "known", base.alias("base"), F.when(F.size("known") > 0, _hits(F.col("words"))).alias("hits")))
+    scanned = cut(words.select("doc_id", "n_words", "known", base.alias("base"), F.when(F.size("known") > 0, _codes(F.col("words"))).alias("codes")))
 
     n = scanned.count()
     found = {r["word"]: r["n"] for r in scanned.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
     idf = {w: math.log((n + 1) / (found.get(w, 0) + 1)) + 1 for w in VOCABULARY}
-    by_rarity = F.array(*[F.lit(w) for w in sorted(VOCABULARY, key=lambda w: (-idf[w], w))])
-    rare = scanned.where(F.size("known") > 0).select("doc_id", "text_key", "hits", F.slice(F.array_intersect(by_rarity, F.col("known")), 1, RARE).alias("rare")).dropDuplicates(["doc_id", "text_key"])
-    rare = rare.withColumn("key", F.xxhash64("doc_id", "text_key"))
-    looked_up = rare.select("key", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h["word"]))).alias("h")).select("key", F.col("h.word").alias("word"), F.col("h.at").alias("at"))
-    votes = looked_up.join(F.broadcast(_postings(spark, idf)), "word").groupBy("key", "template", "label", "whole", (F.col("at") - F.col("place")).alias("shift")).agg(F.sum("idf").alias("mass"))
-    # the key phrase stands word for word at its place in the alignment
-    phrases = []
-    for _, text, phrase in TEMPLATES:
-        parts, text = phrase.split(), text.split()
-        first = next(i for i in range(len(text)) if text[i : i + len(parts)] == parts)
-        phrases.append(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(first + i).alias("at")) for i, w in enumerate(parts)]))
-    phrase = F.get(F.array(*phrases), F.col("template"))
-    aligned = votes.groupBy("key").agg(F.collect_list(F.struct("template", "label", "shift", (F.col("mass") / F.col("whole")).alias("share"))).alias("votes"))
-    checked = rare.join(aligned, "key").select("doc_id", "text_key", "hits", F.explode("votes").alias("v"))
-    checked = checked.select("doc_id", "text_key", "v.*", "hits").withColumn("phrase", phrase)
-    stands = F.forall("phrase", lambda p: F.array_contains(F.col("hits"), F.struct(p["word"].alias("word"), (p["at"] + F.col("shift")).alias("at"))))
-    labelled = checked.where(stands).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("share").alias("score"))
 
     places = F.flatten(F.transform(F.coalesce("base", F.array().cast("array<struct<label:string,at:array<int>>>")), lambda b: b["at"]))
     base_labels = F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])))
-    out = scanned.select("doc_id", "text_key", "n_words", places.alias("places"), F.coalesce(base_labels, F.array().cast("array<string>")).alias("base_labels"))
-    same = (out["text_key"] == labelled["text_key"]) & out["doc_id"].eqNullSafe(labelled["doc_id"])
-    out = out.join(labelled, same, "left").select(out["doc_id"], "n_words", "places", "base_labels", "more", "score")
-    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
-    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0))).alias("score"))
+    out = scanned.select("doc_id", "n_words", places.alias("places"), F.coalesce(base_labels, F.array().cast("array<string>")).alias("base_labels"), _aligned(F.col("codes"), idf).alias("aligned"))
+    more = F.coalesce(F.transform("aligned", lambda a: a["label"]), F.array().cast("array<string>"))
+    labels, score = F.array_sort(F.array_distinct(F.concat("base_labels", more))), F.array_max(F.transform("aligned", lambda a: a["share"]))
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.least(F.lit(1.0), F.coalesce(score, F.lit(0.0))).alias("score"))

@@ -330,6 +330,18 @@ def test_license_templates_need_their_key_phrase(spark):
     assert got == {1: "cc-by-nc", 2: "", 3: "bsd", 4: ""}
 
 
+def test_license_of_every_template_beside_others(spark):
+    texts = [t for _, t, _ in license_scan.TEMPLATES]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"{t} . licensed under cc by nc 4 0") for i, t in enumerate(texts)] + [(200, " x ".join(texts) * 3), (201, "nothing here")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, text, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[i].labels.split(",") and abs(got[i].score - 1) < 1e-9
+        assert {label, "cc-by-nc"} <= set(got[100 + i].labels.split(","))
+    assert set(got[200].labels.split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
+    half = spark.createDataFrame([(1, "permission is hereby granted free of charge to nobody")], "doc_id long, text string")
+    assert 0 < license_scan.scan_licenses(half).first().score < 1
+
+
 # -- 10 ------------------------------------------------------------------------
 
 
