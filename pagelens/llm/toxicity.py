@@ -29,6 +29,7 @@ PREFIXES = (4, 5, 6, 7)
 SCREEN = 6.0  # z value of a feature's mean among toxic against clean texts
 PENALTY = 0.5
 STEP = 1.0
+SKETCH, BAND, ALIKE = 64, 4, 0.5  # min-hashes a sampled text, of a bucket, and their equal share in a family
 #: ASCII white space, control characters and punctuation end a word here.
 _BREAKS = SPACE.copy()
 _BREAKS[:128] |= ~np.array([chr(c).isalnum() for c in range(128)])
@@ -101,15 +102,31 @@ def _min_hashes(rare: Broadcast):
     return run
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SKETCH min-hashes of all cells of each text, however common they are; texts without words share one sketch."""
+    draw = np.random.default_rng(11)
+    by, plus = (draw.integers(0, 1 << 64, SKETCH, np.uint64, endpoint=False) for _ in range(2))
+    by |= U64(1)
+    for batch in batches:
+        least = np.zeros((batch.num_rows, SKETCH), np.int64)
+        for row, cells in zip(least, batch.column("cells")):
+            hashes, whole = mix(np.asarray(cells.values, np.int64).astype(np.uint64), 199), np.full(SKETCH, ~U64(0))
+            for at in range(0, len(hashes), 1 << 12):
+                whole = np.minimum(whole, (hashes[at : at + (1 << 12), None] * by + plus).min(axis=0))
+            row[:] = (whole >> U64(1)).astype(np.int64)
+        hashes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * SKETCH, pa.int32()), pa.array(least.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), hashes], ["doc_id", "hashes"])
+
+
 def family_weights(texts: DataFrame, ids: np.ndarray) -> np.ndarray:
-    """For each of the sorted ids 1 / the number of sampled texts that share min-hashes of uncommon words: a family of copies counts about once.
+    """For each of the sorted ids 1 / the number of sampled texts of its family: a family of copies counts about once.
 
-    One bit a cell and eight hashes a sampled text reach the driver.
+    Copies and near copies (estimated Jaccard of all cells at least ALIKE) are joined
+    first, families of any size.  Then texts join that share min-hashes of uncommon
+    words; how common a word is, is counted over one text of each family, so copies do
+    not make their own words common.  One bit a cell, SKETCH and eight hashes a sampled
+    text reach the driver.
     """
-    seen = texts.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    rare = np.zeros(CELLS, bool)
-    rare[np.asarray(seen.where("n between 2 and 50").select("cell").toArrow().column("cell"), np.int64)] = True
-    shared = texts.sparkSession.sparkContext.broadcast(rare)
     root = list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -118,6 +135,23 @@ def family_weights(texts: DataFrame, ids: np.ndarray) -> np.ndarray:
             i = root[i]
         return i
 
+    table = texts.mapInArrow(_sketches, "doc_id long, hashes array<long>").toArrow().sort_by("doc_id")
+    sketch = np.asarray(table.column("hashes").combine_chunks().flatten(), np.int64).reshape(len(ids), SKETCH)
+    for k in range(0, SKETCH, BAND):
+        buckets: dict[bytes, list[int]] = {}
+        for i in range(len(ids)):
+            met = buckets.setdefault(sketch[i, k : k + BAND].tobytes(), [])
+            alike = [j for j, share in zip(met, np.mean(sketch[met] == sketch[i], axis=1)) if share >= ALIKE] if met else []
+            for j in alike:
+                root[find(i)] = find(j)
+            if not alike:
+                met.append(i)
+    one = np.unique([find(i) for i in range(len(ids))]).astype(np.int64)
+    ones = texts.sparkSession.createDataFrame(pa.table({"doc_id": ids[one]}))
+    seen = texts.join(F.broadcast(ones), "doc_id").select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    rare = np.zeros(CELLS, bool)
+    rare[np.asarray(seen.where("n between 2 and 50").select("cell").toArrow().column("cell"), np.int64)] = True
+    shared = texts.sparkSession.sparkContext.broadcast(rare)
     first: dict[tuple[int, ...], int] = {}
     table = texts.mapInArrow(_min_hashes(shared), "doc_id long, hashes array<long>").toArrow().sort_by("doc_id")
     for i, least in zip(np.searchsorted(ids, np.asarray(table.column("doc_id"), np.int64)).tolist(), table.column("hashes").to_pylist()):

@@ -260,6 +260,17 @@ def test_toxicity(spark, documents, empty, labels):
     assert toxicity.score_toxicity(empty, given).count() == 0 and not any(r.toxic for r in toxicity.score_toxicity(documents, labels.limit(0)).collect())
 
 
+def test_large_families_count_once(spark):
+    rng = random.Random(9)
+    text = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)]
+    copied, near = text(80), text(80)
+    rows = [(i, " ".join(text(80))) for i in range(100)] + [(1000 + i, " ".join(copied)) for i in range(120)] + [(2000 + i, " ".join([*near[:79], f"own{i}"])) for i in range(120)] + [(3000 + i, "a b") for i in range(60)]
+    sample = toxicity.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(1000 <= i < 2000)) for i, _ in rows], "doc_id long, toxic int"))
+    weight = dict(zip(sorted(i for i, _ in rows), sample.weights.tolist()))
+    assert all(weight[1000 + i] < 0.01 and weight[2000 + i] < 0.01 for i in range(120)) and all(weight[3000 + i] < 0.02 for i in range(60))
+    assert sum(weight[i] == 1 for i in range(100)) >= 90  # chance words in common may join a few
+
+
 # -- 7 -------------------------------------------------------------------------
 
 
