@@ -3,8 +3,8 @@
 The vocabulary's pattern cuts a text into pieces that are encoded independently.
 Cutting is done for a whole batch with numpy on code points; each different piece
 goes through the tokenizer once and is remembered.  Texts with characters whose
-Unicode class has changed over the versions, or that lie beyond U+2FFF, go through
-the tokenizer whole.
+Unicode class has changed over the versions, or that lie beyond U+2FFF, and texts
+that hold the string of an added token go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # single ids wherever their strings stand
         self.known: dict[int, np.ndarray] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -101,6 +101,8 @@ class TokenIds:
         first = np.cumsum(lengths) - lengths
         kind = kinds[np.minimum(codes, LIMIT)]
         odd = np.unique(np.searchsorted(first, np.flatnonzero(kind == UNSURE), "right") - 1)
+        if any(t in joined for t in self.added):
+            odd = np.union1d(odd, np.flatnonzero([any(t in text for t in self.added) for text in texts])).astype(np.int64)
         if len(odd):
             odd_set = set(odd.tolist())
             for i, ids in zip(odd.tolist(), self._whole([texts[i] for i in odd.tolist()])):

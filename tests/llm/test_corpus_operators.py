@@ -304,6 +304,16 @@ def test_packing(documents, rows, empty):
     assert packing.pack(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_added_tokens_keep_their_id():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a <|endoftext|> b", "no such", "<|endof", "text|>", "<|endoftext|><|endoftext|>", ""]
+    ids, counts = TokenIds(queries.tokenizer_path()).ids(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[:4].tolist() == [64, 220, 50256, 275]
+
+
 def test_tokens_equal_the_tokenizer():
     tokens, rng = TokenIds(queries.tokenizer_path()), random.Random(1)
     odd = ["", " ", "it's 'sfoo ''s x'll y'L  \n\n a\t\tb ", "日本語 test’s", "a'", "'", "'s", " 's", "\n'm  　b 12 3a!!", "<|endoftext|> hi", "  a", "'re're", "q'rx", "͸x"]
