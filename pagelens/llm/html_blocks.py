@@ -16,12 +16,14 @@ SCOPES = frozenset("ul ol dl table div section article aside nav form main heade
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|noscript|template|textarea|svg|iframe|object|select|canvas)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|noscript|template|textarea|iframe|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+# Elements left out up to their end tag; without one, or if an svg is closed in its own tag, only the tag is left out.
+ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("svg", "object", "canvas")}
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]")
 
@@ -44,7 +46,7 @@ def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[tuple[str, bool]] = []
-    links = 0
+    links, endless = 0, set()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(t for t, _ in held)).split())
@@ -54,7 +56,7 @@ def blocks(page: str | None) -> list[Block]:
         held.clear()
 
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             held.append((page[at : m.start()], links > 0))
         at = m.end()
@@ -64,6 +66,13 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         tag, closing = tag.lower(), (m[2] or m[5]) == "/"
+        if tag in ENDS and not closing:
+            held.append((" ", False))
+            if tag not in endless and not (tag == "svg" and m[0].endswith("/>")):
+                end = ENDS[tag].search(page, at)
+                at = end.end() if end else at
+                endless |= set() if end else {tag}
+            continue
         if tag in BLOCK_TAGS:
             flush()
         elif tag == "br":

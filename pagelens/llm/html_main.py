@@ -52,7 +52,7 @@ def features(page: list[Block]) -> np.ndarray:
         counts = np.bincount([PATH_CELLS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_CELLS for w in words], minlength=PATH_CELLS + WORD_CELLS)[PATH_CELLS:]
         x[i, PATH_CELLS : PATH_CELLS + WORD_CELLS] = counts / len(words)
         n = len(b.text)
-        x[i, -MEASURES:] = (min(np.log1p(n) / 8, 2), min(np.log1p(len(words)) / 6, 2), b.linked / n, b.text[-1] in ".!?…\"”", "©" in b.text, sum(map(str.isdigit, b.text[:200])) / min(n, 200), i / max(len(page) - 1, 1), min(len(page), 100) / 100)
+        x[i, -MEASURES:] = (min(np.log1p(n) / 8, 2), min(np.log1p(len(words)) / 6, 2), b.linked / n, b.text[-1] in ".!?…\"”", "©" in b.text, sum(map(str.isdigit, b.text)) / n, i / max(len(page) - 1, 1), min(len(page), 100) / 100)
     return x
 
 

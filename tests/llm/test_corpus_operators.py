@@ -236,6 +236,15 @@ def test_taken_mix_has_the_words(documents, labels):
 
 
 
+def test_self_closed_and_unclosed_elements_take_no_text():
+    texts = lambda page: " ".join(b.text for b in blocks(page))
+    assert texts('<p>a <svg class="i" aria-label="x>y"/> b</p><p>c</p><svg><text>no</text></svg><p>d</p>') == "a b c d"
+    assert texts("<p>a</p><object data=x><p>b</p><canvas><p>c</p><SVG><p>d") == "a b c d"
+    assert texts("<p>a</p><canvas><p>no</p></canvas><object>no</object ><p>b</p>") == "a b"
+    digits = html_main.features(blocks(f"<p>{'word ' * 100}{'1' * 500}</p>"))[0, -html_main.MEASURES + 5]
+    assert abs(digits - 0.5) < 1e-3
+
+
 # -- 6 -------------------------------------------------------------------------
 
 
