@@ -10,6 +10,7 @@ from pagelens.functions import urls
 from pagelens.functions.numbers import blend, points, score
 from pagelens.operators.scores import filled, flag
 from pagelens.sources import pages as P
+from pagelens.sources import structured
 
 c = F.col
 FACTORS = ("clear_definitions", "quotable_statements", "factual_density", "source_citations", "qa_format", "authority_signals", "content_freshness", "structure_clarity")
@@ -68,6 +69,7 @@ def eeat() -> dict[str, Column]:
 
 def page_content_audit(profiles: DataFrame) -> DataFrame:
     """profiles (+ structured data and entity signals where known) -> factors, E-E-A-T, readiness, lenses and overall score of every page."""
+    profiles = structured.with_summary(profiles)
     missing = {n: F.lit(False) for n in OPTIONAL if n not in profiles.columns}
     missing |= {n: F.lit(v) for n, v in (("images_with_alt_ratio", 1.0), ("entity_id_count", 0), ("relation_count", 0), ("visible_alignment_score", 0)) if n not in profiles.columns}
     if "same_as" not in profiles.columns:

@@ -11,8 +11,8 @@ from pagelens.sources.pages import page_facts
 KEPT = ["page_id", "url", "page_url", "host", "site_id", "scope_root", "url_type", "locale", "title", "lang", "meta_description", "canonical", "html_length"]
 
 
-def page_profiles(pages: DataFrame, schema: DataFrame | None = None) -> DataFrame:
-    """One row per page; schema (page_id, json_ld flags) joins the structured-data columns, absent ones are false."""
+def page_profiles(pages: DataFrame) -> DataFrame:
+    """One row per page; the scorers read structured data from json_ld (sources.structured.with_summary)."""
     facts = page_facts(pages)
     texts, levels = F.transform("headings", lambda h: h["text"]), F.transform("headings", lambda h: h["level"])
     facts = facts.withColumns({"heading_texts": texts, "heading_levels": levels, "words": T.word_count(F.col("text")), "lexical": T.lexical_ratio(F.col("text"))})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.numbers import blend, points, ratio, score, status
+from pagelens.sources import structured
 
 c = F.col
 
@@ -59,7 +60,8 @@ def schema_score() -> Column:
 
 
 def scored_pages(profiles: DataFrame) -> DataFrame:
-    """profiles (with or without structured data columns) + citability, content, technical, schema and overall scores."""
+    """profiles (with structured data columns, or json_ld to take them from) + citability, content, technical, schema and overall scores."""
+    profiles = structured.with_summary(profiles)
     for name in [*SCHEMA_WEIGHTS, "visible_alignment_score", "same_as"]:
         if name not in profiles.columns:
             kind = {"visible_alignment_score": "int", "same_as": "array<string>"}.get(name, "boolean")

@@ -328,6 +328,12 @@ def jsonld_summary(spark, sf_dir):
     return out.select("id", "json_ld_present", "has_organization", "has_article", "has_product", "visible_alignment_score", "relation_count")
 
 
+@query()
+def page_structured_data(spark, sf_dir):
+    names = [n for n in structured.summary_columns("text")]
+    return structured.with_summary(profiles(spark, sf_dir)).select("page_id", *names)
+
+
 @query("select * from (values (1, 40), (2, 0), (3, 100)) t(id, score)")
 def security_headers(spark, sf_dir):
     rows = [(1, {"X-Frame-Options": "DENY", "strict-transport-security": "x"}), (2, {}), (3, {h.upper(): "x" for h in scores.SECURITY_HEADERS})]

@@ -74,18 +74,31 @@ def json_ld(blocks: pd.Series) -> pd.DataFrame:
 
 def summarize(pages: DataFrame, key: str, blocks: str = "json_ld", text: str = "text") -> DataFrame:
     """key, blocks array<string>, text -> key and the structured-data columns that the scorers read."""
-    out = pages.select(key, json_ld(F.col(blocks)).alias("f"), text).select(key, "f.*", text)
-    low = F.transform("types", lambda t: F.lower(t))
+    columns = summary_columns(text)
+    return pages.select(key, json_ld(F.col(blocks)).alias("f"), text).select(key, *[c.alias(n) for n, c in columns.items()])
+
+
+def with_summary(pages: DataFrame, blocks: str = "json_ld", text: str = "text") -> DataFrame:
+    """pages with the columns of summarize in the same pass, unless they are there already or no blocks are."""
+    if blocks not in pages.columns or "json_ld_present" in pages.columns:
+        return pages
+    return pages.withColumn("f", json_ld(F.col(blocks))).withColumns(summary_columns(text)).drop("f")
+
+
+def summary_columns(text: str) -> dict[str, Column]:
+    """The columns of summarize, from f (JSON_LD) and text."""
+    f = F.col
+    low = F.transform("f.types", lambda t: F.lower(t))
     has = lambda *names: F.arrays_overlap(low, F.array(*map(F.lit, names)))
     shown = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
-    aligned = F.size(F.filter("texts", lambda t: shown.contains(t)))
-    score = F.when(F.col("blocks") == 0, 0).when(F.size("texts") == 0, 50).when(shown == "", 0).otherwise(F.bround(aligned / F.size("texts") * 100, 0).cast("int"))
-    return out.select(
-        key, (F.col("blocks") > 0).alias("json_ld_present"), "types", has(*ORGANIZATIONS).alias("has_organization"), has("localbusiness").alias("has_local_business"), has(*ARTICLES).alias("has_article"),
-        has("faqpage").alias("has_faq_page"), has("service").alias("has_service"), has("website").alias("has_website"), has(*PRODUCTS).alias("has_product"), has("definedterm").alias("has_defined_term"),
-        has("offer").alias("has_offer"), has("breadcrumblist").alias("has_breadcrumb_list"), F.array_contains("dates", "datePublished").alias("has_date_published"), F.array_contains("dates", "dateModified").alias("has_date_modified"),
-        F.size("dates").alias("date_signal_count"), score.cast("int").alias("visible_alignment_score"), F.size("texts").alias("text_item_count"), F.size("ids").alias("entity_id_count"), F.col("relations").alias("relation_count"), "same_as",
-    )
+    aligned = F.size(F.filter("f.texts", lambda t: shown.contains(t)))
+    score = F.when(f("f.blocks") == 0, 0).when(F.size("f.texts") == 0, 50).when(shown == "", 0).otherwise(F.bround(aligned / F.size("f.texts") * 100, 0).cast("int"))
+    return {
+        "json_ld_present": f("f.blocks") > 0, "types": f("f.types"), "has_organization": has(*ORGANIZATIONS), "has_local_business": has("localbusiness"), "has_article": has(*ARTICLES),
+        "has_faq_page": has("faqpage"), "has_service": has("service"), "has_website": has("website"), "has_product": has(*PRODUCTS), "has_defined_term": has("definedterm"),
+        "has_offer": has("offer"), "has_breadcrumb_list": has("breadcrumblist"), "has_date_published": F.array_contains("f.dates", "datePublished"), "has_date_modified": F.array_contains("f.dates", "dateModified"),
+        "date_signal_count": F.size("f.dates"), "visible_alignment_score": score.cast("int"), "text_item_count": F.size("f.texts"), "entity_id_count": F.size("f.ids"), "relation_count": f("f.relations"), "same_as": f("f.same_as"),
+    }
 
 
 # -- robots.txt ---------------------------------------------------------------

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import graph, scores, seo, store
+from pagelens.operators import graph, page_content, scores, seo, store
 from pagelens.operators.profiles import page_profiles
 from pagelens.sources import structured
 from pagelens.sources.pages import page_facts
@@ -38,6 +38,14 @@ def test_structured_data_scores(spark):
     assert row.schema_score == 18 + 10 + 5 + 10 and 0 <= row.overall_score <= 100
 
 
+def test_structured_data_reaches_the_scorers(spark):
+    row = {r.page_id: r for r in scores.scored_pages(page_profiles(pages(spark))).collect()}
+    assert row[1].schema_score == 18 + 10 + 5 + 10 and row[1].has_product and row[2].schema_score == 0
+    assert seo.seo_checks(scores.scored_pages(page_profiles(pages(spark)))).count()
+    support = {r.page_id: r.schema_support_score for r in page_content.page_content_audit(page_profiles(pages(spark))).collect()}
+    assert support[1] >= 15 + 10 + 8 and support[2] == 0
+
+
 def test_citability_example(spark):
     rows = [("homepage", "t", "m", "c", 1, 1, 180, False, False, False, False, False, 20, 25), ("service", "t", "m", "c", 1, 4, 900, True, True, True, True, True, 82, 88)]
     names = "page string, title string, meta_description string, canonical string, h1_count int, heading_count int, word_count int, answer_first boolean, has_quantified_data boolean, has_faq boolean, has_author boolean, has_publish_date boolean, information_density_score int, chunk_structure_score int"
