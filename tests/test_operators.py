@@ -93,6 +93,14 @@ def test_entity_graph(spark):
     assert {r.relation_type for r in graph.merge_edges(edges).collect()} == {"mentions", "offers", "describes", "has_feature", "has_spec", "suited_for", "backed_by_claim"}
 
 
+def test_entity_graph_reads_whole_texts(spark):
+    text = "Word here. " * 1000 + "".join(f"Rated {i} Ah. Customers saw {i}. Great for trip number {i}. Supports charging mode {i}. " for i in range(20))
+    rows = spark.createDataFrame([("s", 1, "p", text, [])], "site_id string, page_id long, name string, text string, heading_texts array<string>").withColumn("ord", F.struct("page_id"))
+    found = {(r.entity_type, r.name) for r in graph.entity_candidates(rows)[0].collect()}
+    for i in range(20):
+        assert {("specification", f"{i} Ah"), ("sentiment_claim", f"Customers saw {i}."), ("use_case", f"trip number {i}"), ("feature", f"charging mode {i}")} <= found
+
+
 def test_upsert_rules_and_idempotence(spark):
     names = "site_id string, url_hash string, final_url string, url_type string, discovery_source string, priority int, fetch_status string, fetched_at timestamp"
     old = spark.createDataFrame([("s", "a", "u1", "page", "sitemap", 50, "pending", None, False), ("s", "b", "u2", "blog", "sitemap", 20, "fetched", None, True)], names + ", is_active boolean")
