@@ -15,26 +15,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, which driver and executors see, as a URI.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session names none (local runs and tests).
+    It is the session's ``spark.checkpoint.dir``; only a local session that names none
+    gets a folder of its own, since executors elsewhere could not read one.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoint"))
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors see, as a URI."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("checkpoint"))
     return context.getCheckpointDir()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def text_key(text: str = "text") -> Column:
     """Tells apart the texts of rows that share a doc_id."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -42,3 +43,30 @@ def text_key(text: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_bytes_total(docs: DataFrame) -> int:
+    """Bytes of all texts, by which sketches and partitions are sized."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+#: Rows of one key that a task may get; keys with more are spread over several.
+HOT = 512
+#: Keys that are spread at most; the ones with most rows come first.
+MOST_HOT = 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", deal: Column | None = None) -> DataFrame:
+    """left joined with right on keys; right has n, how many rows of left have its keys.
+
+    Keys with more than HOT rows are dealt over n / HOT parts: left's rows by deal, or
+    one by one, and right's rows copied to each part.  The list of such keys is
+    broadcast; it has at most MOST_HOT rows, and what it leaves out is joined as any
+    other key.  Without deal, left must be written (see cut), since its rows are dealt
+    by their place.
+    """
+    hot = right.where(F.col("n") > HOT).groupBy(*keys).agg(F.ceil(F.max("n") / HOT).cast("int").alias("_parts")).orderBy(F.col("_parts").desc(), *keys).limit(MOST_HOT)
+    parts, deal = F.coalesce("_parts", F.lit(1)), F.monotonically_increasing_id() if deal is None else F.xxhash64(deal)
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(deal, parts).cast("int")).drop("_parts")
+    copied = right.drop("n").join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")

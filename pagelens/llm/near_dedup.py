@@ -27,7 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import cut, text_key
+from pagelens.llm.common import cut, spread_join, text_key
 from pagelens.llm.components import components
 from pagelens.llm.wordnum import U64, find_words, gram_hashes, mix, pieces, sequence_hashes, text_bytes, word_hashes
 
@@ -177,8 +177,10 @@ def _signatures(idf: Broadcast, bands: int, rows: int):
 
 
 def _verified(idf: Broadcast, threshold: float):
-    def one(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = text_bytes(pa.array([text.as_py()], pa.large_string()))
+    """Keep the pairs (id, hub) whose texts are alike; rows of one hub lie together, so its set is made once."""
+
+    def one(text: str) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = text_bytes(pa.array([text], pa.large_string()))
         starts, ends, _ = find_words(data, offsets)
         return _one_set(word_hashes(data, starts, ends, lower=True), idf.value)
 
@@ -186,12 +188,12 @@ def _verified(idf: Broadcast, threshold: float):
         last, held = None, None
         for batch in batches:
             keep = []
-            for i, u in enumerate(batch.column("u").to_pylist()):
-                if last is None or u != last[0] or batch.column("text_u")[i].as_py() != last[1]:
-                    last = (u, batch.column("text_u")[i].as_py())
-                    held = one(batch.column("text_u")[i])
-                keep.append(similarity(held, one(batch.column("text_v")[i])) >= threshold)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for text, other in zip(batch.column("text"), batch.column("text_hub")):
+                other = other.as_py()
+                if held is None or other != last:
+                    last, held = other, one(other)
+                keep.append(similarity(one(text.as_py()), held) >= threshold)
+            yield batch.select(["id", "hub"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -271,39 +273,43 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     idf = spark.sparkContext.broadcast(word_weights(docs))
     signed = cut(docs.withColumn("text_key", text_key()).mapInArrow(_signatures(idf, bands, rows), "doc_id long, text_key long, w1 long, w2 long, n_shingles long, bands array<long>"))
     # one node per different word sequence, named by its smallest doc_id
-    nodes = cut(signed.where("doc_id is not null and n_shingles > 0").groupBy("w1", "w2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    placed = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count_distinct("id").alias("n")).where("n > 1")
-    members = cut(placed.join(shared, "bucket").distinct())
-    score = members.groupBy("id").agg(F.sum("n").alias("score"))
-    hubs = members.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("hub"))
-    members = cut(members.join(hubs, "bucket"))
+    nodes = cut(signed.where("doc_id is not null and n_shingles > 0").groupBy("w1", "w2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    placed = cut(nodes.select("id", F.explode(F.array_distinct("bands")).alias("bucket")).distinct())
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(spread_join(placed, cut(shared.withColumn("size", F.col("n"))), ["bucket"], deal=F.col("id")))
+    score = members.groupBy("id").agg(F.sum("size").alias("score"))
+    hubs = members.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("n"))
+    hubs = cut(hubs.select("bucket", (-F.col("top.minus")).alias("hub"), "n"))
+    members = cut(spread_join(members, hubs, ["bucket"], deal=F.col("id")))
     ordered = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-    pairs = cut(members.where("id <> hub").select(*ordered("id", "hub")).distinct())
+    pairs = cut(members.where("id <> hub").select("id", "hub").distinct())
 
-    texts = docs.join(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.join(pairs.select(F.explode(F.array("id", "hub")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = cut(texts.select(F.col("doc_id").alias("id"), "text").distinct())
 
     def verify(candidates: DataFrame) -> DataFrame:
-        with_v = candidates.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-        with_both = with_v.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-        return with_both.select("u", "v", "text_u", "text_v").mapInArrow(_verified(idf, threshold), "u long, v long")
+        """candidates (id, hub) -> links (u, v); a hub's text is copied once for every HOT candidates, not into one task."""
+        theirs = candidates.groupBy("hub").agg(F.count("*").alias("n")).join(texts.select(F.col("id").alias("hub"), F.col("text").alias("text_hub")), "hub")
+        both = spread_join(candidates.join(texts, "id"), theirs, ["hub"], deal=F.col("id"))
+        return both.select("id", "hub", "text", "text_hub").mapInArrow(_verified(idf, threshold), "id long, hub long").select(*ordered("id", "hub"))
 
     links = cut(verify(pairs).distinct())
     found = components(links)
     # who is outside the component of a bucket's hub meets the bucket's members of other components
-    here = members.join(found.select("id", F.col("component").alias("c")), "id", "left").join(found.select(F.col("id").alias("hub"), F.col("component").alias("c_hub")), "hub", "left")
-    here = cut(here.where("n > 2").select("bucket", "id", "hub", "n", F.coalesce("c", "id").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub")))
+    of_hub = hubs.join(found.select(F.col("id").alias("hub"), F.col("component").alias("c_hub")), "hub", "left").select("bucket", "n", F.coalesce("c_hub", "hub").alias("c_hub"))
+    here = members.where("size > 2").join(found.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    here = cut(spread_join(here, of_hub, ["bucket"], deal=F.col("id")).select("bucket", "id", "hub", F.col("size").alias("n"), "c", "c_hub"))
     queries, others = here.where("c <> c_hub"), here.where("id <> hub")
-    few = queries.where(F.col("n") <= FEW).select("bucket", F.col("id").alias("a"), F.col("c").alias("c_a")).join(others.where(F.col("n") <= FEW).select("bucket", F.col("id").alias("b"), F.col("c").alias("c_b")), "bucket")
-    few = few.where("c_a <> c_b").select(*ordered("a", "b")).distinct().join(pairs, ["u", "v"], "left_anti")
+    few = queries.where(F.col("n") <= FEW).select("bucket", "id", "c").join(others.where(F.col("n") <= FEW).select("bucket", F.col("id").alias("hub"), F.col("c").alias("c_b")), "bucket")
+    few = few.where("c <> c_b").select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).distinct()
+    few = few.join(pairs.select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")), ["id", "hub"], "left_anti")
     # larger buckets: queries and members are dealt into blocks, every query block meets every member block
-    sizes = queries.where(F.col("n") > FEW).groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks"), F.ceil(F.max("n") / BLOCK).alias("m_blocks"))
+    sizes = queries.where(F.col("n") > FEW).groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks"), F.ceil(F.max("n") / BLOCK).alias("m_blocks"), F.max("n").alias("n"))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = [
-        queries.join(sizes, "bucket").select("bucket", "id", "c", F.lit(True).alias("query"), block("q_blocks").alias("i"), every("m_blocks").alias("j")),
-        others.join(sizes, "bucket").select("bucket", "id", "c", F.lit(False).alias("query"), every("q_blocks").alias("i"), block("m_blocks").alias("j")),
+        spread_join(queries.drop("n"), sizes, ["bucket"], deal=F.col("id")).select("bucket", "id", "c", F.lit(True).alias("query"), block("q_blocks").alias("i"), every("m_blocks").alias("j")),
+        spread_join(others.drop("n"), sizes, ["bucket"], deal=F.col("id")).select("bucket", "id", "c", F.lit(False).alias("query"), every("q_blocks").alias("i"), block("m_blocks").alias("j")),
     ]
     blocks = dealt[0].unionByName(dealt[1]).join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(_block_links(idf, threshold), "u long, v long")
     more = cut(verify(few).unionByName(blocks).distinct())
@@ -311,17 +317,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     if not more.isEmpty():  # the stars found so far stand for their links
         found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
-    owners = nodes.select("w1", "w2", "id").join(found, "id", "left").select("w1", "w2", F.coalesce("component", "id").alias("class"))
-    out = signed.select("doc_id", "text_key", "n_shingles", "w1", "w2").join(owners, ["w1", "w2"], "left")
-    class_id = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), class_id).alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+    owners = nodes.join(found, "id", "left").select("w1", "w2", "n", F.coalesce("component", "id").alias("class_id"))
+    signed = signed.drop("bands")
+    linked = spread_join(signed.where("n_shingles > 0 and doc_id is not null"), owners, ["w1", "w2"]).select("doc_id", "text_key", "n_shingles", "class_id")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
 
 
 def keep_one_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs without the near copies: of each class the row of its smallest doc_id stays, once; same columns."""
+    """docs without the near copies: of each class the row of its smallest doc_id stays, once; same columns.
+
+    Of rows alike in doc_id and text the one stays whose other columns come first as JSON.
+    """
     names = docs.columns
-    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", text_key())
-    named = keyed.where("_id is not null").join(kept.where("_id is not null").distinct(), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    return named.select(names).unionByName(keyed.where("_id is null").select(names))
+    kept = near_duplicates(docs, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    others = [c for c in names if c not in ("doc_id", "text")]
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), (F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if others else F.lit("")).alias("tie"))
+    named = packed.where("id is not null").join(kept, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min_by("row", "tie").alias("row"))
+    return named.select("row").unionByName(packed.where("id is null").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
