@@ -5,17 +5,20 @@ a weighted sample without replacement.  A source first gives its complete epochs
 the fraction left is the prefix of its documents in key order whose sizes add up to
 the token budget.  The prefix sum has two levels: sizes by slice of the key range,
 summed per source over the slices, and document by document only inside the one
-slice where the budget ends.  No source is gathered in one task.
+slice where the budget ends.  There are about as many slices as a slice has rows, so
+both levels grow with the root of the input.  No source is gathered in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import WORD, cut
+from pagelens.llm.common import MOST_HOT, WORD, cut, spread_join
 
-SLICES = 4096
+FEWEST_SLICES = 4096
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
@@ -63,18 +66,24 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, own: list[str]
     draw = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), draw.alias("draw"), *own)
     if labels is not None:
-        quality = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
-        drawn = drawn.join(quality, "doc_id", "left")
+        quality = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("named")).agg(F.avg("quality").alias("quality")).withColumn("nameless", F.lit(0))
+        # rows without doc_id match nothing and are dealt evenly
+        drawn = drawn.withColumns({"named": F.coalesce("doc_id", F.lit(0).cast("long")), "nameless": F.when(F.col("doc_id").isNull(), 1 + F.floor(F.col("draw") * 4096).cast("int")).otherwise(0)})
+        drawn = drawn.join(quality, ["named", "nameless"], "left").drop("named", "nameless")
     else:
         drawn = drawn.withColumn("quality", F.lit(None).cast("double"))
     weight = F.when(F.col("quality") >= 0.5, GOOD).when(F.col("quality") < 0.5, BAD).otherwise(UNKNOWN)
     # joins need a key that is never null
     drawn = drawn.withColumn("key", -F.log("draw") / weight).withColumn("origin", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    drawn = cut(drawn.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int")).drop("draw", "quality", "source"))
+    drawn = cut(drawn.drop("draw", "quality", "source"))
+    slices = max(FEWEST_SLICES, math.isqrt(drawn.count()))
+    drawn = drawn.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices).cast("int"))
 
     # the sums of the slices serve the sources' sizes too
-    slices = cut(drawn.groupBy("origin", "slice").agg(F.sum("size").alias("sum")))
-    sizes = slices.groupBy("origin").agg(F.sum("sum").alias("source_size")).select(F.expr("case when origin <> '' then substring(origin, 2) end").alias("source"), "source_size")
+    slices = cut(drawn.groupBy("origin", "slice").agg(F.sum("size").alias("sum"), F.count("*").alias("rows")))
+    sizes = slices.groupBy("origin").agg(F.sum("sum").alias("source_size"))
+    rows = slices.groupBy("origin").agg(F.sum("rows").alias("n"))
+    sizes = sizes.select(F.expr("case when origin <> '' then substring(origin, 2) end").alias("source"), "source_size")
     plan = targets(sizes).withColumn("origin", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("epochs", epochs).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -83,7 +92,8 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, own: list[str]
     ends = ends.groupBy("origin").agg(F.min(F.struct("slice", "upto", "sum")).alias("end"))
     plan = cut(plan.join(ends, "origin", "left").select("origin", "source_size", "target", "epochs", "budget", F.col("end.slice").alias("last"), (F.col("end.upto") - F.col("end.sum")).alias("before")))
 
-    placed = drawn.join(plan, "origin")
+    # a row a source: broadcast while it is small, else each source's rows are dealt over several tasks
+    placed = drawn.join(F.broadcast(plan), "origin") if plan.count() <= MOST_HOT else spread_join(drawn, plan.join(rows, "origin"), ["origin"])
     columns = ["doc_id", "size", "source_size", "target", *own]
     whole = placed.where("slice <> last or last is null")
     whole = whole.select(*columns, (F.col("size") * (F.col("epochs") + F.when(F.col("slice") < F.col("last"), 1).otherwise(0))).cast("long").alias("taken"))
