@@ -5,7 +5,8 @@ an anchor, the least-hashed 25-word gram inside it; neighbouring windows mostly
 share theirs, so there are about thirteen times fewer anchors than windows, and
 equal windows always have equal anchors.  Pass one counts in how many documents
 each anchor occurs in count-min sketches, one a partition, merged cell by cell;
-what the sketch reports is never too small.  Pass two keeps only the anchors that
+what the sketch reports is never too small.  Its width follows the bytes of all texts up to
+a bound, beyond which it filters less and the exact grouping works more.  Pass two keeps only the anchors that
 are estimated to repeat and groups their windows exactly: runs of windows with
 one anchor by the hash of all their words, and where the runs of an anchor
 differ, window by window.  Only the sketch's one-bit-a-cell verdict (a fixed size)
@@ -23,14 +24,15 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import cut, text_key
+from pagelens.llm.common import cut, spread_join, text_bytes_total, text_key
 from pagelens.llm.wordnum import U64, find_words, gram_hashes, mix, pieces, segments, sliding_min, text_bytes, word_hashes
 
 WINDOW = 50
 GRAM = 25
-LOG_CELLS = 27  # cells in each of the sketch's rows; 2 * 2**27 bits are 32 MB
 SKETCH_ROWS = 2
 SLICES = 64  # a row's cells in equal parts
+FEWEST_CELLS, MOST_CELLS = 20, 29  # powers of two; the verdict broadcast is SKETCH_ROWS * 2**29 bits, 128 MB, at most
+BYTES_A_CELL = 5  # of text; an anchor takes some 80 bytes of it
 
 
 def _anchors(piece: pa.RecordBatch) -> dict[str, np.ndarray] | None:
@@ -56,12 +58,17 @@ def _anchors(piece: pa.RecordBatch) -> dict[str, np.ndarray] | None:
     return {"doc": doc[run], "anchor": least[run], "at": at[run] - first[doc[run]], "length": length, "run": run, "window": wide[at]}
 
 
-def _cells(anchors: np.ndarray) -> Iterator[np.ndarray]:
+def log_cells(total_bytes: int) -> int:
+    """Cells in each of the sketch's rows, as a power of two."""
+    return min(MOST_CELLS, max(FEWEST_CELLS, (total_bytes // BYTES_A_CELL).bit_length()))
+
+
+def _cells(anchors: np.ndarray, log: int) -> Iterator[np.ndarray]:
     for row in range(SKETCH_ROWS):
-        yield mix(anchors, 100 + row) >> U64(64 - LOG_CELLS)
+        yield mix(anchors, 100 + row) >> U64(64 - log)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], log: int) -> Iterator[pa.RecordBatch]:
     """This partition's sketch, held sparsely: each slice's cells, those counted twice or more listed twice."""
     held: list[np.ndarray] = []
     for batch in batches:
@@ -74,8 +81,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 once[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
                 held.append(anchor[once])
     anchors = np.concatenate(held) if held else np.zeros(0, np.uint64)
-    rows, blobs, width = [], [], 1 << (LOG_CELLS - 6)
-    for row, cells in enumerate(_cells(anchors)):
+    rows, blobs, width = [], [], (1 << log) // SLICES
+    for row, cells in enumerate(_cells(anchors, log)):
         cells, times = np.unique(cells, return_counts=True)
         cells = np.repeat(cells, np.minimum(times, 2))
         cuts = np.searchsorted(cells, np.arange(SLICES + 1, dtype=np.uint64) * U64(width))
@@ -87,9 +94,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "cells"])
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], log: int) -> Iterator[pa.RecordBatch]:
     """For each slice one bit a cell: does the sum over the partitions reach two?"""
-    width = 1 << (LOG_CELLS - 6)
+    width = (1 << log) // SLICES
     seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for s, blob in zip(batch.column("slice").to_pylist(), batch.column("cells")):
@@ -103,9 +110,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_cells(docs: DataFrame) -> np.ndarray:
-    """The merged sketch's verdict, a bit a cell: SKETCH_ROWS * 2**LOG_CELLS bits at any input size."""
-    rows = docs.select("text").mapInArrow(_sketch, "slice int, cells binary").repartition(SKETCH_ROWS * SLICES, "slice").mapInArrow(_merge, "slice int, bits binary")
-    bits = np.zeros((SKETCH_ROWS * SLICES, (1 << (LOG_CELLS - 6)) // 8), np.uint8)
+    """The merged sketch's verdict, a bit a cell: SKETCH_ROWS rows of 2**log bits, log at most MOST_CELLS."""
+    log = log_cells(text_bytes_total(docs))
+    rows = docs.select("text").mapInArrow(lambda batches: _sketch(batches, log), "slice int, cells binary").repartition(SKETCH_ROWS * SLICES, "slice").mapInArrow(lambda batches: _merge(batches, log), "slice int, bits binary")
+    bits = np.zeros((SKETCH_ROWS * SLICES, (1 << log) // SLICES // 8), np.uint8)
     for r in cut(rows).coalesce(8).toLocalIterator():  # merged in parallel, then fetched in a few parts
         bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return bits.reshape(SKETCH_ROWS, -1)
@@ -113,13 +121,14 @@ def repeated_cells(docs: DataFrame) -> np.ndarray:
 
 def _runs(bits: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = (bits.value.shape[1] * 8).bit_length() - 1
         for batch in batches:
             for piece in pieces(batch, "text"):
                 found = _anchors(piece)
                 if found is None:
                     continue
                 keep = np.ones(len(found["anchor"]), bool)
-                for row, cell in zip(bits.value, _cells(found["anchor"])):
+                for row, cell in zip(bits.value, _cells(found["anchor"], log)):
                     keep &= (row[cell >> U64(3)] >> (cell & U64(7)).astype(np.uint8)) & 1 == 1
                 keep = np.flatnonzero(keep)
                 lengths, doc = found["length"][keep], found["doc"][keep]
@@ -149,20 +158,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     named = docs.where("doc_id is not null")
     runs = cut(named.mapInArrow(_runs(bits), "doc_id long, text_key long, anchor long, run long, at int, windows array<long>"))
     bits.destroy()  # the runs are written
-    different = cut(runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("windows").alias("windows")))
+    different = cut(runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("windows").alias("windows"), F.count("*").alias("n")))
     # anchors with runs that differ: their windows one by one
-    spread = different.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    single = different.join(spread, "anchor", "left_semi").select("anchor", "run", "least", F.posexplode("windows").alias("i", "window"))
-    first = single.groupBy("anchor", "window").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "window", "first")
-    earlier = single.join(first, ["anchor", "window"]).where("first < least")
+    spread = different.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    single = spread_join(different.select("anchor", "run", "least", "windows"), spread, ["anchor"], deal=F.col("run")).select("anchor", "run", "least", F.posexplode("windows").alias("i", "window"))
+    single = cut(single)
+    first = single.groupBy("anchor", "window").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1")
+    earlier = spread_join(single, first, ["anchor", "window"], deal=F.col("run")).where("first < least")
     earlier = earlier.groupBy("anchor", "run").agg(F.collect_list(F.struct("i", "first")).alias("earlier"))  # at most 26
-    known = different.where("least < most").select("anchor", "run", "least", F.lit(True).alias("again"))
-    known = known.join(earlier, ["anchor", "run"], "full")
+    known = different.drop("windows").join(earlier, ["anchor", "run"], "left").where("least < most or earlier is not null").drop("most")
     # a document's window goes if the run's first owner or the window's is smaller
-    hit = runs.select("doc_id", "text_key", "anchor", "run", "at", F.size("windows").alias("n")).join(known, ["anchor", "run"])
+    hit = spread_join(runs.select("doc_id", "text_key", "anchor", "run", "at", F.size("windows").alias("size")), known, ["anchor", "run"])
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     by_window = F.aggregate(F.filter(F.coalesce("earlier", F.array().cast("array<struct<i:int,first:bigint>>")), lambda e: e["first"] < F.col("doc_id")), F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(bit(e["i"])))
-    mask = F.when(F.col("least") < F.col("doc_id"), bit(F.col("n")) - 1).otherwise(by_window)
+    mask = F.when(F.col("least") < F.col("doc_id"), bit(F.col("size")) - 1).otherwise(by_window)
     return hit.select("doc_id", "text_key", "at", mask.alias("mask")).where("mask <> 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "mask")).alias("gone"))
 
 
