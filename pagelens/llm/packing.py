@@ -18,11 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import partitions, text_key
-from pagelens.llm.token_ids import TokenIds
+from pagelens.llm.common import partitions, text_bytes_total, text_key
+from pagelens.llm.token_ids import token_ids
 from pagelens.llm.wordnum import U64, find_words, mix, pieces, text_bytes, word_hashes
 
 LENGTH = 1024
+RANGE_BYTES = 32 << 20  # of text that a task packs
 DIMENSIONS, BITS = 3, 10
 _NORMAL = np.random.default_rng(11).standard_normal(1 << 16).astype(np.float32)
 
@@ -85,7 +86,7 @@ def _cut(edges: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _packed(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sequence = TokenIds(path), TaskContext.get().partitionId() << 33
+        tokens, sequence = token_ids(path), TaskContext.get().partitionId() << 33
         # of the stream not yet in a sequence: ids, and per segment document, start in it, its number of ids
         ids, doc, start, whole, sizes = np.zeros(0, np.uint32), [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -141,5 +142,6 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id"), text_key()).alias("tie"))
     keyed = keyed.mapInArrow(_keyed, f"{schema}, curve long")
     # the tie spreads documents with one key (copies) over partitions
-    dealt = keyed.repartitionByRange(partitions(spark), "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id")
+    ranges = max(partitions(spark), -(-text_bytes_total(docs) // RANGE_BYTES))
+    dealt = keyed.repartitionByRange(ranges, "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id")
     return dealt.select("doc_id", "text").mapInArrow(_packed(tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

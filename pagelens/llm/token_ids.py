@@ -2,7 +2,7 @@
 
 The vocabulary's pattern cuts a text into pieces that are encoded independently.
 Cutting is done for a whole batch with numpy on code points; each different piece
-goes through the tokenizer once and is remembered.  Texts with characters whose
+goes through the tokenizer once and is remembered under two 64-bit hashes.  Texts with characters whose
 Unicode class has changed over the versions, or that lie beyond U+2FFF, and texts
 that hold the string of an added token go through the tokenizer whole.
 """
@@ -27,14 +27,22 @@ SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202
 
 
 @lru_cache(1)
-def _classes() -> tuple[np.ndarray, np.ndarray]:
+def _classes() -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The class of each code point and two 64-bit values of it."""
     kind = np.zeros(LIMIT + 1, np.uint8)
     for c in range(LIMIT):
         now, then = unicodedata.category(chr(c)), unicodedata.ucd_3_2_0.category(chr(c))
         kind[c] = UNSURE if now[0] != then[0] else {"L": LETTER, "N": NUMBER}.get(now[0], 0)
     kind[list(SPACES)] = SPACE
     kind[LIMIT] = UNSURE
-    return kind, mix(np.arange(LIMIT + 1, dtype=np.uint64), 77)
+    every = np.arange(LIMIT + 1, dtype=np.uint64)
+    return kind, (mix(every, 77), mix(every, 78))
+
+
+def _piece_names(values: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(values[codes] * powers(_BASE, len(codes)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(codes))[starts] + (ends - starts).astype(np.uint64))
 
 
 @lru_cache(1)
@@ -73,6 +81,12 @@ def _piece_starts(codes: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.
     return np.flatnonzero(start)
 
 
+@lru_cache(2)
+def token_ids(path: str) -> TokenIds:
+    """The one of this worker process: the vocabulary is read once, not once a task."""
+    return TokenIds(path)
+
+
 class TokenIds:
     """ids(texts) -> (all ids as uint32, number of ids of each text)."""
 
@@ -82,7 +96,24 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # single ids wherever their strings stand
-        self.known: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces: both hashes, sorted by the first, and where their ids lie in flat."""
+        self.names, self.checks, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, names: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = np.searchsorted(self.names, names)
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(size) - size)
+        self.names, self.checks, self.size = np.insert(self.names, at, names), np.insert(self.checks, at, checks), np.insert(self.size, at, size)
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def _missing(self, names: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.arange(len(names))
+        return np.flatnonzero(self.names[np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)] != names)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -116,22 +147,20 @@ class TokenIds:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         starts = _piece_starts(codes, kind, first)
         ends = np.append(starts[1:], len(codes))
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(code_hash[codes] * powers(_BASE, len(codes)), out=sums[1:])
-        names = mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(codes))[starts] + (ends - starts).astype(np.uint64))
+        names, checks = (_piece_names(values, codes, starts, ends) for values in code_hash)
         names, where, which = np.unique(names, return_index=True, return_inverse=True)
-        keys = names.tolist()
-        if len(self.known) > MOST_REMEMBERED:
-            self.known.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        if len(self.names) > MOST_REMEMBERED:
+            self._forget()
+        new = self._missing(names)
+        if len(new):
             pieces = [joined[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
-            self.known.update(zip((keys[i] for i in new), self._pieces(pieces)))
-        each = [self.known[k] for k in keys]
-        flat, size = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
-        at = np.cumsum(size) - size
-        counts = size[which]
-        out = flat[np.repeat(at[which], counts) + segments(counts)]
+            self._learn(names[new], checks[where[new]], self._pieces(pieces))
+        known = np.searchsorted(self.names, names)
+        if (self.checks[known][which] != checks).any():  # two pieces share a name: the tokenizer cuts these texts itself
+            whole = self._whole(texts)
+            return np.concatenate(whole), np.array([len(w) for w in whole], np.int64)
+        counts = self.size[known][which]
+        out = self.flat[np.repeat(self.begin[known][which], counts) + segments(counts)]
         upto = np.concatenate([[0], np.cumsum(counts)])
         edge = np.searchsorted(starts, np.append(first, len(codes)))
         return out, np.diff(upto[edge])
