@@ -5,10 +5,15 @@ window of half-width W catches the others; a pair at the threshold falls inside
 another's window with a known probability, so the number of windows of M that a
 linked pair shares is binomial, and a pair is verified (cosine in double precision)
 if its count reaches the quantile that loses a share MISS of pairs right at the
-threshold.  Vectors are range-ordered by the first projection and dealt into blocks;
-blocks whose first projections lie further apart than SPREAD windows are not met.
-A block pair counts all its windows at once on projections in steps of 1/32, where a
-shared window is one comparison of bytes.
+threshold.  Vectors are sorted by the first projection and dealt into blocks of
+neighbours; blocks whose first projections lie further apart than SPREAD windows are
+not met.  Windows of the other projections are not swept in their own sorted order: a
+window that keeps a pair at the threshold with probability p holds at least p / 3.2 of
+all pairs of a corpus without structure, so sweeping until no such pair is lost lists
+each pair about three times.  Instead a block pair counts all its windows at once on
+projections in steps of 1/32, where a shared window is one comparison of bytes, and
+only verified links leave the task.  Work grows with the square of the different
+vectors within reach, about 0.2 ns a projection and pair.
 
 Equal vectors collapse first, so a group of copies of any size is one row.
 """
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import cut
+from pagelens.llm.common import cut, spread_join
 from pagelens.llm.components import components
 
 M = 48
@@ -70,7 +75,7 @@ def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             steps.append(np.clip(np.floor(p * STEPS) + 128, 0, 255).astype(np.uint8).tobytes())
             order.append(float(p[0]))
             sizes.append(len(x))
-        yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("copies"), batch.column("embedding"), pa.array(steps, pa.binary()), pa.array(order, pa.float64()), pa.array(sizes, pa.int32())], ["class", "copies", "embedding", "steps", "place", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(steps, pa.binary()), pa.array(order, pa.float64()), pa.array(sizes, pa.int32())], [*batch.schema.names, "steps", "place", "size"])
 
 
 def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -91,7 +96,7 @@ def _block_pair(threshold: float):
 
     def run(table: pa.Table) -> pa.Table:
         block = np.asarray(table.column("block"))
-        classes, copies = np.asarray(table.column("class")), np.asarray(table.column("copies"))
+        classes, copies = np.asarray(table.column("class").to_pylist(), object), np.asarray(table.column("copies"))
         steps = np.frombuffer(b"".join(table.column("steps").to_pylist()), np.uint8).reshape(-1, M)
         vectors = np.asarray(table.column("embedding").combine_chunks().flatten(), np.float64).reshape(len(classes), -1)
         vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -118,54 +123,60 @@ def _block_pair(threshold: float):
         links = np.bincount(a, copies[b], len(classes)) + np.bincount(b, copies[a], len(classes))
         reach = _labels(a, b, len(classes))
         used = np.flatnonzero(links)
-        return pa.table({"class": pa.array(classes[used]), "links": pa.array(links[used].astype(np.int64)), "joined": pa.array(classes[reach[used]])})
+        return pa.table({"class": pa.array(classes[used], pa.string()), "links": pa.array(links[used].astype(np.int64)), "joined": pa.array(classes[reach[used]], pa.string())})
 
     return run
 
 
+def block_partners(lows: list[float], highs: list[float], reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the blocks that each sorted block meets."""
+    return np.searchsorted(highs, np.subtract(lows, reach)), np.searchsorted(lows, np.add(highs, reach), "right") - 1
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept, one row per row.
 
-    Vectors link at cosine >= threshold.  Vectors that are null, empty or zero, or hold
+    Vectors link at cosine >= threshold, in double precision.  Vectors that are null, empty or zero, or hold
     null or non-finite components, and vectors of different sizes, link with nothing.
     Copies link with each other and count as links one by one.  component_id is the
     smallest vec_id reachable; kept says it is this row's.  Rows without vec_id take
     part and get their component's smallest id, null if it has none; their kept is
-    false if it has one, else true.  Other columns are not read; an empty table gives
-    no rows.
+    false if it has one, else true.  Vectors may be of any length.  Other columns are
+    not read; an empty table gives no rows.
     """
-    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    # one class per different vector; its hash names it (hashing skips nulls, so the size counts too)
-    keyed = given.withColumn("key", F.xxhash64("embedding")).withColumn("key2", F.hash("embedding", F.size("embedding")))
-    found = keyed.groupBy("key", "key2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    found = found.withColumn("class", F.xxhash64("key", "key2"))
-    schema = "class long, copies long, embedding array<float>, steps binary, place double, size int"
-    classes = cut(found.select("class", "copies", "embedding").mapInArrow(_projected, schema))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    # one class per different vector, named by two hashes (hashing skips nulls, so the size counts too)
+    keyed = given.withColumn("class", F.concat_ws(":", F.xxhash64("embedding"), F.xxhash64(F.lit(1), F.size("embedding"), "embedding")))
+    found = keyed.groupBy("class").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    schema = f"class string, copies long, least long, embedding {kind}, steps binary, place double, size int"
+    classes = cut(found.select("class", "copies", "least", "embedding").mapInArrow(_projected, schema))
     usable = classes.where("steps is not null")
 
     n = usable.count()
     blocks = max(1, -(-n // BLOCK))
     cuts = usable.agg(F.percentile_approx("place", [i / blocks for i in range(1, blocks)] or [0.5], 100 * blocks)).first()[0] or []
     cuts = sorted(set(cuts)) if blocks > 1 else []
-    # what precedes is one number a block; every row meets the blocks within reach once
-    block = F.lit(0)
-    lows, highs = [-float("inf"), *cuts], [*cuts, float("inf")]
-    reach = SPREAD * window(threshold) / STEPS
-    met = [[j for j in range(len(lows)) if not (lows[j] - highs[i] > reach or lows[i] - highs[j] > reach)] for i in range(len(lows))]
-    if cuts:
-        block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("place")))
-    partners = F.get(F.array(*[F.array(*map(F.lit, js)) for js in met]), F.col("block"))
-    dealt = usable.withColumn("block", block.cast("int")).withColumn("other", F.explode(partners))
+    # a few numbers a block; a block of more rows than BLOCK (multiples of one vector) is dealt into parts
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("place"))) if cuts else F.lit(0)
+    usable = usable.withColumn("slab", place.cast("int"))
+    counts = dict.fromkeys(range(len(cuts) + 1), 0) | {r["slab"]: r["n"] for r in usable.groupBy("slab").agg(F.count("*").alias("n")).collect()}
+    parts = np.array([max(1, -(-counts[i] // (2 * BLOCK))) for i in range(len(cuts) + 1)])
+    first = np.concatenate([[0], np.cumsum(parts)])
+    low, high = block_partners([-np.inf, *cuts], [*cuts, np.inf], SPREAD * window(threshold) / STEPS)
+    of = lambda numbers: F.get(F.array(*[F.lit(int(x)) for x in numbers]), F.col("slab"))
+    block = (of(first[:-1]) + F.pmod(F.xxhash64("class"), of(parts))).cast("int")
+    dealt = usable.withColumn("block", block).withColumn("other", F.explode(F.sequence(of(first[low]), of(first[high + 1] - 1))))
     dealt = dealt.select("class", "copies", "embedding", "steps", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    linked = cut(dealt.groupBy("i", "j", "size").applyInArrow(_block_pair(threshold), "class long, links long, joined long"))
+    linked = cut(dealt.groupBy("i", "j", "size").applyInArrow(_block_pair(threshold), "class string, links long, joined string"))
 
     reached = components(linked.select(F.col("class").alias("u"), F.col("joined").alias("v")))
     sums = linked.groupBy("class").agg(F.sum("links").alias("links"))
-    known = classes.select("class", "copies", "size").join(sums, "class", "left").join(reached.select(F.col("id").alias("class"), F.col("component").alias("group")), "class", "left")
+    known = classes.select("class", "copies", "least", "size").join(sums, "class", "left").join(reached.select(F.col("id").alias("class"), F.col("component").alias("group")), "class", "left")
     known = known.withColumn("group", F.coalesce("group", "class"))
-    owners = found.select("class", "least").join(known.select("class", "group"), "class").groupBy("group").agg(F.min("least").alias("component_id"))
-    known = known.join(owners, "group").select("class", "copies", "size", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    out = keyed.select("vec_id", F.xxhash64("key", "key2").alias("class")).join(known, "class")
+    owners = cut(known.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    known = spread_join(known, owners, ["group"], deal=F.col("class")).select("class", "copies", "size", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    out = spread_join(cut(keyed.select("vec_id", "class")), known.withColumn("n", F.col("copies")), ["class"])
     alone = F.col("size") == 0
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
     n_links = F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1 + F.col("links")).cast("long")
