@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-URL = r"^(?i:https?://)?(?:[^/?#@]*@)?([^/:?#\[\]]+)(?::\d*)?(?:/([^/?#]*))?"
+URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/:?#\[\]]+)(?::\d*)?(?:/([^/?#]*))?"
 
 
 def site_of(url: str = "url") -> list[Column]:
@@ -77,8 +77,8 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 ORACLE = r"""
 with c as (
   select page_id, url, date '2024-01-01' + ((page_id % 366 + 366) % 366)::int as fetched_on,
-         regexp_replace(lower(regexp_extract(coalesce(url, ''), '^(?i:https?://)?(?:[^/?#@]*@)?([^/:?#\[\]]+)(?::\d*)?(?:/([^/?#]*))?', 1)), '\.$', '') as host,
-         regexp_extract(coalesce(url, ''), '^(?i:https?://)?(?:[^/?#@]*@)?([^/:?#\[\]]+)(?::\d*)?(?:/([^/?#]*))?', 2) as segment
+         regexp_replace(lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/:?#\[\]]+)(?::\d*)?(?:/([^/?#]*))?', 1)), '\.$', '') as host,
+         regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/:?#\[\]]+)(?::\d*)?(?:/([^/?#]*))?', 2) as segment
   from pages),
 s as (select distinct host, segment from c where host <> ''),
 n as (select p, kind, ('0x' || substr(md5(p), 1, 2))::int as a, ('0x' || substr(md5(p), 3, 2))::int as b, ('0x' || substr(md5(p), 5, 2))::int as x, ('0x' || substr(md5(p), 7, 2))::int as y
