@@ -3,8 +3,9 @@
 Writing puts each payload into a PNG of 64 columns of 8-bit RGB samples (192 bytes a
 row) and the PNGs of a task into one ZIP archive, stored.  Reading plans byte ranges
 over the archives from their sizes alone; each task takes the archive's directory
-and reads the members that start inside its range, batch by batch through Arrow.  A
-member that fails is read again by its own offset, without touching the others.
+and reads the members that start inside its range, several a request and batch by
+batch through Arrow.  A member that fails is read again by its own offset, without
+touching the others.
 Archives of attempts that did not commit are not in the manifest and never read.
 """
 
@@ -129,10 +130,9 @@ class _Reader(DataSourceReader):
             return
         store, path = _open(self.uri)
         with store.open_input_file(f"{path}/{name}") as file, zipfile.ZipFile(file) as archive:
-            members = [m for m in archive.infolist() if first <= m.header_offset < last]
+            members = sorted((m for m in archive.infolist() if first <= m.header_offset < last), key=lambda m: m.header_offset)
         rows, held = [], 0
-        for member in members:
-            png, (length, payload) = read_member(store, f"{path}/{name}", member)
+        for member, (png, (length, payload)) in zip(members, read_members(store, f"{path}/{name}", members)):
             digits = member.filename.partition("/")[2].removesuffix(".png")
             rows.append((int(digits) if digits else None, length, payload, len(png), hashlib.sha256(png).hexdigest()))
             held += len(payload)
@@ -143,19 +143,57 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
+def spans(members: list[zipfile.ZipInfo], most: int = BATCH_BYTES) -> Iterator[list[zipfile.ZipInfo]]:
+    """Neighbouring members that are read with one request, about `most` bytes together (one member may exceed it)."""
+    part: list[zipfile.ZipInfo] = []
+    for member in members:
+        if part and member.header_offset + member.compress_size - part[0].header_offset > most:
+            yield part
+            part = []
+        part.append(member)
+    if part:
+        yield part
+
+
+def _parse(member: zipfile.ZipInfo, data: bytes, at: int) -> tuple[bytes, tuple[int, bytes]]:
+    """The member whose local header begins at data[at]; damage raises ValueError."""
+    head = data[at : at + 30]
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        raise ValueError(f"no member at {member.header_offset}")
+    begin = at + 30 + sum(struct.unpack_from("<HH", head, 26))
+    png = data[begin : begin + member.file_size]
+    if len(png) != member.file_size or zlib.crc32(png) != member.CRC:
+        raise ValueError(f"damaged member at {member.header_offset}")
+    return png, from_png(png)
+
+
+def read_members(store: fs.FileSystem, path: str, members: list[zipfile.ZipInfo]) -> Iterator[tuple[bytes, tuple[int, bytes]]]:
+    """Members in order, a span of them a request; one that fails is read again alone by its own offset."""
+    for part in spans(members):
+        begin, tail = part[0].header_offset, part[-1]
+        try:
+            with store.open_input_file(path) as file:
+                data = file.read_at(tail.header_offset - begin + 30 + 2 * len(tail.filename.encode()) + 64 + tail.file_size, begin)
+        except OSError:
+            data = b""
+        for member in part:
+            try:
+                found = _parse(member, data, member.header_offset - begin)
+            except ValueError:
+                found = read_member(store, path, member)
+            yield found
+
+
 def read_member(store: fs.FileSystem, path: str, member: zipfile.ZipInfo, attempts: int = ATTEMPTS) -> tuple[bytes, tuple[int, bytes]]:
     """One member's bytes and payload, read by its offset with an own handle; tried again alone, then the task fails."""
     for attempt in range(attempts):
         try:
             with store.open_input_file(path) as file:
                 head = file.read_at(30, member.header_offset)
-                if head[:4] != b"PK\x03\x04":
+                if len(head) < 30:
                     raise ValueError(f"no member at {member.header_offset}")
-                skip = 30 + sum(struct.unpack_from("<HH", head, 26))
-                png = file.read_at(member.file_size, member.header_offset + skip)
-            if len(png) != member.file_size or zlib.crc32(png) != member.CRC:
-                raise ValueError(f"damaged member at {member.header_offset}")
-            return png, from_png(png)
+                data = head + file.read_at(sum(struct.unpack_from("<HH", head, 26)) + member.file_size, member.header_offset + 30)
+            return _parse(member, data, 0)
         except (OSError, ValueError):
             if attempt + 1 == attempts:
                 raise
