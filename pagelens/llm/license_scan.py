@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from pagelens.llm.common import cut
 
-#: Lower-case words; upper-case ASCII is lowered first.  Raw text counts the same words with A-Z allowed.
+#: Words, once A-Z are lowered.
 LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Label, licence text, key phrase.
 TEMPLATES = (
@@ -93,12 +93,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and no labels.  Rows alike in text get the same
     labels; doc_id may be null.  Other columns are not read.
     """
-    lowered = F.lower(F.coalesce("text", F.lit("")))  # beyond A-Z it maps letters to letters, none of them in a phrase
-    words = F.regexp_extract_all(lowered, F.lit(LOWER_WORD), F.lit(0))
-    counted = docs.select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RAW_WORD), F.lit(0))).cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, VOCABULARY)), words).alias("known"), "text")
-    # the words themselves are needed only where a licence word occurs
-    words = F.when(F.size("known") > 0, F.regexp_extract_all(F.lower("text"), F.lit(LOWER_WORD), F.lit(0)))
-    words = counted.withColumn("words", words)
+    # capitals beyond A-Z stay inside words, but two of them become a to z when lowered: such texts go letter by letter
+    given = F.coalesce("text", F.lit(""))
+    lowered = F.when(given.contains("\u0130") | given.contains("\u212a"), F.translate(given, UPPER, UPPER.lower())).otherwise(F.lower(given))
+    words = docs.select("doc_id", F.regexp_extract_all(lowered, F.lit(LOWER_WORD), F.lit(0)).alias("words"))
+    words = words.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, VOCABULARY)), "words").alias("known"))
     base = F.when(F.array_contains("known", "license"), F.array(*[F.struct(F.lit(label).alias("label"), _base(F.col("words"), phrase).alias("at")) for phrase, label in BASE]))
     scanned = cut(words.select("doc_id", "n_words", "known", base.alias("base"), F.when(F.size("known") > 0, _codes(F.col("words"))).alias("codes")))
 
@@ -112,3 +111,35 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     more = F.coalesce(F.transform("aligned", lambda a: a["label"]), F.array().cast("array<string>"))
     labels, score = F.array_sort(F.array_distinct(F.concat("base_labels", more))), F.array_max(F.transform("aligned", lambda a: a["share"]))
     return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.least(F.lit(1.0), F.coalesce(score, F.lit(0.0))).alias("score"))
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _sql_places(phrase: list[str]) -> str:
+    return f"list_filter(range(1, len(w) - {len(phrase) - 2}), lambda p: w[p] = '{phrase[0]}' and w[p:p + {len(phrase) - 1}] = {_sql_list(phrase)})"
+
+
+def _sql_template(label: str, text: list[str], phrase: list[str]) -> str:
+    first = next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
+    weighed = [(i - first, w) for i, w in enumerate(text) if w not in COMMON]
+    mass = "list_reduce([0.0::double, " + ", ".join(f"m['{w}']" for _, w in weighed) + "], lambda a, b: a + b)"
+    share = "list_reduce([0.0::double, " + ", ".join(f"case when p + {by} > 0 and w[p + {by}] = '{w}' then m['{w}'] / {mass} else 0.0::double end" for by, w in weighed) + "], lambda a, b: a + b)"
+    return f"select r, '{label}' as label, {share} as share from (select r, w, unnest({_sql_places(phrase)}) as p from k), i"
+
+
+ORACLE = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+k as (select * from d where len(list_intersect(w, {_sql_list(VOCABULARY)})) > 0),
+f as (select x, count(*) as n from (select unnest(list_intersect(w, {_sql_list(VOCABULARY)})) as x from k) group by x),
+v as (select x, ln((select count(*) + 1 from d)::double / (coalesce(f.n, 0) + 1)::double) + 1 as idf from (select unnest({_sql_list(VOCABULARY)}) as x) left join f using (x)),
+i as (select map_from_entries(list((x, idf))) as m from v),
+a as ({" union all ".join(_sql_template(label, text.split(), phrase.split()) for label, text, phrase in TEMPLATES)}),
+b as ({" union all ".join(f"select r, '{label}' as label, unnest({_sql_places(phrase.split())}) - 1 as p from k" for phrase, label in BASE)}),
+bb as (select r, count(*) as n_base, min(p) as first_word, max(p) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by r),
+l as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from a union all select r, label from b) group by r),
+s as (select r, max(share) as score from a group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, least(1.0::double, coalesce(score, 0.0::double)) as score
+from d left join bb using (r) left join l using (r) left join s using (r)
+"""

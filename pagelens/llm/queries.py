@@ -71,5 +71,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_near_dedup": embedding_dedup.ORACLE,
         "op5_mixing_sources": mixing.ORACLE,
         "op7_url_filters": url_filters.ORACLE,
+        "op9_license_scans": license_scan.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
     }
