@@ -101,6 +101,27 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, **{100 + i: 100 for i in range(41)}}
 
 
+def test_one_of_each_group_keeps_columns_of_any_name(spark):
+    from pagelens.llm import common
+
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(2, text, 77, "b"), (1, text, 88, "a"), (1, text, 66, "c"), (3, None, 5, "d"), (None, text, 4, "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id long, _key string")
+    assert sorted(tuple(r)[2:] for r in near_dedup.keep_one_each(frame).collect()) == [(4, "e"), (5, "d"), (66, "c")]
+    assert common.cut(frame).count() == 5
+
+
+def test_hot_keys_are_joined_over_several_tasks(spark, monkeypatch):
+    from pagelens.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    left = common.cut(spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id")).alias("k"), "id"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    for deal in (None, F.col("id")):
+        assert sorted(map(tuple, common.spread_join(left, right, ["k"], deal=deal).collect())) == sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
+    assert common.spread_join(left, right.where("k > 250"), ["k"], "left").count() == 300
+
+
 # -- 2 -------------------------------------------------------------------------
 
 
@@ -143,6 +164,34 @@ def test_members_are_read_again_alone(tmp_path):
         media.from_png(png[:-20] + b"x" * 20)
 
 
+def test_a_failed_request_leaves_members_to_be_read_alone(tmp_path):
+    import zipfile
+
+    class Broken:
+        """The first request comes back damaged; later ones are whole."""
+
+        def __init__(self, store):
+            self.store, self.first = store, True
+
+        def open_input_file(self, path):
+            file, broken, self.first = self.store.open_input_file(path), self.first, False
+            if broken:
+                read = file.read_at
+                file = type("File", (), {"__enter__": lambda f: f, "__exit__": lambda f, *_: None, "read_at": lambda f, n, at: read(n, at)[:-150]})()
+            return file
+
+    texts = [b"a" * 700, b"", "héllo".encode()]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i, t in enumerate(texts):
+            z.writestr(f"{i}/{i}.png", media.to_png(t))
+    members = zipfile.ZipFile(tmp_path / "a.zip").infolist()
+    store = media.fs.LocalFileSystem()
+    want = [(len(t), t + b" " * (192 - len(t) if not t else -len(t) % 192)) for t in texts]
+    for reader in (store, Broken(store)):
+        assert [payload for _, payload in media.read_members(reader, str(tmp_path / "a.zip"), members)] == want
+    assert [len(part) for part in media.spans(members, 1)] == [1, 1, 1] and len(next(media.spans(members))) == 3
+
+
 # -- 3 -------------------------------------------------------------------------
 
 
@@ -211,6 +260,27 @@ def test_near_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_doubles_are_compared_in_doubles(spark):
+    angle = math.acos(0.9) + 5e-9
+    rows = [(1, [1.0, 0.0]), (2, [math.cos(angle), math.sin(angle)]), (3, [3.0, 0.0])]
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].component_id for i in (1, 2, 3)] == [1, 2, 1] and got[2].n_links == 0
+
+
+def test_multiples_of_one_vector_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(16)
+    rows = [(i, (base * (1 + i / 7)).tolist()) for i in range(60)] + [(100 + i, rng.standard_normal(16).tolist()) for i in range(60)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i, _ in rows] == near.tolist()
+    low, high = embedding_dedup.block_partners([-np.inf, 0.0, 1.0], [0.0, 1.0, np.inf], 0.5)
+    assert low.tolist() == [0, 0, 1] and high.tolist() == [1, 2, 2]
+
+
 # -- 5 -------------------------------------------------------------------------
 
 
@@ -293,6 +363,12 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(c, e.limit(0)).where("blocked").count() == 0 and url_filters.filter_urls(c.limit(0), e).count() == 0
 
 
+def test_hosts_of_other_schemes_and_numeric_addresses(spark):
+    rows = [("ftp://Example.com/a/b", "example.com", "a"), ("http://[2001:db8::1]:80/x", "[2001:db8::1]", "x"), ("example.com", "example.com", ""), ("//", "", "")]
+    got = spark.createDataFrame(rows, "url string, host_ string, segment_ string").select("host_", "segment_", *url_filters.site_of()).collect()
+    assert all((r.host, r.segment) == (r.host_, r.segment_) for r in got)
+
+
 # -- 8 -------------------------------------------------------------------------
 
 
@@ -323,6 +399,19 @@ def test_added_tokens_keep_their_id():
     assert ids[:4].tolist() == [64, 220, 50256, 275]
 
 
+def test_pieces_that_share_a_name_go_through_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from pagelens.llm import token_ids
+
+    path, text = queries.tokenizer_path(), "one two three, it's 4 o'clock"
+    plain = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    real = token_ids._piece_names
+    monkeypatch.setattr(token_ids, "_piece_names", lambda values, *rest: real(values, *rest) % np.uint64(3) if values is token_ids._classes()[1][0] else real(values, *rest))
+    got, counts = TokenIds(path).ids([text, ""])
+    assert got.tolist() == plain and counts.tolist() == [len(plain), 0]
+
+
 def test_tokens_equal_the_tokenizer():
     tokens, rng = TokenIds(queries.tokenizer_path()), random.Random(1)
     odd = ["", " ", "it's 'sfoo ''s x'll y'L  \n\n a\t\tb ", "日本語 test’s", "a'", "'", "'s", " 's", "\n'm  　b 12 3a!!", "<|endoftext|> hi", "  a", "'re're", "q'rx", "͸x"]
@@ -360,6 +449,13 @@ def test_license_templates_need_their_key_phrase(spark):
     assert got == {1: "cc-by-nc", 2: "", 3: "bsd", 4: ""}
 
 
+def test_license_of_long_texts_and_foreign_capitals(spark):
+    rows = [(1, "released under the mit license " * 1600), (2, "mit \u212aicense MIT LICENSE"), (3, "\u0130 Apache License, Version 2.0"), (4, "wor\u212a mit license")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].labels, got[1].score) == (8000, 1600, 3, 7998, "mit", 1.0)
+    assert [(got[i].n_words, got[i].base_labels) for i in (2, 3, 4)] == [(4, "mit"), (6, "apache"), (3, "mit")]
+
+
 def test_license_of_every_template_beside_others(spark):
     texts = [t for _, t, _ in license_scan.TEMPLATES]
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"{t} . licensed under cc by nc 4 0") for i, t in enumerate(texts)] + [(200, " x ".join(texts) * 3), (201, "nothing here")]
@@ -422,3 +518,24 @@ def test_pipeline(spark):
     want = sum(len(x) + 1 for x in tokens._whole([r.text for r in kept.collect()]))
     assert corpus_pipeline.STAGES[-1][1](spark, kept, folder).agg(F.sum("length")).first()[0] == want
     assert corpus_pipeline.run(spark, folder).agg(F.sum("length")).first()[0] == want
+
+
+def test_pipeline_of_awkward_rows(spark, documents, rows, empty, labels, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns pass every stage; so does an empty table."""
+    for name, frame in (("some", documents), ("none", empty)):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.cut(stage(spark, kept, f"{tmp_path}/some"))
+        assert kept.columns == documents.columns, name
+        texts = [r.text for r in kept.collect()]
+        if name == "toxicity":  # no toxic label, nothing goes
+            assert len(texts) == len(rows)
+        if name == "minhash_near_dedup":  # copies (2, 14), a near copy (3), a repeated row (12) and (9) go; rows without doc_id stay
+            assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16] and kept.where("doc_id is null").count() == 1
+        if name == "mixing":  # what has no word is not taken
+            assert texts and all(WORD.search(t) for t in texts)
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, f"{tmp_path}/some")
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in TokenIds(queries.tokenizer_path())._whole(texts))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
