@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 All but the last return the columns of documents: toxic documents go, one document
 of each group of near copies stays, repeated passages leave the texts, documents are
 repeated or cut as the mix takes them, and the last stage packs their tokens.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows,
+extra columns of any name and empty tables.  Texts that are null, empty or without a
+word are not toxic, resemble nothing and lose nothing; the mix takes none of their
+words, so they end there.  Rows without doc_id are compared with nothing and stay
+until the mix draws them like any other.  Of rows alike in doc_id and text one stays.
+An empty table gives no pieces.
 """
 
 from __future__ import annotations
