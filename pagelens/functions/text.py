@@ -79,20 +79,27 @@ BUSINESS_TYPES = {
 }
 
 
+def alternation(each: list[str]) -> str:
+    """One pattern for all; what begins at a word edge shares the test of that edge."""
+    edged = [p.removeprefix(START) for p in each if p.startswith(START)]
+    return "|".join([p for p in each if not p.startswith(START)] + ([f"{START}(?:{'|'.join(edged)})"] if edged else []))
+
+
 def patterns(table: dict[str, list[str]]) -> dict[str, str]:
     """One case-insensitive alternation for each locale that adds something, and the default one."""
-    return {locale: "|".join(table["default"] + (extra if locale != "default" else [])) for locale, extra in table.items()}
+    return {locale: alternation(table["default"] + (extra if locale != "default" else [])) for locale, extra in table.items()}
 
 
 def found(text: Column, table: dict[str, list[str]], locale: Column | None = None) -> Column:
-    """Does the text match the table's patterns of this locale?"""
+    """Does the text match the table's patterns of this locale?  One search, by the locale's pattern."""
     each = patterns(table)
-    out = F.coalesce(text, F.lit("")).rlike(f"(?iu){each['default']}")
-    if locale is not None:
-        for name, pattern in each.items():
-            if name != "default":
-                out = F.when(locale == name, F.coalesce(text, F.lit("")).rlike(f"(?iu){pattern}")).otherwise(out)
-    return out
+    given = F.coalesce(text, F.lit(""))
+    own = [name for name in each if name != "default"] if locale is not None else []
+    cases = None
+    for name in own:
+        cases = (F if cases is None else cases).when(locale == name, given.rlike(f"(?iu){each[name]}"))
+    default = given.rlike(f"(?iu){each['default']}")
+    return default if cases is None else cases.otherwise(default)
 
 
 def word_count(text: Column) -> Column:
@@ -105,8 +112,9 @@ def with_headings(text: Column, headings: Column) -> Column:
 
 def answer_first(text: Column, locale: Column) -> Column:
     """At least 20 tokens, of which the first 80 hold an answering phrase."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
-    return (F.size(tokens) >= 20) & found(F.lower(F.array_join(F.slice(tokens, 1, 80), " ")), ANSWERS, locale)
+    given = F.coalesce(text, F.lit(""))
+    head = F.regexp_replace(F.lower(F.regexp_extract(given, r"^\s*+((?:\S++\s*+){1,80})", 1)), r"\s+", " ")
+    return given.rlike(r"^\s*+(?:\S++\s++){19}\S") & found(head, ANSWERS, locale)
 
 
 def signals(text: Column, headings: Column, locale: Column) -> dict[str, Column]:
@@ -125,9 +133,16 @@ def signals(text: Column, headings: Column, locale: Column) -> dict[str, Column]
     }
 
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
+
+
 def lexical_ratio(text: Column) -> Column:
+    return variety(words(text))
+
+
+def variety(words: Column) -> Column:
     """Different lower-case words of three characters or more over all words."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
     unlike = F.size(F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.lower(w))))
     return unlike.cast("double") / F.greatest(F.size(words), F.lit(1)).cast("double")
 

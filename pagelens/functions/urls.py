@@ -107,8 +107,12 @@ def hash_key(*parts: Column) -> Column:
 
 def is_internal(url: Column, base: Column) -> Column:
     """Same host and, where the base has a locale path, under it."""
-    prefix = scope_prefix(base)
-    return (host(url) == host(base)) & ((prefix == "/") | F.startswith(F.lower(path(url)), prefix))
+    return is_inside(url, host(base), scope_prefix(base))
+
+
+def is_inside(url: Column, base_host: Column, prefix: Column) -> Column:
+    """is_internal, of a base whose host and scope prefix are known."""
+    return (host(url) == base_host) & ((prefix == "/") | F.startswith(F.lower(path(url)), prefix))
 
 
 def is_likely_homepage(url: Column) -> Column:
@@ -140,17 +144,26 @@ def entry_candidates(url: Column) -> Column:
     return F.array_distinct(F.array(make(scheme(url), name), make(scheme(url), other), make(other_scheme, name), make(other_scheme, other)))
 
 
+def folder(url: Column) -> Column:
+    """Scheme, host and path up to its last slash."""
+    return F.concat(site_root(url), F.regexp_replace(path(url), r"[^/]*$", ""))
+
+
 def absolute(href: Column, base: Column) -> Column:
     """href against base: absolute, //host, /path, ?query, #fragment and plain relative paths; dot segments are resolved for ./ and one ../ a step."""
-    folder = F.concat(site_root(base), F.regexp_replace(path(base), r"[^/]*$", ""))
+    return resolved(href, base, site_root(base), folder(base))
+
+
+def resolved(href: Column, url: Column, root: Column, under: Column) -> Column:
+    """absolute, of a base whose root and folder are known."""
     joined = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(scheme(base), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(site_root(base), href))
-        .when(F.startswith(href, F.lit("?")) | F.startswith(href, F.lit("#")) | (href == ""), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href))
-        .otherwise(F.concat(folder, href))
+        .when(F.startswith(href, F.lit("//")), F.concat(F.substring_index(root, "//", 1), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(F.startswith(href, F.lit("?")) | F.startswith(href, F.lit("#")) | (href == ""), F.concat(F.regexp_replace(url, r"[?#].*$", ""), href))
+        .otherwise(F.concat(under, href))
     )
-    return F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"/[^/.]+/\.\./", "/")
+    return F.when(joined.contains("/."), F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"/[^/.]+/\.\./", "/")).otherwise(joined)
 
 
 def is_public(url: Column) -> Column:

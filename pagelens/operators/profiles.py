@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
-from pagelens.sources.pages import page_facts
+from pagelens.sources.pages import fixed, page_facts
 
 KEPT = ["page_id", "url", "page_url", "host", "site_id", "scope_root", "url_type", "locale", "title", "lang", "meta_description", "canonical", "html_length"]
 
@@ -15,20 +15,20 @@ def page_profiles(pages: DataFrame) -> DataFrame:
     """One row per page; the scorers read structured data from json_ld (sources.structured.with_summary)."""
     facts = page_facts(pages)
     texts, levels = F.transform("headings", lambda h: h["text"]), F.transform("headings", lambda h: h["level"])
-    facts = facts.withColumns({"heading_texts": texts, "heading_levels": levels, "words": T.word_count(F.col("text")), "lexical": T.lexical_ratio(F.col("text"))})
-    facts = facts.withColumns(T.signals(F.col("text"), F.col("heading_texts"), F.col("locale")))
     labels = lambda c: F.filter(F.transform(c, lambda x: F.trim(x["text"])), lambda t: t != "")
-    facts = facts.withColumns({"internal_labels": labels("internal_links"), "external_labels": labels("external_links")})
+    facts = facts.withColumns({"heading_texts": texts, "heading_levels": levels, "found_words": T.words(F.col("text")), "internal_labels": labels("internal_links"), "external_labels": labels("external_links")})
+    facts = fixed(facts, "heading_texts", "heading_levels", "found_words", "internal_labels", "external_labels")
     share = lambda c: F.when(F.size(c) > 0, T.descriptive(F.col(c), F.col("locale")).cast("double") / F.size(c)).otherwise(0.0)
-    facts = facts.withColumns({"internal_share": share("internal_labels"), "external_share": share("external_labels")})
+    signals = T.signals(F.col("text"), F.col("heading_texts"), F.col("locale"))
+    facts = facts.withColumns({"word_count": F.size("found_words").cast("long"), "lexical": T.variety(F.col("found_words")), "internal_share": share("internal_labels"), "external_share": share("external_labels"), **signals})
+    facts = fixed(facts, "word_count", "lexical", "internal_share", "external_share", *signals)
     n = F.size("headings")
     return facts.select(
-        *KEPT, "text", "json_ld", "internal_links", "external_links", "heading_texts", "heading_levels",
-        F.col("words").alias("word_count"), n.alias("heading_count"), F.size(F.filter("heading_levels", lambda v: v == "h1")).alias("h1_count"),
-        *[F.col(c) for c in T.signals(F.col("text"), F.col("heading_texts"), F.col("locale"))],
+        *KEPT, "text", "html", "json_ld", "internal_links", "external_links", "heading_texts", "heading_levels",
+        "word_count", n.alias("heading_count"), F.size(F.filter("heading_levels", lambda v: v == "h1")).alias("h1_count"), *signals,
         F.bround("lexical", 2).alias("lexical_ratio"),
-        T.information_density(F.col("words"), F.col("lexical"), F.col("has_quantified_data"), n).alias("information_density_score"),
-        T.chunk_structure(F.col("words"), n, F.get("heading_levels", F.lit(0))).alias("chunk_structure_score"),
+        T.information_density(F.col("word_count"), F.col("lexical"), F.col("has_quantified_data"), n).alias("information_density_score"),
+        T.chunk_structure(F.col("word_count"), n, F.get("heading_levels", F.lit(0))).alias("chunk_structure_score"),
         T.heading_quality(F.col("heading_levels"), F.col("heading_texts")).alias("heading_quality_score"),
         F.size("internal_links").alias("internal_link_count"), F.size("external_links").alias("external_link_count"),
         F.bround("internal_share", 2).alias("descriptive_internal_link_ratio"), F.bround("external_share", 2).alias("descriptive_external_link_ratio"),

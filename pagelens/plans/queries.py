@@ -14,7 +14,7 @@ from pagelens.operators.profiles import page_profiles
 from pagelens.plans import oracle_parts as O
 from pagelens.plans import report
 from pagelens.sources import structured
-from pagelens.sources.pages import page_facts, read_pages
+from pagelens.sources.pages import dealt, page_facts, read_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,13 +117,13 @@ _SIGNALS = ["has_faq", "has_author", "has_publish_date", "has_quantified_data",
 
 @query(f"with d as (select doc_id, text, lang as locale from documents) select doc_id, {O.signals('text', '[]::varchar[]')} from d")
 def doc_signals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[v.alias(k) for k, v in T.signals(F.col("text"), F.array().cast("array<string>"), F.col("lang")).items()])
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", *[v.alias(k) for k, v in T.signals(F.col("text"), F.array().cast("array<string>"), F.col("lang")).items()])
 
 
 @query(f"""with d as (select doc_id, len({O.words('text')}) as word_count, {O.lexical('text')} as lexical, {O.found('text', T.QUANTIFIED)} as has_quantified_data, 0 as heading_count from documents)
 select doc_id, word_count, round_even(lexical, 2) as lexical_ratio, {O.DENSITY} as density from d""")
 def doc_density(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("word_count"), T.lexical_ratio(F.col("text")).alias("lexical"), T.found(F.col("text"), T.QUANTIFIED).alias("quantified"))
+    d = dealt(table(spark, sf_dir, "documents")).select("doc_id", T.word_count(F.col("text")).alias("word_count"), T.lexical_ratio(F.col("text")).alias("lexical"), T.found(F.col("text"), T.QUANTIFIED).alias("quantified"))
     return d.select("doc_id", "word_count", F.bround("lexical", 2).alias("lexical_ratio"), T.information_density(F.col("word_count"), F.col("lexical"), F.col("quantified"), F.lit(0)).alias("density"))
 
 
@@ -133,7 +133,7 @@ case {' '.join(f"when regexp_matches(lower(substr(text, 1, 1000)), {O.q('|'.join
 def entity_signals(spark, sf_dir):
     found = T.entity_signals(F.col("text"), F.lit(None).cast("string"))
     kept = ["address_detected", "phone_detected", "email_detected", "awards_detected", "certifications_detected"]
-    return table(spark, sf_dir, "documents").select("doc_id", *[found[k].alias(k) for k in kept], T.business_type(F.substring("text", 1, 1000)).alias("business_type"))
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", *[found[k].alias(k) for k in kept], T.business_type(F.substring("text", 1, 1000)).alias("business_type"))
 
 
 # -- sites --------------------------------------------------------------------------
@@ -242,7 +242,7 @@ def structure_graph_documents(spark, sf_dir):
 
 
 def _subjects(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = dealt(table(spark, sf_dir, "documents"))
     return graph.entity_candidates(d.select(F.coalesce("source", F.lit("none")).alias("site_id"), F.col("doc_id").alias("page_id"), F.struct("doc_id").alias("ord"), F.concat(F.lit("document "), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("text"), F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 1).alias("heading_texts")))
 
 

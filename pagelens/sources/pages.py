@@ -1,12 +1,14 @@
 """Fetched pages to typed facts, with built-in functions only.
 
 The table of pages (page_id, url, html) is the scan; parsing is regular expressions
-over each page's html, so it stays in the JVM and columns that a query does not use
-are never computed.
+over each page's html, so it stays in the JVM.  Each step of it is fixed (see `fixed`):
+later steps read its columns instead of parsing the page again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,21 +19,48 @@ ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "
 HIDDEN = ("script", "style", "template")
 
 
+def fixed(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns computed once a row, whatever reads them.
+
+    The optimizer merges projections and so repeats a column's expression wherever the
+    column is used, for each element inside functions over arrays; it does not merge
+    them through the expansion of a one-row array.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names)))).select(df.columns)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of few splits is dealt over all cores before its texts are searched; a large one has splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def decoded(text: Column) -> Column:
+    """Character references decoded; text should be a column or an element, since it is read twice."""
+    plain = text
     for name, letter in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    return text
+        plain = F.replace(plain, F.lit(name), F.lit(letter))
+    return F.when(text.contains("&"), plain).otherwise(text)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, though then reads it several times."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def visible(html: Column) -> Column:
     """Text outside tags, comments and hidden elements; white space is one space."""
-    for pattern in [r"(?s)<!--.*?-->", *(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in HIDDEN), r"<[^>]*>"]:
-        html = F.regexp_replace(html, pattern, " ")
-    return F.trim(F.regexp_replace(decoded(html), r"\s+", " "))
+    return bare(shown(html))
+
+
+def bare(html: Column) -> Column:
+    """visible, of html that is shown already."""
+    return once(F.regexp_replace(html, r"<[^>]*>", " "), lambda t: F.trim(F.regexp_replace(decoded(t), r"\s+", " ")))
 
 
 def shown(html: Column) -> Column:
@@ -44,7 +73,7 @@ def shown(html: Column) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's decoded value; empty if it is missing."""
     pattern = rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    return decoded(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    return once(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]), decoded)
 
 
 def tags(html: Column, name: str) -> Column:
@@ -60,19 +89,24 @@ def meta_content(html: Column, *names: str) -> Column:
 
 
 def headings(html: Column) -> Column:
-    """array<struct<level, text>> of h1 to h6 in order, empty ones left out."""
+    """array<struct<level, text>> of h1 to h6 of shown html in order, empty ones left out."""
     whole = F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"), F.lit(0))
-    each = F.transform(whole, lambda h: F.struct(F.lower(F.substring(h, 2, 2)).alias("level"), visible(h).alias("text")))
+    each = F.transform(whole, lambda h: F.struct(F.lower(F.substring(h, 2, 2)).alias("level"), bare(h).alias("text")))
     return F.filter(each, lambda h: h["text"] != "")
 
 
-def links(html: Column, base: Column) -> Column:
-    """array<struct<url, text>> of anchors to pages: absolute, first label of each URL."""
+def anchors(html: Column, url: Column, root: Column, folder: Column) -> Column:
+    """array<struct<url, text>> of the anchors of shown html that lead to pages, absolute."""
     whole = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*\bhref\b[^>]*>.*?</a\s*>"), F.lit(0))
-    each = F.transform(whole, lambda a: F.struct(urls.absolute(F.trim(attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), "href")), base).alias("url"), visible(a).alias("text")))
-    pages = F.filter(each, lambda x: x["url"].rlike("^https?://"))
-    addresses = F.transform(pages, lambda x: x["url"])
-    return F.filter(pages, lambda x, i: F.array_position(addresses, x["url"]) == i + 1)
+    each = F.transform(whole, lambda a: F.struct(once(F.trim(attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), "href")), lambda h: urls.resolved(h, url, root, folder)).alias("url"), bare(a).alias("text")))
+    return F.filter(each, lambda x: x["url"].rlike("^https?://"))
+
+
+def first_of_each(links: str) -> Column:
+    """The first anchor of each URL; links: a column that is computed already."""
+    addresses = F.transform(links, lambda x: x["url"])
+    places = F.transform(F.array_distinct(addresses), lambda u: F.array_position(addresses, u))
+    return F.transform(places, lambda i: F.element_at(links, i.cast("int")))
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
@@ -81,21 +115,27 @@ def page_facts(pages: DataFrame) -> DataFrame:
     Null html reads as an empty page; a null or empty url gives null url columns.
     """
     html = F.coalesce("html", F.lit(""))
-    out = pages.select("page_id", "url", urls.normalize_url(F.col("url")).alias("page_url"), html.alias("raw"), shown(html).alias("html"))
+    out = fixed(pages.select("page_id", "url", urls.normalize_url(F.col("url")).alias("page_url"), html.alias("raw"), shown(html).alias("html")), "page_url", "raw", "html")
     base = F.col("page_url")
+    out = out.withColumns({"host": urls.host(base), "root": urls.site_root(base), "prefix": urls.scope_prefix(base), "folder": urls.folder(base)})
+    out = fixed(out, "host", "root", "prefix", "folder")
+    links = F.filter(tags(F.col("html"), "link"), lambda t: F.lower(attribute(t, "rel")) == "canonical")
     out = out.select(
-        "page_id", "url", "page_url", "html",
-        urls.host(base).alias("host"), urls.site_id(base).alias("site_id"), urls.scope_root(base).alias("scope_root"), urls.url_type(base).alias("url_type"),
+        "page_id", "url", "page_url", "html", "host", "root", "prefix",
+        urls.site_id(base).alias("site_id"), F.concat("root", "prefix").alias("scope_root"), urls.url_type(base).alias("url_type"),
         F.nullif(visible(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title\s*>", 1)), F.lit("")).alias("title"),
         F.nullif(F.lower(attribute(F.regexp_extract("html", r"(?is)<html\b[^>]*>", 0), "lang")), F.lit("")).alias("lang"),
-        visible(F.col("html")).alias("text"),
+        bare(F.col("html")).alias("text"),
         meta_content(F.col("html"), "description").alias("meta_description"),
-        F.nullif(F.get(F.transform(F.filter(tags(F.col("html"), "link"), lambda t: F.lower(attribute(t, "rel")) == "canonical"), lambda t: attribute(t, "href")), F.lit(0)), F.lit("")).alias("canonical"),
-        headings(F.col("html")).alias("headings"), links(F.col("html"), base).alias("links"),
+        F.nullif(F.get(F.transform(links, lambda t: attribute(t, "href")), F.lit(0)), F.lit("")).alias("canonical"),
+        headings(F.col("html")).alias("headings"), anchors(F.col("html"), base, F.col("root"), F.col("folder")).alias("anchors"),
         F.regexp_extract_all("raw", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"), F.lit(1)).alias("json_ld"),
         F.length("raw").alias("html_length"),
     )
+    out = fixed(out, "site_id", "url_type", "title", "lang", "text", "meta_description", "canonical", "headings", "anchors", "json_ld", "html_length")
+    out = fixed(out.withColumn("links", first_of_each("anchors")), "links")
     locale = F.coalesce(urls.base_locale(F.col("lang")), urls.base_locale(urls.explicit_locale(F.col("page_url"))))
-    inside = F.filter("links", lambda x: urls.is_internal(x["url"], F.col("page_url")))
-    outside = F.filter("links", lambda x: ~urls.is_internal(x["url"], F.col("page_url")))
-    return out.withColumns({"locale": locale, "internal_links": inside, "external_links": outside})
+    inside = F.transform("links", lambda x: F.struct(x.alias("link"), urls.is_inside(x["url"], F.col("host"), F.col("prefix")).alias("inside")))
+    out = fixed(out.withColumns({"locale": locale, "sided": inside}), "locale", "sided")
+    side = lambda keep: F.transform(F.filter("sided", lambda x: x["inside"] == keep), lambda x: x["link"])
+    return fixed(out.withColumns({"internal_links": side(True), "external_links": side(False)}), "internal_links", "external_links").drop("anchors", "sided", "root", "prefix")
