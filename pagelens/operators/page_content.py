@@ -84,21 +84,6 @@ def page_content_audit(profiles: DataFrame) -> DataFrame:
     return out.select("page_id", "page_url", *FACTORS, *EEAT, "readiness_score", "page_content_score", "on_page_score", "schema_support_score", "lens_score", "page_score", F.transform(weakest, lambda w: w["factor"]).alias("weakest"))
 
 
-def ai_perception(sites: DataFrame) -> DataFrame:
-    """sites with the scores named below -> positive, neutral and controversial weight before normalising (see scores.percentages).
-
-    Needs visibility, authority, citability, presence, content, expertise, authoritativeness, trustworthiness,
-    technical, schema and platform scores, and the flags same_domain_sitemap, company_name_detected,
-    same_as_detected and llms_exists.
-    """
-    rest = lambda n: F.lit(100) - c(n)
-    penalty = points((12, c("same_domain_sitemap") == F.lit(False)), (10, ~flag("company_name_detected")), (8, ~flag("same_as_detected")), (4, ~flag("llms_exists")))
-    positive = blend((0.22, c("visibility")), (0.22, c("authority")), (0.12, c("expertise")), (0.12, c("authoritativeness")), (0.12, c("trustworthiness")), (0.08, c("technical")), (0.06, c("schema")), (0.06, c("platform")))
-    neutral = blend((0.18, rest("citability")), (0.24, rest("presence")), (0.18, rest("schema")), (0.20, rest("content")), (0.20, rest("authority")))
-    against = blend((0.28, rest("trustworthiness")), (0.22, rest("authority")), (0.12, rest("technical")), (0.16, rest("schema")), (0.10, rest("authoritativeness"))) + penalty
-    return sites.withColumns({"positive": F.greatest(positive, F.lit(12.0)), "neutral": F.greatest(neutral, F.lit(10.0)), "controversial": F.greatest(against, F.lit(8.0))})
-
-
 def audit_candidates(sites: DataFrame, candidates: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """sites (site_id, base_url), candidates and known (site_id, url) -> the `most` shortest new internal pages of each site."""
     new = candidates.where("url <> ''").distinct().join(known, ["site_id", "url"], "left_anti").join(sites, "site_id")

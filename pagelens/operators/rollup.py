@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions import urls
-from pagelens.functions.numbers import blend, score, status
+from pagelens.functions.numbers import blend, score
 from pagelens.operators import scores
 
 # URL keywords of the key pages.
@@ -56,32 +56,3 @@ def site_signals(profiles: DataFrame) -> DataFrame:
     business = T.business_type(F.concat_ws(" ", "title", "meta_description", F.substring("text", 1, 1000)))
     named = F.min_by("detected_company_name", F.when(F.col("detected_company_name").isNotNull(), first))
     return each.withColumn("business", business).groupBy("site_id").agg(*flags, named.alias("detected_company_name"), F.max("homepage_brand_mentions").alias("homepage_brand_mentions"), F.min_by("business", first).alias("business_type"))
-
-
-def site_summary(profiles: DataFrame) -> DataFrame:
-    """The six dimensions of every site, their composite and its status.
-
-    Inputs that pages cannot give (response headers, backlinks, crawler verdicts)
-    count as not known: technical is the mean page score with the rendering signal.
-    """
-    scored = scores.scored_pages(profiles)
-    joined = site_rollup(scored).join(site_signals(profiles), "site_id").join(key_pages(profiles), "site_id")
-    presence, complete = scores.brand_presence(), scores.business_completeness()
-    out = joined.withColumns({"presence_score": presence, "completeness_score": complete})
-    out = out.withColumns({
-        "visibility_score": score(blend((0.60, F.col("site_citability")), (0.20, F.col("presence_score")), (0.20, F.col("ssr_score")))),
-        "brand_score": scores.brand_authority(F.col("presence_score"), F.col("completeness_score")),
-        "content_score": score(F.col("avg_content_score")),
-        "technical_score": score(blend((0.75, F.col("avg_technical_score")), (0.25, F.col("ssr_score")))),
-        "schema_score": score(F.col("avg_schema_score")),
-        "platform_score": score(blend((0.50, F.col("site_citability")), (0.30, F.col("avg_content_score")), (0.20, F.col("avg_schema_score")))),
-    })
-    out = out.withColumn("composite_score", scores.composite())
-    return out.select("site_id", "host", "pages", "business_type", *[f"{d}_score" for d in scores.COMPOSITE], "composite_score", status(F.col("composite_score")).alias("status"))
-
-
-def action_plan(summaries: DataFrame, most: int = 3) -> DataFrame:
-    """Each site's weakest dimensions first: priority high, medium, low by rank (a top-k report)."""
-    long = summaries.select("site_id", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(d).alias("dimension"), F.col(f"{d}_score").alias("score")) for i, d in enumerate(scores.COMPOSITE)])).alias("x")).select("site_id", "x.*")
-    ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy("score", "ord"))).where(F.col("rank") <= most)
-    return ranked.select("site_id", "rank", "dimension", "score", F.get(F.array(*map(F.lit, ("high", "medium", "low"))), F.col("rank") - 1).alias("priority"))

@@ -55,7 +55,7 @@ SCHEMA_WEIGHTS = {"json_ld_present": 18, "has_organization": 15, "has_service":
 
 
 def schema_score() -> Column:
-    """Over the columns of sources.structured.summarize; missing structured data counts as none."""
+    """Over the columns of sources.structured.summary_columns; missing structured data counts as none."""
     return score(points(*[(w, flag(n)) for n, w in SCHEMA_WEIGHTS.items()], (5, F.coalesce(c("visible_alignment_score"), F.lit(0)) >= 60), (10, F.coalesce(F.size("same_as"), F.lit(0)) > 0)))
 
 
@@ -199,7 +199,9 @@ def observations(events: DataFrame) -> DataFrame:
     """
     source = F.get_json_object("props", "$.k")
     one = lambda kind: F.count_if(c("event_type") == kind)
-    grouped = events.select(source.alias("source"), "event_type", "value").groupBy("source").agg(F.count("*").alias("sessions"), one("purchase").alias("conversions"), one("signup").alias("cited"), F.bround(F.avg(F.when(c("event_type") == "signup", c("value"))), 2).alias("cited_value"))
+    grouped = events.select(source.alias("source"), "event_type", "value").groupBy("source").agg(F.count("*").alias("sessions"), one("purchase").alias("conversions"), one("signup").alias("cited"), F.sum(F.when(c("event_type") == "signup", c("value").cast("decimal(14,6)"))).alias("total"), F.count(F.when(c("event_type") == "signup", c("value"))).alias("valued"))
+    # exact sums, divided and rounded as decimals: the same on any number of partitions
+    grouped = grouped.withColumn("total", F.bround(F.when(c("valued") > 0, c("total") / c("valued").cast("decimal(10,0)")), 2).cast("double")).drop("valued").withColumnRenamed("total", "cited_value")
     out = grouped.withColumns({"conversion_rate": ratio(c("conversions"), c("sessions"), 4), "citation_rate": ratio(c("cited"), c("sessions"), 2)})
     signals = points((1, c("sessions") > 0), (1, c("conversions") > 0), (1, c("cited") > 0))
     return out.withColumn("maturity", F.get(F.array(*map(F.lit, ("none", "basic", "intermediate", "advanced"))), signals))

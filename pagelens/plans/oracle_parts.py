@@ -174,21 +174,3 @@ ISSUE_COUNT = points(*[(1, f"({t})") for _, _, t in RULES])
 def key_page(kind: str) -> str:
     hit = f"regexp_matches(lower(page_url), {q('|'.join(rollup.KEY_PAGES[kind]))})"
     return f"arg_min(page_url, (length(page_url), page_url)) filter (where {hit}) as {kind}_url"
-
-
-def seo_outcome(check: str) -> str:
-    tests = {
-        "CHK-004": "not_https = 0", "CHK-006": "dirty = 0", "CHK-007": "false", "CHK-014": "no_title = 0 and odd_titles <= greatest(1, n // 4)", "CHK-015": "false", "CHK-016": "odd_h1 = 0", "CHK-017": "false",
-        "CHK-018": "no_lang = 0", "CHK-020": "link_context >= 55", "CHK-021": "heavy = 0", "CHK-023": "content >= 65", "CHK-025": "any_reference and any_answer", "CHK-026": "citability >= 60",
-    }
-    return f"case when {tests[check]} then 'pass' else 'fail' end" if check in tests else "'na'"
-
-
-SEO = f"""{SCORED},
-sf as (select site_id, count(*) as n, count(*) filter (where not starts_with(url, 'https://')) as not_https, count(*) filter (where regexp_matches(url, '[?_]') or lower(url) <> url or length(url) > 110) as dirty,
-       count(*) filter (where title is null) as no_title, count(*) filter (where title is not null and length(title) not between 45 and 65) as odd_titles, count(*) filter (where h1_count <> 1) as odd_h1, count(*) filter (where lang is null) as no_lang,
-       count(*) filter (where html_length > 250000) as heavy, round_even(avg(link_context_score), 2) as link_context, round_even(avg(content_score), 2) as content, round_even(avg(citability_score), 2) as citability,
-       bool_or(has_reference_section) as any_reference, bool_or(answer_first) as any_answer from s group by site_id),
-sc as ({" union all ".join(f"select site_id, {q(i)} as check_id, {q(g)} as category, {q(v)} as severity, {q(pr)} as priority, {seo_outcome(i)} as outcome from sf" for i, g, v, pr in seo.CHECKS)})
-"""
-COMPOSITE = "{" + ", ".join(f"{k}: {v}" for k, v in scores.COMPOSITE.items()) + "}"

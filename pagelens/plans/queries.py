@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import numbers, urls
 from pagelens.functions import text as T
-from pagelens.operators import graph, page_content, rollup, scores, seo, store
+from pagelens.operators import graph, modules, page_content, rollup, scores, seo, store
 from pagelens.operators.profiles import page_profiles
 from pagelens.plans import oracle_parts as O
-from pagelens.plans import report
+from pagelens.plans import oracle_site as S
+from pagelens.plans import report, site_inputs
 from pagelens.sources import structured
 from pagelens.sources.pages import dealt, page_facts, read_pages
 
@@ -154,35 +155,88 @@ def site_rollup(spark, sf_dir):
     return rollup.site_rollup(scored(spark, sf_dir)).select(*_SITE_COLUMNS)
 
 
-@query(None)
+def _facts_of(spark, sf_dir):
+    return modules.site_facts(page_profiles(dealt(site_inputs.with_elements(table(spark, sf_dir, "pages")))))
+
+
+def _sites(spark, sf_dir):
+    """Module audits of all sites; page elements and response figures are drawn from the ids (see site_inputs)."""
+    pages = table(spark, sf_dir, "pages").select(urls.site_id(urls.normalize_url(F.col("url"))).alias("site_id")).distinct()
+    return modules.audited(_facts_of(spark, sf_dir), site_inputs.site_inputs(pages))
+
+
+_MODULES = ["content_score", "experience_score", "expertise_score", "authoritativeness_score", "trustworthiness_score", "technical_score", "schema_score", "presence_score", "mentions_score", "consistency_score", "completeness_score", "backlink_score", "llms_score", "citability", "brand_score", "quality_score", "visibility_score", "platform_score"]
+
+
+@query(f"with {S.SITES} select site_id, {', '.join(_MODULES)} from m")
+def site_modules(spark, sf_dir):
+    return _sites(spark, sf_dir).select("site_id", *_MODULES)
+
+
+@query(f"with {S.SITES} select site_id, host, n as pages, visibility_score, brand_score, quality_score, technical_score, schema_score, platform_score, composite_score, {O.status('composite_score')} as status from m")
 def site_composite(spark, sf_dir):
-    return rollup.site_summary(profiles(spark, sf_dir))
+    return _sites(spark, sf_dir).select("site_id", "host", F.col("n").alias("pages"), *modules.DIMENSIONS.values(), "composite_score", "status")
 
 
-@query(None)
+@query(f"""with {S.SITES}, x as (select site_id, unnest([{', '.join(map(str, range(6)))}]) as ord, unnest([{', '.join(O.q(d) for d in modules.DIMENSIONS)}]) as dimension, unnest([{', '.join(modules.DIMENSIONS.values())}]) as score from m),
+r as (select *, row_number() over (partition by site_id order by score, ord) as rank from x) select site_id, rank, dimension, score, case when rank = 1 then 'high' when rank <= 3 then 'medium' else 'low' end as priority from r""")
 def site_action_plan(spark, sf_dir):
-    return rollup.action_plan(rollup.site_summary(profiles(spark, sf_dir)))
+    return modules.action_plan(_sites(spark, sf_dir))
 
 
-@query(None)
+@query(f"with {S.SITES}, x as (" + " union all ".join(f"select site_id, {O.q(p)} as platform, {p}_score as score, {w}::double as weight, {S.GAPS[p]} as has_gap from m" for p, w in scores.PLATFORMS.items()) + f") select *, {O.status('score')} as status from x")
+def site_platforms(spark, sf_dir):
+    return modules.platforms(_sites(spark, sf_dir))
+
+
+@query(f"with {S.PERCEPTION} select site_id, part, (whole + case when rank <= rest then 1 else 0 end)::int as percentage from r")
+def ai_perception(spark, sf_dir):
+    return modules.perception(_sites(spark, sf_dir))
+
+
+@query(f"with {S.SITES} select site_id, array_to_string(({S.KEYWORDS} || [{', '.join(map(O.q, modules.FALLBACKS))}])[1:4], ',') as keywords from m")
+def perception_keywords(spark, sf_dir):
+    return modules.perception_keywords(_sites(spark, sf_dir)).select("site_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query(f"with {S.FACTS} select site_id, named as company_name_detected, address as address_detected, phone as phone_detected, email as email_detected, awards as awards_detected, certificates as certifications_detected, company as detected_company_name, mentions::bigint as homepage_brand_mentions from st")
 def site_entity_signals(spark, sf_dir):
-    return rollup.site_signals(profiles(spark, sf_dir))
+    facts = _facts_of(spark, sf_dir)
+    return facts.select("site_id", *modules.SIGNALS, F.col("company").alias("detected_company_name"), F.col("mentions").alias("homepage_brand_mentions"))
 
 
-@query(f"with {O.SEO} select * from sc")
+@query(f"with {S.CHECKS} select * from sc")
 def seo_checks(spark, sf_dir):
-    return seo.seo_checks(scored(spark, sf_dir))
+    return seo.seo_checks(_sites(spark, sf_dir))
 
 
-@query(f"with {O.SEO} select category, count(*) as total, count(*) filter (where outcome = 'pass') as passed, count(*) filter (where outcome = 'fail') as failed, count(*) filter (where outcome = 'na') as not_applicable from sc group by category")
+@query(f"with {S.CHECKS} select category, count(*) as total, count(*) filter (where outcome = 'pass') as passed, count(*) filter (where outcome = 'fail') as failed, count(*) filter (where outcome = 'na') as not_applicable from sc group by category")
 def seo_coverage(spark, sf_dir):
-    return seo.seo_coverage(seo.seo_checks(scored(spark, sf_dir)))
+    return seo.seo_coverage(seo.seo_checks(_sites(spark, sf_dir)))
 
 
-@query(f"""with {O.SEO} select site_id, 'P-' || lpad((row_number() over (partition by site_id order by case severity when 'critical' then 0 when 'high' then 1 else 2 end, check_id))::varchar, 3, '0') as issue_id, check_id, category, severity, priority,
-case when priority = 'P0' then 'foundation' when category in ('Schema', 'Content Quality', 'On-Page SEO') then 'content' else 'growth' end as phase from sc where outcome = 'fail'""")
+@query(f"with {S.ISSUES} select site_id, 'P-' || lpad(k::varchar, 3, '0') as issue_id, check_id, category, severity, priority, phase from si")
 def seo_issues(spark, sf_dir):
-    return seo.seo_issues(seo.seo_checks(scored(spark, sf_dir)))
+    return seo.seo_issues(seo.seo_checks(_sites(spark, sf_dir)))
+
+
+@query(f"""with {S.ISSUES} select site_id, 'P-' || lpad(k::varchar, 3, '0') as issue_id, check_id, phase, priority,
+case phase when '0-30' then 'Stop-loss: fix crawl, index, and canonical blockers.' when '31-60' then 'Build stronger landing pages, metadata, and structured content coverage.' else 'Compound trust, AI visibility, and long-tail quality signals.' end as expected_impact from si where k <= 12""")
+def seo_roadmap(spark, sf_dir):
+    return seo.seo_roadmap(seo.seo_issues(seo.seo_checks(_sites(spark, sf_dir))))
+
+
+@query(f"with {S.SEO} select * from q")
+def seo_scores(spark, sf_dir):
+    return seo.seo_scores(_sites(spark, sf_dir))
+
+
+@query(f"""with {S.SEO}, w as ({" union all ".join(f"select site_id, {O.q(d)} as dimension, {w}::double as weight, {d}_score as score from q" for d, w in seo.WEIGHTS.items())}),
+g as (select site_id, case {' '.join(f"when category in ({', '.join(map(O.q, names))}) then {O.q(d)}" for d, names in seo.CATEGORIES.items())} end as dimension, list(check_id order by check_id) as ids from sc where outcome = 'fail' group by all)
+select w.*, {O.status('score')} as status, coalesce(array_to_string(ids[1:4], ','), '') as issues from w left join g on w.site_id = g.site_id and w.dimension = g.dimension""")
+def seo_cards(spark, sf_dir):
+    sites = _sites(spark, sf_dir)
+    return seo.seo_cards(seo.seo_scores(sites), seo.seo_checks(sites))
 
 
 @query("""with c as (select o_custkey as custkey, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o, count(*) filter (where o_orderstatus = 'P') as p from orders group by 1),
@@ -289,8 +343,9 @@ def url_upsert(spark, sf_dir):
     return store.upsert_urls(old, batch).select("site_id", "url_hash", "final_url", "url_type", "priority", "fetch_status", "is_active")
 
 
-@query("""with g as (select json_extract_string(props, '$.k') as source, count(*) as sessions, count(*) filter (where event_type = 'purchase') as conversions, count(*) filter (where event_type = 'signup') as cited,
-round_even(avg(value) filter (where event_type = 'signup'), 2) as cited_value from events group by 1)
+@query("""with g0 as (select json_extract_string(props, '$.k') as source, count(*) as sessions, count(*) filter (where event_type = 'purchase') as conversions, count(*) filter (where event_type = 'signup') as cited,
+((sum(value::decimal(14, 6)) filter (where event_type = 'signup')) * 1000000)::hugeint as a, (count(value) filter (where event_type = 'signup'))::hugeint * 10000 as d from events group by 1),
+g as (select source, sessions, conversions, cited, case when d > 0 then (a // d + case when a % d * 2 > d or (a % d * 2 = d and (a // d) % 2 = 1) then 1 else 0 end)::double / 100 end as cited_value from g0)
 select *, round_even(conversions::double / sessions, 4) as conversion_rate, round_even(cited::double / sessions, 2) as citation_rate,
 ['none', 'basic', 'intermediate', 'advanced'][1 + (sessions > 0)::int + (conversions > 0)::int + (cited > 0)::int] as maturity from g""")
 def observation_rollup(spark, sf_dir):
@@ -405,18 +460,5 @@ def page_indexability(spark, sf_dir):
 
 @query(None)
 def site_reports(spark, sf_dir):
-    summary = rollup.site_summary(profiles(spark, sf_dir))
-    return report.site_reports(summary, rollup.action_plan(summary))
-
-
-@query(None)
-def ai_perception(spark, sf_dir):
-    """Perception of every site; what pages cannot tell (sitemap, llms.txt, structured data) counts as missing."""
-    audit = page_content.page_content_audit(profiles(spark, sf_dir)).select("page_id", *page_content.EEAT)
-    known = profiles(spark, sf_dir).select("page_id", "site_id")
-    mean = known.join(audit, "page_id").groupBy("site_id").agg(*[F.avg(e).alias(e) for e in page_content.EEAT])
-    sites = rollup.site_summary(profiles(spark, sf_dir)).join(mean, "site_id")
-    named = {"visibility": "visibility_score", "authority": "brand_score", "citability": "visibility_score", "presence": "brand_score", "content": "content_score", "technical": "technical_score", "schema": "schema_score", "platform": "platform_score"}
-    flags = {n: F.lit(False) for n in ("company_name_detected", "same_as_detected", "llms_exists")}
-    scored_sites = sites.withColumns({k: F.col(v) for k, v in named.items()} | flags | {"same_domain_sitemap": F.lit(None).cast("boolean")})
-    return scores.percentages(page_content.ai_perception(scored_sites), "site_id", ["positive", "neutral", "controversial"])
+    sites = _sites(spark, sf_dir)
+    return report.site_reports(sites, modules.action_plan(sites))

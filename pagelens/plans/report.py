@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.operators.modules import DIMENSIONS
 from pagelens.operators.scores import COMPOSITE
 
 
 def site_reports(summaries: DataFrame, actions: DataFrame) -> DataFrame:
     """site summaries and action plan -> site_id, file_name, markdown."""
     c = F.col
-    lines = [F.concat(F.lit(f"| {d} | "), c(f"{d}_score").cast("string"), F.lit(f" | {w:.0%} |")) for d, w in COMPOSITE.items()]
+    lines = [F.concat(F.lit(f"| {d} | "), c(DIMENSIONS[d]).cast("string"), F.lit(f" | {w:.0%} |")) for d, w in COMPOSITE.items()]
     steps = F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("1. **"), "priority", F.lit("** "), "dimension", F.lit(" ("), c("score").cast("string"), F.lit(")")).alias("line"))))
     plan = actions.groupBy("site_id").agg(F.transform(steps, lambda s: s["line"]).alias("steps"))
     joined = summaries.join(plan, "site_id", "left")

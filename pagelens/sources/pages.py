@@ -121,7 +121,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     out = fixed(out, "host", "root", "prefix", "folder")
     links = F.filter(tags(F.col("html"), "link"), lambda t: F.lower(attribute(t, "rel")) == "canonical")
     out = out.select(
-        "page_id", "url", "page_url", "html", "host", "root", "prefix",
+        "page_id", "url", "page_url", "raw", "html", "host", "root", "prefix",
         urls.site_id(base).alias("site_id"), F.concat("root", "prefix").alias("scope_root"), urls.url_type(base).alias("url_type"),
         F.nullif(visible(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title\s*>", 1)), F.lit("")).alias("title"),
         F.nullif(F.lower(attribute(F.regexp_extract("html", r"(?is)<html\b[^>]*>", 0), "lang")), F.lit("")).alias("lang"),
