@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions import urls
+from pagelens.sources.pages import fixed
 
 lit, col = F.lit, F.col
 
@@ -47,48 +48,76 @@ def ordered(profiles: DataFrame) -> DataFrame:
     return profiles.where("page_url is not null").withColumn("ord", F.struct(F.length("page_url").alias("n"), col("page_url").alias("u"), col("page_id").alias("i")))
 
 
-def structure_candidates(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entity and edge candidates of the structure graph (sites, organizations, pages, products, services, external sources)."""
+def structure_candidates(profiles: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entity and edge candidates of the structure graph: sites, organizations, pages, products, services, external profiles and sources.
+
+    profiles with structured data (same_as), known (site_id, page_url): the pages that links may lead to.  A page's
+    candidates are one array, so each table is one scan; only links are joined, with the pages they name.  Of
+    a page the first 20 sameAs, 30 internal and 20 external links count, as the rules have it.
+    """
     pages = ordered(profiles)
-    domain = urls.registered_domain(col("page_url"))
-    company = T.company_name(col("title"))
-    name = F.coalesce(company, domain)
+    domain, company = urls.registered_domain(col("page_url")), T.company_name(col("title"))
+    key = lambda kind, name: entity_key(lit(kind), col("site_id"), name)
+    cites = F.coalesce(col("has_reference_section"), lit(False)) | F.coalesce(col("has_inline_citations"), lit(False))
     pages = pages.withColumns({
-        "title_or_url": F.coalesce("title", "page_url"), "site_key": entity_key(lit("site"), col("site_id"), col("scope_root")), "org_key": entity_key(lit("organization"), col("site_id"), urls.site_root(col("page_url"))),
-        "page_key": entity_key(lit("page"), col("site_id"), col("page_url")), "company": name, "root": urls.site_root(col("page_url")), "domain": domain,
+        "title_or_url": F.coalesce("title", "page_url"), "domain": domain, "company": company, "root": urls.site_root(col("page_url")), "cites": cites,
+        "inside": F.transform(F.slice("internal_links", 1, 30), lambda x: F.struct(urls.normalize_url(x["url"]).alias("url"), F.nullif(F.trim(x["text"]), lit("")).alias("text"))),
+        "outside": F.filter(F.transform(F.slice("external_links", 1, 20), lambda x: F.struct(urls.normalize_url(x["url"]).alias("url"), F.nullif(F.trim(x["text"]), lit("")).alias("text"))), lambda x: x["url"].isNotNull()),
+        "profiles": F.filter(F.transform(F.slice(F.coalesce("same_as", F.array().cast("array<string>")), 1, 20), urls.normalize_url), lambda u: u.isNotNull()),
     })
-    home = pages.where(col("url_type").isin("homepage", "about", "contact"))
-    product, service = pages.where("url_type = 'product'"), pages.where("url_type = 'landing'")
-    product = product.withColumn("thing", entity_key(lit("product"), col("site_id"), col("page_url")))
-    service = service.withColumn("thing", entity_key(lit("service"), col("site_id"), col("page_url")))
-    cites = F.coalesce(col("has_reference_section"), lit(False)) | F.coalesce(col("has_inline_citations"), lit(False))
-    out_links = pages.select("site_id", "page_id", "ord", "page_key", cites.alias("cites"), F.posexplode(F.slice("external_links", 1, 20)).alias("pos", "link")).withColumn("target", urls.normalize_url(col("link.url"))).where("target is not null")
-    out_links = out_links.withColumn("target_key", entity_key(lit("external_source"), col("site_id"), col("target")))
-    in_links = pages.select("site_id", "page_id", "ord", "page_key", F.explode(F.slice("internal_links", 1, 30)).alias("link")).withColumn("target", urls.normalize_url(col("link.url")))
-    known = pages.select("site_id", col("page_url").alias("target"), col("page_key").alias("target_key")).distinct()
-    in_links = in_links.join(known, ["site_id", "target"]).where("target_key <> page_key")
-    entities = _union([
-        _entity(pages, "site", col("domain"), col("scope_root"), 100.0),
-        _entity(pages, "organization", col("company"), col("root"), F.when(company.isNotNull(), 88.0).otherwise(72.0)),
-        _entity(pages, "page", col("title_or_url"), col("page_url"), 100.0),
-        _entity(product, "product", col("title_or_url"), col("page_url"), 84.0),
-        _entity(service, "service", col("title_or_url"), col("page_url"), 82.0),
-        _entity(out_links, "external_source", urls.registered_domain(col("target")), col("target"), 70.0),
-    ])
-    anchor = F.coalesce(F.nullif(F.trim(col("link.text")), lit("")), col("target"))
+    pages = fixed(pages.select("site_id", "page_id", "ord", "page_url", "scope_root", "url_type", "title_or_url", "domain", "company", "root", "cites", "inside", "outside", "profiles"), "title_or_url", "domain", "company", "root", "cites", "inside", "outside", "profiles")
+    name, url = F.coalesce("company", "domain"), col("page_url")
+    pages = pages.withColumns({"site_key": key("site", col("scope_root")), "org_key": key("organization", col("root")), "page_key": key("page", url), "product_key": key("product", url), "service_key": key("service", url)})
+    pages = fixed(pages, "site_key", "org_key", "page_key", "product_key", "service_key")
+    kind = lambda k: col("url_type") == k
+
+    def entity(kind_: str, key_: Column, name_: Column, url_: Column, confidence: Column | float) -> Column:
+        return F.struct(key_.alias("entity_key"), lit(kind_).alias("entity_type"), name_.alias("name"), url_.alias("entity_url"), (lit(confidence) if isinstance(confidence, float) else confidence).cast("double").alias("confidence"))
+
+    one = [
+        entity("site", col("site_key"), col("domain"), col("scope_root"), 100.0),
+        entity("organization", col("org_key"), name, col("root"), F.when(col("company").isNotNull(), 88.0).otherwise(72.0)),
+        entity("page", col("page_key"), col("title_or_url"), url, 100.0),
+        F.when(kind("product"), entity("product", col("product_key"), col("title_or_url"), url, 84.0)),
+        F.when(kind("landing"), entity("service", col("service_key"), col("title_or_url"), url, 82.0)),
+    ]
+    many = [
+        F.transform("outside", lambda x: entity("external_source", entity_key(lit("external_source"), col("site_id"), x["url"]), urls.registered_domain(x["url"]), x["url"], 70.0)),
+        F.transform("profiles", lambda u: entity("external_profile", entity_key(lit("external_profile"), col("site_id"), u), urls.registered_domain(u), u, 80.0)),
+    ]
+    listed = F.filter(F.concat(F.array(*one), *many), lambda x: x.isNotNull())
+    entities = pages.select("site_id", "page_id", "ord", F.explode(listed).alias("x")).select("site_id", "page_id", "ord", "x.*")
+
+    def edge(source: Column, relation: Column | str, target: Column | None, confidence: Column | float, field: str, text: Column, evidence: Column | float, link: Column | None = None) -> Column:
+        number = lambda v: (lit(v) if isinstance(v, float) else v).cast("double")
+        null = lit(None).cast("string")
+        return F.struct(source.alias("source_key"), (lit(relation) if isinstance(relation, str) else relation).alias("relation_type"), (null if target is None else target).alias("target_key"), number(confidence).alias("confidence"), lit(field).alias("evidence_field"), text.alias("evidence_text"), number(evidence).alias("evidence_confidence"), (null if link is None else link).alias("link"))
+
     level = F.when(col("cites"), 70.0).otherwise(62.0)
-    edges = _union([
-        _edge(pages, col("site_key"), "represents", col("org_key"), 92.0, "site_signals", col("company"), 80.0),
-        _edge(pages, col("site_key"), "has_page", col("page_key"), 100.0, "url_type", col("url_type"), 100.0),
-        _edge(home, col("page_key"), F.when(col("url_type") == "homepage", "entity_home").otherwise("about"), col("org_key"), F.when(col("url_type") == "homepage", 86.0).otherwise(78.0), "page_type", col("title_or_url"), 75.0),
-        _edge(product, col("org_key"), "offers", col("thing"), 82.0, "url_type", col("title_or_url"), 82.0),
-        _edge(product, col("page_key"), "about", col("thing"), 90.0, "title", col("title_or_url"), 90.0),
-        _edge(service, col("org_key"), "offers", col("thing"), 80.0, "url_type", col("title_or_url"), 80.0),
-        _edge(service, col("page_key"), "about", col("thing"), 88.0, "title", col("title_or_url"), 88.0),
-        _edge(in_links, col("page_key"), "links_to", col("target_key"), 72.0, "internal_links", anchor, 72.0),
-        _edge(out_links, col("page_key"), F.when(col("cites"), "cites").otherwise("references"), col("target_key"), level, "external_links", anchor, level),
-    ])
-    return entities, edges
+    is_home = kind("homepage")
+    one = [
+        edge(col("site_key"), "represents", col("org_key"), 92.0, "site_signals", name, 80.0),
+        edge(col("site_key"), "has_page", col("page_key"), 100.0, "url_type", col("url_type"), 100.0),
+        F.when(col("url_type").isin("homepage", "about", "contact"), edge(col("page_key"), F.when(is_home, "entity_home").otherwise("about"), col("org_key"), F.when(is_home, 86.0).otherwise(78.0), "page_type", col("title_or_url"), 75.0)),
+        F.when(kind("product"), edge(col("org_key"), "offers", col("product_key"), 82.0, "url_type", col("title_or_url"), 82.0)),
+        F.when(kind("product"), edge(col("page_key"), "about", col("product_key"), 90.0, "title", col("title_or_url"), 90.0)),
+        F.when(kind("landing"), edge(col("org_key"), "offers", col("service_key"), 80.0, "url_type", col("title_or_url"), 80.0)),
+        F.when(kind("landing"), edge(col("page_key"), "about", col("service_key"), 88.0, "title", col("title_or_url"), 88.0)),
+    ]
+    many = [
+        F.transform("outside", lambda x: edge(col("page_key"), F.when(col("cites"), "cites").otherwise("references"), entity_key(lit("external_source"), col("site_id"), x["url"]), level, "external_links", F.coalesce(x["text"], x["url"]), level)),
+        F.transform("profiles", lambda u: edge(col("org_key"), "same_as", entity_key(lit("external_profile"), col("site_id"), u), 90.0, "json_ld", u, 90.0)),
+        F.transform("inside", lambda x: edge(col("page_key"), "links_to", None, 72.0, "internal_links", F.coalesce(x["text"], x["url"]), 72.0, x["url"])),
+    ]
+    listed = F.filter(F.concat(F.array(*one), *many), lambda x: x.isNotNull())
+    edges = pages.select("site_id", "page_id", "ord", F.explode(listed).alias("x")).select("site_id", "page_id", "ord", "x.*")
+    # links to pages that are known; edges of other kinds have their target and pass, each under a key of its own
+    known = known.select(col("site_id").alias("of_site"), col("page_url").alias("known_url"))
+    edges = edges.withColumn("asked", F.coalesce("link", F.concat(lit("-"), col("page_id").cast("string"))))
+    joined = edges.join(known, (col("site_id") == col("of_site")) & (col("asked") == col("known_url")), "left")
+    target = F.coalesce("target_key", F.when(col("known_url").isNotNull(), entity_key(lit("page"), col("site_id"), col("link"))))
+    edges = joined.withColumn("target_key", target).where("target_key is not null and (relation_type <> 'links_to' or target_key <> source_key)").drop("of_site", "known_url", "asked", "link")
+    return entities, edges.withColumn("edge_key", edge_key(col("source_key"), col("relation_type"), col("target_key")))
 
 
 #: "number unit" of a specification, and phrases that name a use.
@@ -123,8 +152,8 @@ def entity_candidates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def merge_entities(candidates: DataFrame) -> DataFrame:
-    """One row per key: the name and url of its first page, the highest confidence, how many pages show it."""
-    first = lambda name: F.min_by(name, F.when(F.length(F.coalesce(col(name), lit(""))) > 0, col("ord"))).alias(name)
+    """One row per key: the name and url of its first page (of several there the first in order), the highest confidence, how many pages show it."""
+    first = lambda name: F.min(F.when(F.length(F.coalesce(col(name), lit(""))) > 0, F.struct("ord", col(name).alias("v"))))["v"].alias(name)
     return candidates.groupBy("site_id", "entity_key", "entity_type").agg(first("name"), first("entity_url"), F.max("confidence").alias("confidence"), F.count_distinct("page_id").alias("pages"))
 
 
@@ -137,7 +166,7 @@ def evidence(candidates: DataFrame) -> DataFrame:
 
 
 def read_graph(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with the names of both ends; edges without either end drop out."""
+    """Edges with the names of both ends; edges without either end drop out (both tables hold each key once)."""
     end = lambda side: entities.select(col("entity_key").alias(f"{side}_key"), col("name").alias(f"{side}_name"), col("entity_type").alias(f"{side}_type"))
     return edges.join(end("source"), "source_key").join(end("target"), "target_key").select("site_id", "edge_key", "source_type", "source_name", "relation_type", "target_type", "target_name", "confidence", "evidence_count")
 
@@ -147,9 +176,21 @@ def type_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return one(entities, "entity_type", "entity").unionByName(one(edges, "relation_type", "relation")).select("kind", "type", "n")
 
 
-def graph_documents(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """A JSON document per site with its entities, edges and counts."""
-    e = entities.groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("entity_key", "entity_type", "name", "entity_url", "confidence"))).alias("entities"))
-    r = edges.groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("edge_key", "source_key", "relation_type", "target_key", "confidence", "evidence_count"))).alias("edges"))
-    joined = e.join(r, "site_id", "left")
-    return joined.select("site_id", F.to_json(F.struct("site_id", F.size("entities").alias("entity_count"), F.greatest(F.size("edges"), lit(0)).alias("edge_count"), "entities", "edges")).alias("document"))
+#: Rows of a site's graph in one document.
+DOCUMENT_ROWS = 1000
+
+
+def graph_documents(entities: DataFrame, edges: DataFrame, most: int = DOCUMENT_ROWS) -> DataFrame:
+    """JSON documents of each site's graph, in parts of about `most` rows: site_id, part, parts, entity_count, edge_count, document.
+
+    Rows are dealt to parts by their key, so no site is gathered in one task; a site has as many parts as its rows ask for.
+    """
+    counted = entities.groupBy("site_id").agg(F.count("*").alias("entity_count")).join(edges.groupBy("site_id").agg(F.count("*").alias("edge_count")), "site_id", "left").withColumn("edge_count", F.coalesce("edge_count", lit(0)))
+    counted = counted.withColumn("parts", F.ceil((col("entity_count") + col("edge_count")) / most).cast("int"))
+    item = lambda kind, key, names: F.struct(lit(kind).alias("kind"), col(key).alias("key"), F.to_json(F.struct(*names)).alias("json"))
+    rows = entities.select("site_id", item("entity", "entity_key", ["entity_key", "entity_type", "name", "entity_url", "confidence"]).alias("x"))
+    rows = rows.unionByName(edges.select("site_id", item("edge", "edge_key", ["edge_key", "source_key", "relation_type", "target_key", "confidence", "evidence_count"]).alias("x")))
+    dealt = rows.join(counted, "site_id").withColumn("part", F.pmod(F.xxhash64("x.key"), col("parts")).cast("int"))
+    each = dealt.groupBy("site_id", "part", "parts", "entity_count", "edge_count").agg(F.sort_array(F.collect_list("x")).alias("rows"))
+    side = lambda kind: F.concat(lit("["), F.array_join(F.transform(F.filter("rows", lambda r: r["kind"] == kind), lambda r: r["json"]), ","), lit("]"))
+    return each.select("site_id", "part", "parts", "entity_count", "edge_count", F.concat(lit('{"entities":'), side("entity"), lit(',"edges":'), side("edge"), lit("}")).alias("document"))

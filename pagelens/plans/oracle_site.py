@@ -125,3 +125,32 @@ z as (select *, floor(share)::int as whole from y), r as (select *, 100 - sum(wh
 KEYWORDS = "list_filter([" + ", ".join(f"case when {rule} then {O.q(name)} end" for rule, name in zip(
     ("brand_score >= 75 and same_as", "schema_score >= 70 and technical_score >= 70", "expertise_score >= 72 and (article is not null or term_type)", "llms_score >= 70 and a_date", "experience_score >= 65 and a_numbers", "trustworthiness_score >= 70 and named and phone", "citability >= 70 and platform_score >= 70", "service is not null and (service_type or product_type)"), modules.KEYWORDS)) + "], lambda k: k is not null)"
 GAPS = {p: " or ".join(f"{s} < {limit}" for s, limit in gaps.items()) for p, gaps in modules.PLATFORM_GAPS.items()}
+
+
+# -- the structure graph ------------------------------------------------------
+
+_key = lambda kind, name: f"sha256('{kind}|' || site_id || '|' || lower(trim({name})))"
+_norm = f"lower(regexp_extract(target, {O.q(O.urls.PARTS)}, 1)) || '://' || lower(regexp_extract(target, {O.q(O.urls.PARTS)}, 2)) || case when regexp_extract(target, {O.q(O.urls.PARTS)}, 3) = '' then '/' else regexp_extract(target, {O.q(O.urls.PARTS)}, 3) end || case when regexp_extract(target, {O.q(O.urls.PARTS)}, 4) = '' then '' else '?' || regexp_extract(target, {O.q(O.urls.PARTS)}, 4) end"
+_domain = "case when regexp_matches(h, '\\.(co|com|org|net|ac|gov|edu)\\.[a-z]{2}$') then array_to_string(string_split(h, '.')[-3:], '.') when regexp_matches(h, '^[0-9.]+$') then h else array_to_string(string_split(h, '.')[-2:], '.') end"
+#: The tables hold no JSON-LD, so no external profiles.
+GRAPH_BASE = f"""{O.PROFILES},
+g as (select *, (length(page_url), page_url, page_id) as ord, coalesce(title, page_url) as tu, case when regexp_matches(title, '[|-]') then nullif(trim(string_split_regex(title, '[|-]')[-1]), '') end as company, scheme || '://' || auth as root, has_reference_section or has_inline_citations as cites,
+  {_key('site', 'scope_root')} as k_site, {_key('organization', "scheme || '://' || auth")} as k_org, {_key('page', 'page_url')} as k_page, {_key('product', 'page_url')} as k_product, {_key('service', 'page_url')} as k_service from p),
+gl as (select g.site_id, g.page_id, g.ord, g.k_page, g.cites, l.internal, {_norm} as t, nullif(trim(l.label), '') as label, row_number() over (partition by g.page_id, g.page_url, l.internal order by l.pos) as k from l join g on l.page_id = g.page_id and l.page_url = g.page_url),
+gx as (select *, regexp_replace(regexp_extract(t, {O.q(O.urls.PARTS)}, 2), '^.*@|:\\d*$', '', 'g') as h, {_key('external_source', 't')} as k_target from gl where not internal and k <= 20)"""
+GRAPH_ENTITIES = f"""{GRAPH_BASE},
+gc as (select site_id, page_id, ord, k_site as entity_key, 'site' as entity_type, domain as name, scope_root as entity_url, 100.0 as confidence from g
+  union all select site_id, page_id, ord, k_org, 'organization', coalesce(company, domain), root, case when company is not null then 88 else 72 end from g
+  union all select site_id, page_id, ord, k_page, 'page', tu, page_url, 100 from g union all select site_id, page_id, ord, k_product, 'product', tu, page_url, 84 from g where url_type = 'product'
+  union all select site_id, page_id, ord, k_service, 'service', tu, page_url, 82 from g where url_type = 'landing' union all select site_id, page_id, ord, k_target, 'external_source', {_domain}, t, 70 from gx),
+entities as (select site_id, entity_key, entity_type, arg_min(name, (ord, name)) filter (where name <> '') as name, arg_min(entity_url, (ord, entity_url)) filter (where entity_url <> '') as entity_url, max(confidence)::double as confidence, count(distinct page_id) as pages from gc group by 1, 2, 3)"""
+GRAPH_EDGES = f"""{GRAPH_BASE},
+g0 as (select site_id, page_id, k_site as source_key, 'represents' as relation_type, k_org as target_key, 92 as confidence, 'site_signals' as evidence_field, coalesce(company, domain) as evidence_text, 80 as evidence_confidence from g
+  union all select site_id, page_id, k_site, 'has_page', k_page, 100, 'url_type', url_type, 100 from g
+  union all select site_id, page_id, k_page, case when url_type = 'homepage' then 'entity_home' else 'about' end, k_org, case when url_type = 'homepage' then 86 else 78 end, 'page_type', tu, 75 from g where url_type in ('homepage', 'about', 'contact')
+  union all select site_id, page_id, k_org, 'offers', k_product, 82, 'url_type', tu, 82 from g where url_type = 'product' union all select site_id, page_id, k_page, 'about', k_product, 90, 'title', tu, 90 from g where url_type = 'product'
+  union all select site_id, page_id, k_org, 'offers', k_service, 80, 'url_type', tu, 80 from g where url_type = 'landing' union all select site_id, page_id, k_page, 'about', k_service, 88, 'title', tu, 88 from g where url_type = 'landing'
+  union all select site_id, page_id, k_page, case when cites then 'cites' else 'references' end, k_target, case when cites then 70 else 62 end, 'external_links', coalesce(label, t), case when cites then 70 else 62 end from gx
+  union all select a.site_id, a.page_id, a.k_page, 'links_to', b.k_page, 72, 'internal_links', coalesce(a.label, a.t), 72 from (select * from gl where internal and k <= 30) a join (select distinct site_id, page_url, k_page from g) b on a.site_id = b.site_id and a.t = b.page_url and a.k_page <> b.k_page),
+ge as (select site_id, sha256(source_key || '|' || relation_type || '|' || target_key) as edge_key, page_id, source_key, relation_type, target_key, confidence::double as confidence, evidence_field, evidence_text, evidence_confidence::double as evidence_confidence from g0),
+edges as (select site_id, edge_key, source_key, relation_type, target_key, max(confidence) as confidence, count(*) as evidence_count, min(page_id) as first_page_id, max(page_id) as last_page_id from ge group by 1, 2, 3, 4, 5)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(4)  # a plan, not its rows: queries of one session over one folder share it
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_profiles(read_pages(spark, sf_dir))
 
 
+@lru_cache(4)
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.scored_pages(profiles(spark, sf_dir))
 
@@ -155,10 +158,12 @@ def site_rollup(spark, sf_dir):
     return rollup.site_rollup(scored(spark, sf_dir)).select(*_SITE_COLUMNS)
 
 
+@lru_cache(4)
 def _facts_of(spark, sf_dir):
     return modules.site_facts(page_profiles(dealt(site_inputs.with_elements(table(spark, sf_dir, "pages")))))
 
 
+@lru_cache(4)
 def _sites(spark, sf_dir):
     """Module audits of all sites; page elements and response figures are drawn from the ids (see site_inputs)."""
     pages = table(spark, sf_dir, "pages").select(urls.site_id(urls.normalize_url(F.col("url"))).alias("site_id")).distinct()
@@ -254,20 +259,22 @@ def share_percentages(spark, sf_dir):
 
 
 def _structure(spark, sf_dir):
-    return graph.structure_candidates(profiles(spark, sf_dir))
+    u = F.col("page_url")
+    known = read_pages(spark, sf_dir).select(urls.normalize_url(F.col("url")).alias("page_url")).where("page_url is not null").select(urls.site_id(u).alias("site_id"), "page_url").distinct()
+    return graph.structure_candidates(structured.with_summary(profiles(spark, sf_dir)), known)
 
 
-@query(None)
+@query(f"with {S.GRAPH_ENTITIES} select * from entities")
 def structure_graph_entities(spark, sf_dir):
     return graph.merge_entities(_structure(spark, sf_dir)[0])
 
 
-@query(None)
+@query(f"with {S.GRAPH_EDGES} select * from edges")
 def structure_graph_edges(spark, sf_dir):
     return graph.merge_edges(_structure(spark, sf_dir)[1])
 
 
-@query(None)
+@query(f"with {S.GRAPH_EDGES} select site_id, edge_key, target_key, page_id, evidence_field, evidence_text, evidence_confidence from ge")
 def structure_graph_evidence(spark, sf_dir):
     return graph.evidence(_structure(spark, sf_dir)[1])
 
@@ -283,7 +290,8 @@ def structure_graph_type_counts(spark, sf_dir):
     return graph.type_counts(graph.merge_entities(entities), graph.merge_edges(edges)).where("kind = 'entity'").select("type", "n")
 
 
-@query(None)
+@query(f"""with {S.GRAPH_ENTITIES}, {S.GRAPH_EDGES.partition(S.GRAPH_BASE + ",")[2]} select r.site_id, r.edge_key, a.entity_type as source_type, a.name as source_name, r.relation_type, b.entity_type as target_type, b.name as target_name, r.confidence, r.evidence_count
+from edges r join entities a on r.source_key = a.entity_key join entities b on r.target_key = b.entity_key""")
 def structure_graph_read(spark, sf_dir):
     entities, edges = _structure(spark, sf_dir)
     return graph.read_graph(graph.merge_entities(entities), graph.merge_edges(edges))

@@ -188,6 +188,7 @@ def backlinks(payload: Column) -> Column:
     values = F.split(F.split(payload, r"\r?\n")[1], F.when(delimiter == ";", ";").otherwise(","))
     fields = ("ascore", "backlinks_num", "domains_num", "ips_num", "ipclass_c_num", "follows_num", "nofollows_num")
     as_json = F.trim(payload).startswith("{")
-    number = lambda name: F.when(as_json, F.get_json_object(payload, f"$.{name}")).otherwise(F.get(values, F.array_position(names, F.lit(name)).cast("int") - 1)).try_cast("double")
+    plain = lambda v: F.replace(F.trim(v), F.lit(","), F.lit("")).try_cast("double")
+    number = lambda name: plain(F.when(as_json, F.get_json_object(payload, f"$.{name}")).otherwise(F.get(values, F.array_position(names, F.lit(name)).cast("int") - 1)))
     follows, nofollows = number("follows_num"), number("nofollows_num")
     return F.struct(*[number(f).cast("long").alias(f) for f in fields], F.when(follows + nofollows > 0, F.bround(follows / (follows + nofollows), 2)).alias("follow_ratio"))
