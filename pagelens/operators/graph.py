@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions import urls
+from pagelens.sources import structured
 from pagelens.sources.pages import fixed
 
 lit, col = F.lit, F.col
@@ -48,14 +49,15 @@ def ordered(profiles: DataFrame) -> DataFrame:
     return profiles.where("page_url is not null").withColumn("ord", F.struct(F.length("page_url").alias("n"), col("page_url").alias("u"), col("page_id").alias("i")))
 
 
-def structure_candidates(profiles: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def structure_candidates(profiles: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Entity and edge candidates of the structure graph: sites, organizations, pages, products, services, external profiles and sources.
 
-    profiles with structured data (same_as), known (site_id, page_url): the pages that links may lead to.  A page's
+    known (site_id, page_url): the pages that links may lead to, those of profiles if not given.  A page's
     candidates are one array, so each table is one scan; only links are joined, with the pages they name.  Of
     a page the first 20 sameAs, 30 internal and 20 external links count, as the rules have it.
     """
-    pages = ordered(profiles)
+    pages = ordered(structured.with_summary(profiles))
+    known = pages.select("site_id", "page_url").distinct() if known is None else known
     domain, company = urls.registered_domain(col("page_url")), T.company_name(col("title"))
     key = lambda kind, name: entity_key(lit(kind), col("site_id"), name)
     cites = F.coalesce(col("has_reference_section"), lit(False)) | F.coalesce(col("has_inline_citations"), lit(False))

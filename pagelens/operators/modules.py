@@ -84,7 +84,7 @@ def technical_columns() -> dict[str, Column]:
     """The technical audit of a homepage with the site's headers (etag, last_modified, security_count), robots, sitemap and timing."""
     h = lambda n: F.length(F.coalesce(c(f"home.{n}"), F.lit(""))) > 0
     ssr = scores.ssr_signal(c("home.html_length"), c("home.word_count"))
-    blocking, fast, security = scores.render_blocking(c("home.sync_scripts"), c("home.stylesheets")), scores.performance_score(c("milliseconds")), c("security_count") * 20
+    blocking, fast, security = scores.render_blocking(c("home.sync_scripts"), c("home.stylesheets")), scores.performance_score(c("milliseconds")), F.coalesce("security_count", F.lit(0)) * 20
     fixed_part = points((8, F.startswith(c("home.page_url"), F.lit("https://"))), (5, h("meta_description")), (5, h("canonical")), (4, h("lang")), (4, c("home.h1_count") == 1), (8, flag("sitemap_exists")), (4, flag("robots_has_sitemap")), (5, c("home.open_graph_present")), (3, c("home.twitter_card_present")), (4, c("home.hreflang_present")), (4, flag("etag") | flag("last_modified")))
     total = fixed_part.cast("double") + ssr / 100 * 10 + security / 100 * 16 + c("home.image_score") / 100 * 4 + blocking / 100 * 8 + fast / 100 * 8
     return {

@@ -261,7 +261,7 @@ def share_percentages(spark, sf_dir):
 def _structure(spark, sf_dir):
     u = F.col("page_url")
     known = read_pages(spark, sf_dir).select(urls.normalize_url(F.col("url")).alias("page_url")).where("page_url is not null").select(urls.site_id(u).alias("site_id"), "page_url").distinct()
-    return graph.structure_candidates(structured.with_summary(profiles(spark, sf_dir)), known)
+    return graph.structure_candidates(profiles(spark, sf_dir), known)
 
 
 @query(f"with {S.GRAPH_ENTITIES} select * from entities")

@@ -1,9 +1,11 @@
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import graph, page_content, scores, seo, store
-from pagelens.operators.profiles import page_profiles
+from pagelens.operators import graph, modules, page_content, scores, seo, store
+from pagelens.operators.profiles import page_profiles, with_elements
+from pagelens.plans import site_inputs
 from pagelens.sources import structured
 from pagelens.sources.pages import page_facts
 from pagelens.streaming.ingest import fetch_counts, merge_into, page_stream
@@ -41,7 +43,10 @@ def test_structured_data_scores(spark):
 def test_structured_data_reaches_the_scorers(spark):
     row = {r.page_id: r for r in scores.scored_pages(page_profiles(pages(spark))).collect()}
     assert row[1].schema_score == 18 + 10 + 5 + 10 and row[1].has_product and row[2].schema_score == 0
-    assert seo.seo_checks(scores.scored_pages(page_profiles(pages(spark)))).count()
+    facts = modules.site_facts(page_profiles(pages(spark)))
+    sites = modules.audited(facts, site_inputs.site_inputs(facts.select("site_id")))
+    checks = seo.seo_checks(sites)
+    assert checks.count() == 26 * facts.count() and {r.outcome for r in checks.collect()} <= {"pass", "fail", "na"}
     support = {r.page_id: r.schema_support_score for r in page_content.page_content_audit(page_profiles(pages(spark))).collect()}
     assert support[1] >= 15 + 10 + 8 and support[2] == 0
 
@@ -81,8 +86,35 @@ def test_graph_ends_exist_and_merge_is_stable(spark):
         results.append((sorted(map(tuple, e.collect()), key=str), sorted(map(tuple, r.collect()), key=str)))
         assert graph.read_graph(e, r).count() == r.count()
     assert results[0] == results[1]
-    assert {x[2] for x in results[0][0]} == {"site", "organization", "page", "product", "external_source"}
-    assert {x[3] for x in results[0][1]} == {"represents", "has_page", "about", "offers", "links_to", "cites"}
+    assert {x[2] for x in results[0][0]} == {"site", "organization", "page", "product", "external_source", "external_profile"}
+    assert {x[3] for x in results[0][1]} == {"represents", "has_page", "about", "offers", "links_to", "cites", "same_as"}
+
+
+def test_graph_documents_hold_every_row_in_bounded_parts(spark):
+    entities, edges = graph.structure_candidates(page_profiles(pages(spark)))
+    entities, edges = graph.merge_entities(entities), graph.merge_edges(edges)
+    parts = graph.graph_documents(entities, edges, 3).collect()
+    found = [json.loads(r.document) for r in parts]
+    assert sum(len(d["entities"]) for d in found) == entities.count() and sum(len(d["edges"]) for d in found) == edges.count() and len(parts) > 1
+
+
+def test_page_elements(spark):
+    html = """<html><head><meta name="viewport" content="width=1"><meta property="og:title" content="t"><meta name="Robots" content="NoIndex"><link rel="alternate" hreflang="de-AT" href="/de"><link rel="stylesheet" href="a.css">
+    <script src="a.js"></script><script async src="b.js"></script><meta name="google-site-verification" content="x"><script>gtag('x')</script></head><body><h2>a</h2><h1>b</h1><img src="x" loading="lazy" alt=""><img src="y" alt="z" width="1" height="2"><a rel="nofollow" href="/q">q</a>"""
+    row = with_elements(page_profiles(spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string"))).first()
+    assert row.viewport and row.open_graph_present and not row.twitter_card_present and row.noindex and row.hreflangs == ["de"] and row.ga4 and row.gsc_verification and row.first_h1 == "b"
+    assert (row.images_with_alt_ratio, row.lazy_ratio, row.image_score, row.sync_scripts, row.stylesheets, row.nofollow_links) == (0.5, 0.5, 50, 1, 1, 1)
+
+
+def test_sites_without_inputs_are_scored(spark):
+    none = site_inputs.site_inputs(spark.createDataFrame([], "site_id string"))
+    rows = modules.audited(modules.site_facts(page_profiles(pages(spark))), none)
+    got = rows.collect()
+    assert got and all(r.composite_score is not None and r.backlink_score is None and r.visibility_score is not None for r in got)
+    known = {r.check_id: r.outcome for r in seo.seo_checks(rows.where("host = 'a.example'")).collect()}
+    assert known["CHK-001"] == "na" and known["CHK-009"] == "fail" and known["CHK-011"] == "na" and known["CHK-018"] == "fail"
+    shares = modules.perception(rows).groupBy("site_id").agg(F.sum("percentage").alias("s")).collect()
+    assert all(r.s == 100 for r in shares)
 
 
 def test_entity_graph(spark):
