@@ -65,7 +65,10 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     other key.  Without deal, left must be written (see cut), since its rows are dealt
     by their place.
     """
-    hot = right.where(F.col("n") > HOT).groupBy(*keys).agg(F.ceil(F.max("n") / HOT).cast("int").alias("_parts")).orderBy(F.col("_parts").desc(), *keys).limit(MOST_HOT)
+    hot = right.where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("_parts"))
+    # a row of one part that changes nothing: the plan is the same whether or not a key is hot
+    none = left.sparkSession.range(1).select(*[F.lit(0).cast(right.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("_parts"))
+    hot = hot.unionByName(none).groupBy(*keys).agg(F.max("_parts").alias("_parts")).orderBy(F.col("_parts").desc(), *keys).limit(MOST_HOT)
     parts, deal = F.coalesce("_parts", F.lit(1)), F.monotonically_increasing_id() if deal is None else F.xxhash64(deal)
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(deal, parts).cast("int")).drop("_parts")
     copied = right.drop("n").join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
