@@ -1,4 +1,4 @@
-"""The SEO checks of a site over its pages, their dimensions, and crawler verdicts."""
+"""The SEO checks of a site over its pages, and their dimensions."""
 
 from __future__ import annotations
 
@@ -96,41 +96,3 @@ def seo_cards(seo: DataFrame, checks: DataFrame) -> DataFrame:
 def seo_score(columns: dict[str, Column]) -> Column:
     total = sum(WEIGHTS.values())
     return composite(columns, {k: w / total for k, w in WEIGHTS.items()})
-
-
-# -- crawler verdicts ----------------------------------------------------------
-
-# Statuses and markers of an access challenge.
-CHALLENGES, MARKERS = (401, 403, 406, 429, 446), "captcha|cf-chl|challenge-platform|access denied|attention required|verify you are human"
-
-
-def http_outcome(status: Column) -> Column:
-    return F.when(status.isNull(), "network_error").when(status == 429, "rate_limited").when(status.between(200, 299), "success").when(status.between(300, 399), "redirect").otherwise("http_error")
-
-
-def access_challenge(status: Column, body: Column) -> Column:
-    return status.isin(*CHALLENGES) | (status.isin(400, 503) & F.lower(body).rlike(MARKERS))
-
-
-def retry_after(value: Column, now: Column) -> Column:
-    """Seconds of a Retry-After header, whole seconds or an HTTP date; never negative."""
-    date = F.try_to_timestamp(F.substring(value, 6, 64), F.lit("dd MMM yyyy HH:mm:ss z"))
-    seconds = F.coalesce(value.try_cast("long"), F.unix_timestamp(date) - F.unix_timestamp(now))
-    return F.greatest(F.lit(0).cast("long"), seconds)
-
-
-def rendering_mode(raw_words: Column, rendered_words: Column) -> Column:
-    """How much of a page only appears when it is rendered."""
-    growth = rendered_words - raw_words
-    needed = F.greatest(F.lit(50), F.bround(rendered_words.cast("double") * 0.3, 0).cast("int"))
-    return F.when(raw_words.isNull() | rendered_words.isNull(), "unknown").when((raw_words < 50) & (growth >= needed), "client_rendered").when(rendered_words < 50, "thin").when(rendered_words < raw_words * 0.7, "hydration_loss").when(growth >= needed, "hybrid").otherwise("server_rendered")
-
-
-def crawler_overview(results: DataFrame) -> DataFrame:
-    """results (site, status, body, raw_words, rendered_words, noindex) -> outcome, challenge, mode and verdict of each."""
-    out = results.withColumns({"outcome": http_outcome(c("status")), "challenge": F.coalesce(access_challenge(c("status"), c("body")), F.lit(False)), "mode": rendering_mode(c("raw_words"), c("rendered_words"))})
-    verdict = F.when(c("challenge"), "unknown").when(~c("outcome").isin("success", "redirect"), "failed").when(c("noindex"), "failed").when(c("mode").isin("client_rendered", "thin", "hydration_loss"), "warning").when(c("mode") == "unknown", "unknown").otherwise("passed")
-    score = 100 - points((60, ~c("outcome").isin("success", "redirect")), (40, F.coalesce(c("noindex"), F.lit(False))), (25, c("mode").isin("client_rendered", "thin")), (15, c("mode") == "hydration_loss"))
-    return out.select("site", "outcome", "challenge", "mode", verdict.alias("verdict"), F.greatest(F.lit(0), score).alias("crawler_score"))
-
-

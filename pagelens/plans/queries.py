@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import numbers, urls
 from pagelens.functions import text as T
-from pagelens.operators import graph, modules, page_content, rollup, scores, seo, store
+from pagelens.operators import crawler, graph, modules, page_content, rollup, scores, seo, store
 from pagelens.operators.profiles import page_profiles
 from pagelens.plans import oracle_parts as O
 from pagelens.plans import oracle_site as S
-from pagelens.plans import report, site_inputs
+from pagelens.plans import crawl_inputs, report, site_inputs
 from pagelens.sources import structured
 from pagelens.sources.pages import dealt, page_facts, read_pages
 
@@ -409,10 +409,29 @@ def llms_quality(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, preview string, length int, brand string").select("id", scores.llms_effectiveness(F.col("preview"), F.col("length"), F.col("brand")).alias("score"))
 
 
-@query("select * from (values ('a', 'success', false, 'server_rendered', 'passed', 100), ('b', 'success', false, 'client_rendered', 'warning', 75), ('c', 'http_error', true, 'unknown', 'unknown', 40), ('d', 'rate_limited', true, 'unknown', 'unknown', 40)) t(site, outcome, challenge, mode, verdict, crawler_score)")
+def _crawled(spark, sf_dir):
+    rows = profiles(spark, sf_dir).select("page_id", "title", "word_count", "h1_count")
+    rows = rows.select("page_id", "title", *[F.expr(e).alias(n) for n, e in crawl_inputs.INPUTS.items()])
+    return crawler.overview(crawler.render(crawler.googlebot(rows.withColumn("directives", F.split("header", ",")))))
+
+
+def _codes(name):
+    return F.array_join(F.transform(name, lambda x: F.concat_ws(":", x["code"], x["severity"])), ",").alias(name)
+
+
+@query(f"with {crawl_inputs.SQL} select page_id, robots, challenge, indexable, googlebot_score, googlebot_status, {crawl_inputs.codes('googlebot_issues')} from audits")
+def googlebot_audit(spark, sf_dir):
+    return _crawled(spark, sf_dir).select("page_id", "robots", "challenge", "indexable", "googlebot_score", "googlebot_status", _codes("googlebot_issues"))
+
+
+@query(f"with {crawl_inputs.SQL} select page_id, render_score, render_result, content_retention, {crawl_inputs.codes('render_issues')} from audits")
+def render_audit(spark, sf_dir):
+    return _crawled(spark, sf_dir).select("page_id", "render_score", "render_result", "content_retention", _codes("render_issues"))
+
+
+@query(f"with {crawl_inputs.SQL} select page_id, rendering, verdict, crawl, indexing, {crawl_inputs.codes('major_issues')} from overview")
 def crawler_overview(spark, sf_dir):
-    rows = [("a", 200, "", 240, 258, False), ("b", 200, "", 12, 320, False), ("c", 446, "", None, None, False), ("d", 429, "", None, None, False)]
-    return seo.crawler_overview(spark.createDataFrame(rows, "site string, status int, body string, raw_words int, rendered_words int, noindex boolean"))
+    return _crawled(spark, sf_dir).select("page_id", "rendering", "verdict", "crawl", "indexing", _codes("major_issues"))
 
 
 @query("select * from (values (1, 42::bigint, 1200::bigint, 0.6::double), (2, 10::bigint, null, null)) t(id, ascore, backlinks_num, follow_ratio)")

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import graph, modules, page_content, scores, seo, store
+from pagelens.operators import crawler, graph, modules, page_content, scores, seo, store
 from pagelens.operators.profiles import page_profiles, with_elements
 from pagelens.plans import site_inputs
 from pagelens.sources import structured
@@ -154,7 +154,7 @@ def test_latest_graph_falls_back_to_the_site(spark):
 
 def test_retry_after(spark):
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    row = spark.range(1).select(seo.retry_after(F.lit("60"), now).alias("a"), seo.retry_after(F.lit("Mon, 01 Jan 2024 00:01:00 GMT"), now).alias("b"), seo.retry_after(F.lit("soon"), now).alias("c")).first()
+    row = spark.range(1).select(crawler.retry_after(F.lit("60"), now).alias("a"), crawler.retry_after(F.lit("Mon, 01 Jan 2024 00:01:00 GMT"), now).alias("b"), crawler.retry_after(F.lit("soon"), now).alias("c")).first()
     assert (row.a, row.b, row.c) == (60, 60, 0)
 
 
