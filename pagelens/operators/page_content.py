@@ -18,6 +18,19 @@ EEAT = ("experience", "expertise", "authoritativeness", "trustworthiness")
 # Flags that a page without that input counts as false.
 OPTIONAL = ("json_ld_present", "has_organization", "has_website", "has_article", "has_faq_page", "has_date_published", "has_date_modified", "has_breadcrumb_list", "has_defined_term", "same_as_detected", "company_name_detected", "awards_detected", "certifications_detected", "phone_detected", "email_detected", "address_detected", "open_graph_present", "twitter_card_present")
 
+# The nine core checks of a page as (id, priority, label, note).
+CORE_CHECKS = (
+    ("C02", "high", "Direct answer in first 150 words", "Lead with a concise answer block before supporting detail."),
+    ("C09", "high", "Structured FAQ with schema", "FAQ and FAQPage schema should appear together on the same page."),
+    ("O02", "medium", "Summary box / key takeaways", "A TL;DR block improves answer-first extraction and snippet reuse."),
+    ("O05", "high", "JSON-LD schema markup", "The page should expose machine-readable context through JSON-LD."),
+    ("O06", "medium", "Section chunking", "Aim for shorter sections and cleaner H2/H3 segmentation."),
+    ("R01", "high", "Precise data points", "Specific numbers, units, and benchmarks help AI quote the page."),
+    ("R02", "high", "Visible citations", "Pages making factual claims should show sources inline or in a references section."),
+    ("R04", "high", "Claims backed by evidence", "Evidence is strongest when quantified claims and citations appear together."),
+    ("R07", "medium", "Full entity names", "Expose the brand or organization name clearly in visible copy and schema."),
+)
+
 
 def part(weight: float, column: str) -> Column:
     """A share of another score, rounded on its own."""
@@ -84,6 +97,26 @@ def page_content_audit(profiles: DataFrame) -> DataFrame:
     return out.select("page_id", "page_url", *FACTORS, *EEAT, "readiness_score", "page_content_score", "on_page_score", "schema_support_score", "lens_score", "page_score", F.transform(weakest, lambda w: w["factor"]).alias("weakest"))
 
 
+def core_checks(profiles: DataFrame) -> DataFrame:
+    """profiles (+ company_name_detected where the site's is known, else the title's) -> nine rows a page: check_id, priority, label, passed, note."""
+    out = structured.with_summary(profiles)
+    named = flag("company_name_detected") if "company_name_detected" in out.columns else T.company_name(c("title")).isNotNull()
+    cited = flag("has_reference_section") | flag("has_inline_citations")
+    passed = {
+        "C02": flag("answer_first"),
+        "C09": flag("has_faq") & flag("has_faq_page"),
+        "O02": flag("has_tldr"),
+        "O05": flag("json_ld_present"),
+        "O06": c("chunk_structure_score") >= 60,
+        "R01": flag("has_quantified_data") & (c("information_density_score") >= 60),
+        "R02": cited,
+        "R04": flag("has_quantified_data") & cited,
+        "R07": named,
+    }
+    rows = [F.struct(F.lit(i).alias("check_id"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.coalesce(passed[i], F.lit(False)).alias("passed"), F.lit(note).alias("note")) for i, p, label, note in CORE_CHECKS]
+    return out.select("page_id", "page_url", F.inline(F.array(*rows)))
+
+
 def audit_candidates(sites: DataFrame, candidates: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """sites (site_id, base_url), candidates and known (site_id, url) -> the `most` shortest new internal pages of each site."""
     new = candidates.where("url <> ''").distinct().join(known, ["site_id", "url"], "left_anti").join(sites, "site_id")

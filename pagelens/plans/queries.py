@@ -467,6 +467,17 @@ def page_content_audit(spark, sf_dir):
     return page_content.page_content_audit(profiles(spark, sf_dir))
 
 
+@query(f"""with {O.PROFILES}, with_cited as (select *, has_reference_section or has_inline_citations as cited from p)
+select page_id, check_id, case check_id when 'C02' then answer_first when 'C09' then has_faq and page_id % 4 = 2 when 'O02' then has_tldr when 'O05' then page_id % 4 <> 3 when 'O06' then chunk_structure_score >= 60
+  when 'R01' then has_quantified_data and information_density_score >= 60 when 'R02' then cited when 'R04' then has_quantified_data and cited
+  else regexp_matches(coalesce(title, ''), '[|-]') and trim(string_split_regex(title, '[|-]')[-1]) <> '' end as passed
+from with_cited, (values ('C02'), ('C09'), ('O02'), ('O05'), ('O06'), ('R01'), ('R02'), ('R04'), ('R07')) t(check_id)""")
+def page_core_checks(spark, sf_dir):
+    """The nine core checks of every page; its JSON-LD is drawn by page id (site_inputs)."""
+    pages = dealt(site_inputs.with_elements(table(spark, sf_dir, "pages")))
+    return page_content.core_checks(page_profiles(pages)).select("page_id", "check_id", "passed")
+
+
 @query(f"""with {O.URLS}, b as (select site_id, min(scope_root) as root, min(prefix) as prefix, min(host) as host from u group by 1),
 n as (select distinct u.site_id, u.page_url from u join b on u.site_id = b.site_id where u.page_id % 2 = 1 and not regexp_matches(lower(u.page_url), '/tag/|/author/|/category/|/page/|utm_|#')
       and not exists (select 1 from u k where k.page_id % 2 = 0 and k.site_id = u.site_id and k.page_url = u.page_url)),
