@@ -72,6 +72,13 @@ def json_ld(blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([json_ld_facts(b) for b in blocks], columns=["blocks", "types", "same_as", "ids", "texts", "dates", "relations"])
 
 
+def json_salvage(text: Column) -> Column:
+    """The JSON in an answer: the whole text if it parses, else what stands from its first { to its last }, else null."""
+    whole = F.trim(text)
+    inner = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(whole).isNotNull(), whole).when(F.try_parse_json(inner).isNotNull(), inner)
+
+
 def summarize(pages: DataFrame, key: str, blocks: str = "json_ld", text: str = "text") -> DataFrame:
     """key, blocks array<string>, text -> key and the structured-data columns that the scorers read."""
     columns = summary_columns(text)

@@ -67,3 +67,16 @@ def test_bounded_adjustments(spark):
     deltas = spark.createDataFrame([("a", "-99"), ("b", "8"), ("c", "n/a")], "site_id string, score_delta string")
     got = {r.site_id: r.score for r in page_content.bounded_adjustments(base, deltas, "site_id", {"score": 10}).collect()}
     assert got == {"a": 40, "b": 100, "c": 40}
+
+
+def test_core_checks(spark):
+    columns = "page_id long, page_url string, title string, answer_first boolean, has_faq boolean, has_faq_page boolean, has_tldr boolean, json_ld_present boolean, chunk_structure_score int, has_quantified_data boolean, information_density_score int, has_reference_section boolean, has_inline_citations boolean"
+    rows = [(1, "u", "Pumps | Acme", True, True, True, True, True, 60, True, 60, True, False), (2, "v", "Pumps", False, True, False, False, True, 59, True, 59, False, False), (3, "w", *[None] * 11)]
+    got = page_content.core_checks(spark.createDataFrame(rows, columns)).where("passed").groupBy("page_id").agg(F.sort_array(F.collect_list("check_id")).alias("ids")).collect()
+    assert {r.page_id: r.ids for r in got} == {1: ["C02", "C09", "O02", "O05", "O06", "R01", "R02", "R04", "R07"], 2: ["O05"]}
+
+
+def test_json_salvage(spark):
+    texts = [' {"a": 1} ', 'Here it is:\n{"a": {"b": 2}}\nDone.', "[1]", "none", "{broken", "} {", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", structured.json_salvage(F.col("t")).alias("j")).orderBy("i").collect()
+    assert [r.j for r in got] == ['{"a": 1}', '{"a": {"b": 2}}', "[1]", None, None, None, None, None]
