@@ -205,3 +205,15 @@ def observations(events: DataFrame) -> DataFrame:
     out = grouped.withColumns({"conversion_rate": ratio(c("conversions"), c("sessions"), 4), "citation_rate": ratio(c("cited"), c("sessions"), 2)})
     signals = points((1, c("sessions") > 0), (1, c("conversions") > 0), (1, c("cited") > 0))
     return out.withColumn("maturity", F.get(F.array(*map(F.lit, ("none", "basic", "intermediate", "advanced"))), signals))
+
+
+def with_conversion_rates(sources: DataFrame) -> DataFrame:
+    """sources (sessions, conversions, conversion_rate, ...) with missing rates filled where sessions and conversions are known."""
+    return sources.withColumn("conversion_rate", F.coalesce("conversion_rate", ratio(c("conversions"), c("sessions"), 4)))
+
+
+def top_sources(sources: DataFrame, key: str) -> DataFrame:
+    """sources (key, pos, platform, sessions) -> the platform of most sessions of each key; of equals the first by pos."""
+    sessions = F.coalesce(c("sessions"), F.lit(0))
+    top = F.max_by(F.struct("platform", sessions.alias("sessions")), F.struct(sessions, -c("pos")))
+    return sources.groupBy(key).agg(top.alias("top")).select(key, "top.*")

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import page_content, site_audit
+from pagelens.operators import page_content, scores, site_audit
 from pagelens.sources import structured
 
 HTML = """<html lang="en"><head><meta name="robots" content="NoIndex, follow"><meta property="og:title" content="x"><link rel="canonical" href="/x"><link rel="alternate" hreflang="de-DE" href="/de/"><link rel="stylesheet" href="a.css">
@@ -80,3 +80,10 @@ def test_json_salvage(spark):
     texts = [' {"a": 1} ', 'Here it is:\n{"a": {"b": 2}}\nDone.', "[1]", "none", "{broken", "} {", "", None]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", structured.json_salvage(F.col("t")).alias("j")).orderBy("i").collect()
     assert [r.j for r in got] == ['{"a": 1}', '{"a": {"b": 2}}', "[1]", None, None, None, None, None]
+
+
+def test_observed_sources(spark):
+    rows = [("s", 0, "a", 5, 1, None), ("s", 1, "b", 9, 2, 0.5), ("s", 2, "c", 9, 3, None), ("t", 0, "d", None, 1, None), ("t", 1, "e", 0, 0, None)]
+    sources = spark.createDataFrame(rows, "site string, pos int, platform string, sessions int, conversions int, conversion_rate double")
+    assert [r.conversion_rate for r in scores.with_conversion_rates(sources).orderBy("site", "pos").collect()] == [0.2, 0.5, 0.3333, None, None]
+    assert sorted(map(tuple, scores.top_sources(sources, "site").collect())) == [("s", "b", 9), ("t", "d", 0)]
