@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import embedding_dedup, html_main, license_scan, media, mixing, near_dedup, packing, substring_dedup, toxicity, url_filters
+from pagelens.llm import embedding_dedup, html_main, license_scan, line_dedup, media, mixing, near_dedup, packing, substring_dedup, toxicity, url_filters
 from pagelens.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,8 +61,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_minhash_near_dedup, op2_media_columns, op3_html_extraction, op4_embedding_near_dedup, op5_mixing_sources, op6_toxicity, op7_url_filters, op8_packing, op9_license_scans, op10_substring_dedup)
+    named = (op1_minhash_near_dedup, op2_media_columns, op3_html_extraction, op4_embedding_near_dedup, op5_mixing_sources, op6_toxicity, op7_url_filters, op8_packing, op9_license_scans, op10_substring_dedup, op12_line_dedup)
     return {q.__name__: q for q in named}
 
 
@@ -73,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filters": url_filters.ORACLE,
         "op9_license_scans": license_scan.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
+        "op12_line_dedup": line_dedup.ORACLE,
     }
