@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import embedding_dedup, html_main, license_scan, line_dedup, media, mixing, near_dedup, packing, substring_dedup, toxicity, url_filters
+from pagelens.llm import centroid_clusters, conversation_repair, embedding_dedup, html_main, license_scan, line_dedup, media, mixing, near_dedup, packing, substring_dedup, toxicity, url_filters
 from pagelens.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,12 +61,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(conversations), conversations)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_minhash_near_dedup, op2_media_columns, op3_html_extraction, op4_embedding_near_dedup, op5_mixing_sources, op6_toxicity, op7_url_filters, op8_packing, op9_license_scans, op10_substring_dedup, op12_line_dedup)
+    named = (op1_minhash_near_dedup, op2_media_columns, op3_html_extraction, op4_embedding_near_dedup, op5_mixing_sources, op6_toxicity, op7_url_filters, op8_packing, op9_license_scans, op10_substring_dedup, op11_conversation_repair, op12_line_dedup, op13_centroid_clusters)
     return {q.__name__: q for q in named}
 
 
@@ -77,5 +86,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filters": url_filters.ORACLE,
         "op9_license_scans": license_scan.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
+        "op11_conversation_repair": conversation_repair.ORACLE,
         "op12_line_dedup": line_dedup.ORACLE,
+        "op13_centroid_clusters": centroid_clusters.ORACLE,
     }
