@@ -9,6 +9,7 @@ from pagelens.functions import text as T
 from pagelens.functions import urls
 from pagelens.functions.numbers import blend, score
 from pagelens.operators import scores
+from pagelens.sources import structured
 
 # URL keywords of the key pages.
 KEY_PAGES = {
@@ -49,10 +50,12 @@ def site_rollup(scored: DataFrame) -> DataFrame:
 
 
 def site_signals(profiles: DataFrame) -> DataFrame:
-    """Entity signals of a site: OR of the flags, first company name, most mentions, business type of its first page."""
-    each = profiles.withColumns(T.entity_signals(F.col("text"), F.col("title")))
+    """Entity signals of a site: OR of the flags, first company name, most mentions, business type of its first page, roots, whether a page has sameAs."""
+    linked = structured.with_summary(profiles)
+    each = linked.withColumns({"same_as_detected": F.coalesce(F.size("same_as") > 0, F.lit(False)), "root": urls.site_root(F.col("page_url"))})
+    each = each.withColumns(T.entity_signals(F.col("text"), F.col("title")))
     first = F.struct(F.length("page_url").alias("n"), F.col("page_url").alias("u"), "page_id")
-    flags = [F.bool_or(n).alias(n) for n in ("company_name_detected", "address_detected", "phone_detected", "email_detected", "awards_detected", "certifications_detected")]
+    flags = [F.bool_or(n).alias(n) for n in ("company_name_detected", "address_detected", "phone_detected", "email_detected", "awards_detected", "certifications_detected", "same_as_detected")]
     business = T.business_type(F.concat_ws(" ", "title", "meta_description", F.substring("text", 1, 1000)))
     named = F.min_by("detected_company_name", F.when(F.col("detected_company_name").isNotNull(), first))
-    return each.withColumn("business", business).groupBy("site_id").agg(*flags, named.alias("detected_company_name"), F.max("homepage_brand_mentions").alias("homepage_brand_mentions"), F.min_by("business", first).alias("business_type"))
+    return each.withColumn("business", business).groupBy("site_id").agg(*flags, named.alias("detected_company_name"), F.max("homepage_brand_mentions").alias("homepage_brand_mentions"), F.min_by("business", first).alias("business_type"), F.min_by("scope_root", first).alias("scope_root"), F.min_by("root", first).alias("root"))

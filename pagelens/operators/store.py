@@ -12,7 +12,8 @@ def fold_batch(batch: DataFrame) -> DataFrame:
     """Rows of one batch with one key, folded in their order (ord): later values win where they are known."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c)
     first_type = F.min_by("url_type", F.when(~F.col("url_type").isin("unknown", "page"), F.col("ord")))
-    return batch.groupBy(*URL_KEYS).agg(last("final_url"), F.coalesce(first_type, F.max_by("url_type", "ord")).alias("url_type"), last("discovery_source"), F.min("priority").alias("priority"), F.max_by("fetch_status", F.when(F.col("fetched_at").isNotNull(), F.col("ord"))).alias("fetch_status"), F.max("fetched_at").alias("fetched_at"))
+    fetched_or_first = F.coalesce(F.max_by("fetch_status", F.when(F.col("fetched_at").isNotNull(), F.col("ord"))), F.min_by("fetch_status", "ord"))
+    return batch.groupBy(*URL_KEYS).agg(last("final_url"), F.coalesce(first_type, F.max_by("url_type", "ord")).alias("url_type"), last("discovery_source"), F.min("priority").alias("priority"), fetched_or_first.alias("fetch_status"), F.max("fetched_at").alias("fetched_at"))
 
 
 def upsert_urls(old: DataFrame, batch: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,27 +14,10 @@ from pagelens.operators.profiles import page_profiles
 from pagelens.plans import oracle_parts as O
 from pagelens.plans import oracle_site as S
 from pagelens.plans import crawl_inputs, report, site_inputs
+from pagelens.plans.catalogue import ORACLES, QUERIES, query, table  # noqa: F401
 from pagelens.sources import structured
 from pagelens.sources.pages import dealt, page_facts, read_pages
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 @lru_cache(4)  # a plan, not its rows: queries of one session over one folder share it
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,3 +482,6 @@ def page_indexability(spark, sf_dir):
 def site_reports(spark, sf_dir):
     sites = _sites(spark, sf_dir)
     return report.site_reports(sites, modules.action_plan(sites))
+
+
+from pagelens.plans import store_queries  # noqa: E402,F401  their queries join the catalogue
