@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions import urls
-from pagelens.operators import graph, rollup, task_graphs
+from pagelens.operators import graph, rollup, store, task_graphs
 from pagelens.operators.assets import AssetStore
 from pagelens.operators.graph_store import GraphStore, projected
 from pagelens.operators.profiles import page_profiles
@@ -140,16 +140,18 @@ def structure_graph_refreshed(spark, sf_dir):
 
 # -- graphs of tasks -----------------------------------------------------------------------
 
-#: Orders are tasks and customers sites; returned or accepted lines are snapshots of graphs, customers' own rows the current graphs.
+#: Orders are tasks and customers sites; returned or accepted lines are snapshots of graphs (of several lines with one number the last), customers' own rows the current graphs.
 _SQL_SNAPSHOTS = """s as (select l_orderkey * 8 + l_linenumber as graph_snapshot_id, o_custkey as site_id, case when l_returnflag = 'A' then l_orderkey end as task_id, l_shipdate as built_at, case when l_linenumber = 1 then '' else l_linestatus end as note,
  l_quantity::bigint as entity_count, (l_quantity * 2)::bigint as edge_count, l_linenumber::bigint as evidence_count, case when l_linenumber > 3 then l_partkey end as summary_entity_count,
- case when l_linestatus = 'F' and l_linenumber <> 2 then '["' || l_partkey || '"]' else '[]' end as entities, case when l_linenumber = 4 then null else '["' || l_suppkey || '"]' end as edges, case l_linenumber when 5 then null when 6 then '[]' else '["line"]' end as evidence from lineitem join orders on l_orderkey = o_orderkey where l_returnflag <> 'N')"""
+ case when l_linestatus = 'F' and l_linenumber <> 2 then '["' || l_partkey || '"]' else '[]' end as entities, case when l_linenumber = 4 then null else '["' || l_suppkey || '"]' end as edges, case l_linenumber when 5 then null when 6 then '[]' else '["line"]' end as evidence 
+ from (select * from lineitem where l_returnflag <> 'N' qualify row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_returnflag desc, l_linestatus desc) = 1) join orders on l_orderkey = o_orderkey)"""
 
 
 def _tasks(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("site_id"))
     c = F.col
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").join(orders.withColumnRenamed("task_id", "l_orderkey"), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = store.last_write(lines, ["l_orderkey", "l_linenumber"], "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").join(orders.withColumnRenamed("task_id", "l_orderkey"), "l_orderkey")
     named = lambda v: F.concat(F.lit('["'), v.cast("string"), F.lit('"]'))
     none = F.lit(None).cast("long")
     n = c("l_linenumber")
