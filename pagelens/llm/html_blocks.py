@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # Elements that break a line of text, that have no content, whose content is never text, and that close an open one of their kind.
@@ -16,16 +17,19 @@ SCOPES = frozenset("ul ol dl table div section article aside nav form main heade
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|noscript|template|textarea|iframe|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-# Elements left out up to their end tag; without one, or if an svg is closed in its own tag, only the tag is left out.
-ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("svg", "object", "canvas")}
+# Elements left out with all they hold up to their end tag, paragraphs of a fallback too; without an end tag, or if closed in their own tag, only the tag is left out.
+ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("svg", "object", "canvas", "title", "noscript", "template", "textarea", "iframe", "select")}
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]")
+#: A block's path has the innermost elements that are open, and the first words of each.
+DEPTH = 64
+WORDS = 24
 
 
 @dataclass
@@ -36,29 +40,36 @@ class Block:
 
 
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
-    words = [w.lower() for m in NAMED.finditer(attributes) for w in PARTS.findall(m[1] or m[2] or m[3] or "")]
+    words = [w.lower() for m in NAMED.finditer(attributes) for w in PARTS.findall(m[1] or m[2] or m[3] or "")][:WORDS]
     return (tag, *(f".{w}" for w in words))
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order; white space inside each is one space; blocks without text are left out."""
+    """The blocks of a page in order; white space inside each is one space; blocks without text are left out.
+
+    Time and memory are linear in the page: open elements are counted by name, and a path has at most DEPTH elements.
+    """
     page = page or ""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[tuple[str, bool]] = []
-    links, endless = 0, set()
+    is_open, endless = Counter(), set()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(t for t, _ in held)).split())
         if text:
             linked = len(" ".join(html.unescape("".join(t for t, inside in held if inside)).split()))
-            found.append(Block(text, tuple(w for _, names in stack for w in names), linked))
+            found.append(Block(text, tuple(w for _, names in stack[-DEPTH:] for w in names), linked))
         held.clear()
 
+    def close(depth: int) -> None:
+        is_open.subtract(name for name, _ in stack[depth:])
+        del stack[depth:]
+
     at = 0
     while m := TOKEN.search(page, at):
         if m.start() > at:
-            held.append((page[at : m.start()], links > 0))
+            held.append((page[at : m.start()], is_open["a"] > 0))
         at = m.end()
         tag = m[3] or m[6]
         if m[1]:
@@ -68,7 +79,7 @@ def blocks(page: str | None) -> list[Block]:
         tag, closing = tag.lower(), (m[2] or m[5]) == "/"
         if tag in ENDS and not closing:
             held.append((" ", False))
-            if tag not in endless and not (tag == "svg" and m[0].endswith("/>")):
+            if tag not in endless and not m[0].endswith("/>"):
                 end = ENDS[tag].search(page, at)
                 at = end.end() if end else at
                 endless |= set() if end else {tag}
@@ -78,19 +89,18 @@ def blocks(page: str | None) -> list[Block]:
         elif tag == "br":
             held.append((" ", False))
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if is_open[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
         elif tag not in VOID_TAGS:
             if tag in BLOCK_TAGS and tag not in ("html", "body"):
-                ends = CLOSES.get(tag, set())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] in ends:
-                        del stack[i:]
+                ends = CLOSES.get(tag, set()) | {"p"}
+                for i in range(len(stack) - 1, -1, -1) if any(is_open[t] for t in ends) else ():
+                    if stack[i][0] in ends:
+                        close(i)
                     elif stack[i][0] in SCOPES:
                         break
             stack.append((tag, _names(tag, m[4] or m[7] or "")))
-        links = sum(name == "a" for name, _ in stack)
-    held.append((page[at:], links > 0))
+            is_open[tag] += 1
+    held.append((page[at:], is_open["a"] > 0))
     flush()
     return found

@@ -107,7 +107,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, own: list[str]
 def take_mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The mix itself: each document as often as it is taken whole, then its first words for what is left; same columns."""
     names, kinds = docs.columns, dict(docs.dtypes)
-    mixed = mix_sources(docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in names]).alias("own_row")), labels, ["own_row"]).where("taken > 0")
+    mixed = mix_sources(docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("own_row")), labels, ["own_row"]).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     each = mixed.withColumn("turn", F.explode(F.sequence(F.lit(1), times))).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size")))
     cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col("own_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col("words")).cast("int")), " ")

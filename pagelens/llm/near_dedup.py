@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pagelens.llm.common import cut, spread_join, text_key
 from pagelens.llm.components import components
 from pagelens.llm.wordnum import U64, find_words, gram_hashes, mix, pieces, sequence_hashes, text_bytes, word_hashes
+from pagelens.operators.shared import numbered
 
 SHINGLE = 5
 CELLS = 1 << 20
@@ -37,6 +38,7 @@ SLICES = 64
 BANDS, ROWS = 12, 3
 BLOCK = 512  # documents a side of a block
 FEW = 8  # buckets up to this size list their pairs
+NEAR = 1e-5  # similarities of blocks that lie so near the threshold are computed again pair by pair
 
 
 # -- document frequencies -------------------------------------------------
@@ -243,7 +245,10 @@ def _block_links(idf: Broadcast, threshold: float):
         if len(q) and len(m):
             least = _overlaps([sets[i] for i in q], [sets[i] for i in m])
             full = np.array([s[1].sum(dtype=float) for s in sets])
-            alike = (least >= threshold * (full[q][:, None] + full[m] - least)) & (parts[q][:, None] != parts[m])
+            share, apart = least / (full[q][:, None] + full[m] - least), parts[q][:, None] != parts[m]
+            alike = (share >= threshold) & apart
+            for row, other in np.argwhere((np.abs(share - threshold) <= NEAR) & apart):  # products are in single precision
+                alike[row, other] = similarity(sets[q[row]], sets[m[other]]) >= threshold
             for row in np.flatnonzero(alike.any(axis=1)):
                 others = m[alike[row]]
                 for other in others[np.unique(parts[others], return_index=True)[1]]:  # one link joins a component
@@ -261,7 +266,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     """docs (doc_id, text, ...) -> one row per row: doc_id, text_key, n_shingles, class_id, kept.
 
     class_id is the smallest doc_id among the texts reachable by links of weighted
-    Jaccard similarity >= threshold; kept says that this row's doc_id is that one.
+    Jaccard similarity >= threshold; kept says that this row has that doc_id, and of several texts
+    of the class under it the one with the least text_key.  Different texts may share a doc_id: each
+    links by itself, and two classes whose smallest doc_id is the same have the same class_id.
     Words are runs of non-space characters without regard to ASCII case; equal word
     sequences are copies.  Texts without a word (null, empty, white space) link with
     nothing.  A row without doc_id is compared with nothing, has no class_id and is
@@ -272,8 +279,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     idf = spark.sparkContext.broadcast(word_weights(docs))
     signed = cut(docs.withColumn("text_key", text_key()).mapInArrow(_signatures(idf, bands, rows), "doc_id long, text_key long, w1 long, w2 long, n_shingles long, bands array<long>"))
-    # one node per different word sequence, named by its smallest doc_id
-    nodes = cut(signed.where("doc_id is not null and n_shingles > 0").groupBy("w1", "w2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    # one node per different word sequence, numbered in the order of their smallest doc_ids, which different texts may share
+    nodes = signed.where("doc_id is not null and n_shingles > 0").groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    nodes = cut(numbered(nodes.select("w1", "w2", "own.*", "bands", "n"), ["doc_id", "w1", "w2"], 0, "id")[0])
     placed = cut(nodes.select("id", F.explode(F.array_distinct("bands")).alias("bucket")).distinct())
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(spread_join(placed, cut(shared.withColumn("size", F.col("n"))), ["bucket"], deal=F.col("id")))
@@ -284,8 +292,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     ordered = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     pairs = cut(members.where("id <> hub").select("id", "hub").distinct())
 
-    texts = docs.join(pairs.select(F.explode(F.array("id", "hub")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = cut(texts.select(F.col("doc_id").alias("id"), "text").distinct())
+    compared = nodes.join(pairs.select(F.explode(F.array("id", "hub")).alias("id")).distinct(), "id", "left_semi").select("id", "doc_id", "text_key")
+    texts = docs.withColumn("text_key", text_key()).join(compared, ["doc_id", "text_key"]).select("id", "text")
+    texts = cut(texts.dropDuplicates(["id"]))
 
     def verify(candidates: DataFrame) -> DataFrame:
         """candidates (id, hub) -> links (u, v); a hub's text is copied once for every HOT candidates, not into one task."""
@@ -317,11 +326,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     if not more.isEmpty():  # the stars found so far stand for their links
         found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
-    owners = nodes.join(found, "id", "left").select("w1", "w2", "n", F.coalesce("component", "id").alias("class_id"))
+    # a class has the doc_id of its first node, and that node's text stays
+    first = nodes.select(F.col("id").alias("component"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"))
+    owners = nodes.select("id", "w1", "w2", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(first, "component").select("w1", "w2", "n", "class_id", "class_key")
     signed = signed.drop("bands")
-    linked = spread_join(signed.where("n_shingles > 0 and doc_id is not null"), owners, ["w1", "w2"]).select("doc_id", "text_key", "n_shingles", "class_id")
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+    linked = spread_join(signed.where("n_shingles > 0 and doc_id is not null"), owners, ["w1", "w2"]).select("doc_id", "text_key", "n_shingles", "class_id", "class_key")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"))
+    kept = F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)) & (F.col("class_key") == F.col("text_key"))
+    return linked.unionByName(alone).withColumn("kept", kept).drop("class_key")
 
 
 def keep_one_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelens.llm.common import cut, spread_join, text_bytes_total, text_key
 from pagelens.llm.wordnum import U64, find_words, gram_hashes, mix, pieces, segments, sliding_min, text_bytes, word_hashes
@@ -218,17 +219,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     own = [c for c in docs.columns if with_text and c.startswith("own_")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("text_key"), *own)
     found = keyed.join(repeats(keyed.select("doc_id", "text", "text_key")), ["doc_id", "text_key"], "left").select("doc_id", "text", "gone", *own)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    schema = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
-        kinds = dict(keyed.dtypes)
-        schema = ", ".join([schema, "kept_text string", *(f"`{c}` {kinds[c]}" for c in own)])
+        schema = StructType([*schema.add("kept_text", "string"), *(keyed.schema[c] for c in own)])
     return found.mapInArrow(lambda batches: _kept(batches, with_text), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated words taken out of text; texts that lose nothing stay as they are; same columns."""
     names, kinds = docs.columns, dict(docs.dtypes)
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in names]).alias("own_row"))
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("own_row"))
     out = remove_repeats(packed, with_text=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("own_row.text"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kinds.get("n_chars", "long"))).otherwise(F.col("own_row.n_chars")) if "n_chars" in names else None}

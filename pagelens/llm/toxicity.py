@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelens.llm.common import cut
 from pagelens.llm.wordnum import SPACE, U64, find_words, mix, pieces, text_bytes, word_hashes
@@ -283,12 +284,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST
     sample = labelled_sample(docs, labels, most_labelled)
     model = spark.sparkContext.broadcast(fit(sample, severity_grades(sample)))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([own] if own else []))
-    extra = f", `{own}` {dict(docs.dtypes)[own]}" if own else ""
-    return given.mapInArrow(_scored(model), f"doc_id long{extra}, severity double, p_toxic double, grade long, toxic boolean")
+    schema = StructType([f for f in given.schema if f.name != "text"]).add("severity", "double").add("p_toxic", "double").add("grade", "long").add("toxic", "boolean")
+    return given.mapInArrow(_scored(model), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the toxic ones; same columns."""
     names = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in names]).alias("own_row"))
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("own_row"))
     return score_toxicity(packed, labels, own="own_row").where("not toxic").select(*[F.col(f"own_row.`{c}`").alias(c) for c in names])
