@@ -147,37 +147,6 @@ def structure_candidates(profiles: DataFrame, known: DataFrame | None = None, fu
     return entities, edges.withColumn("edge_key", edge_key(col("source_key"), col("relation_type"), col("target_key")))
 
 
-#: "number unit" of a specification, and phrases that name a use.
-SPECIFICATION = r"(?i)\b\d+(?:[.,]\d+)?\s?(?:mah|kwh|wh|kw|w|v|ah|a|hz|fps|km|hours?|hrs?|minutes?|mins?|kg|g|lb|mm|cm|m|inch(?:es)?|gb|tb|mb|ms|l|ml|%)\b"
-USES = r"(?i)(?:ideal for|designed for|perfect for|suitable for|used for|best for|great for|built for|suited for)\s+([^.;:!?\n]{3,120})"
-FEATURES = r"(?i)\b(?:(?:features?|includes?|with)\s*:\s*|(?:features?|benefits?|advantages?|capabilities|supports?)[:\s]+)([^.;!?\n]{3,120})"
-# Words that make a sentence a claim.
-CLAIMS = "reliable|easy to use|recommend|trusted|best|excellent|love|great|poor|slow|expensive|difficult|customers|users|review|testimonial|portable|powerful|easy"
-
-
-def entity_candidates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """pages (site_id, page_id, ord, name, text, heading_texts) -> candidates of features, specifications, uses and claims of each page's subject."""
-    rows = pages.withColumns({"brand": entity_key(lit("brand"), col("site_id"), col("site_id")), "source": entity_key(lit("source_page"), col("site_id"), col("page_id").cast("string")), "thing": entity_key(lit("product_model"), col("site_id"), col("page_id").cast("string"))})
-    head = F.filter(F.slice("heading_texts", 1, 12), lambda h: F.size(F.split(F.trim(h), r"\s+")) <= 8)
-    listed = F.transform(F.flatten(F.transform(F.regexp_extract_all(col("text"), lit(FEATURES), lit(1)), lambda m: F.split(m, r",\s*"))), lambda s: F.trim(s))
-    clean = lambda a: F.filter(F.transform(a, lambda s: F.trim(F.regexp_replace(s, r"^[\s\-*•\d.)]+|[\s:|.,;]+$", ""))), lambda s: F.length(s) >= 3)
-    sentences = F.split(F.regexp_replace(col("text"), r"\s+", " "), r"(?<=[.!?])\s+")
-    parts = {
-        "feature": ("has_feature", F.array_distinct(clean(F.concat(head, listed))), 78.0),
-        "specification": ("has_spec", F.array_distinct(F.regexp_extract_all(col("text"), lit(SPECIFICATION), lit(0))), 82.0),
-        "use_case": ("suited_for", F.array_distinct(clean(F.regexp_extract_all(col("text"), lit(USES), lit(1)))), 76.0),
-        "sentiment_claim": ("backed_by_claim", F.array_distinct(F.transform(F.filter(sentences, lambda s: F.lower(s).rlike(CLAIMS)), lambda s: F.substring(s, 1, 180))), 70.0),
-    }
-    entities = [_entity(rows, "brand", col("site_id"), lit(None).cast("string"), 90.0), _entity(rows, "source_page", col("page_id").cast("string"), lit(None).cast("string"), 100.0), _entity(rows, "product_model", col("page_id").cast("string"), lit(None).cast("string"), 84.0)]
-    edges = [_edge(rows, col("source"), "mentions", col("brand"), 80.0, "page", col("site_id"), 80.0), _edge(rows, col("brand"), "offers", col("thing"), 82.0, "page", col("name"), 82.0), _edge(rows, col("source"), "describes", col("thing"), 90.0, "page", col("name"), 90.0)]
-    for kind, (relation, values, confidence) in parts.items():
-        each = rows.select("site_id", "page_id", "ord", "thing", F.explode(values).alias("value"))
-        key = entity_key(lit(kind), col("site_id"), col("value"))
-        entities.append(_entity(each, kind, col("value"), lit(None).cast("string"), confidence))
-        edges.append(_edge(each, col("thing"), relation, key, confidence, kind, col("value"), confidence))
-    return _union(entities), _union(edges)
-
-
 def merge_entities(candidates: DataFrame) -> DataFrame:
     """One row per key: the name and url of its first page (of several there the first in order), the highest confidence, how many pages show it."""
     first = lambda name: F.min(F.when(F.length(F.coalesce(col(name), lit(""))) > 0, F.struct("ord", col(name).alias("v"))))["v"].alias(name)

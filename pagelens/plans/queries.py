@@ -285,21 +285,6 @@ def structure_graph_documents(spark, sf_dir):
     return graph.graph_documents(graph.merge_entities(entities), graph.merge_edges(edges))
 
 
-def _subjects(spark, sf_dir):
-    d = dealt(table(spark, sf_dir, "documents"))
-    return graph.entity_candidates(d.select(F.coalesce("source", F.lit("none")).alias("site_id"), F.col("doc_id").alias("page_id"), F.struct("doc_id").alias("ord"), F.concat(F.lit("document "), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("text"), F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 1).alias("heading_texts")))
-
-
-@query(None)
-def entity_graph_entities(spark, sf_dir):
-    return graph.merge_entities(_subjects(spark, sf_dir)[0])
-
-
-@query(None)
-def entity_graph_edges(spark, sf_dir):
-    return graph.merge_edges(_subjects(spark, sf_dir)[1])
-
-
 # -- store ------------------------------------------------------------------------------
 
 
@@ -484,4 +469,4 @@ def site_reports(spark, sf_dir):
     return report.site_reports(sites, modules.action_plan(sites))
 
 
-from pagelens.plans import store_queries  # noqa: E402,F401  their queries join the catalogue
+from pagelens.plans import entity_queries, store_queries  # noqa: E402,F401  their queries join the catalogue

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import crawler, graph, modules, page_content, scores, seo, store
+from pagelens.operators import crawler, entity_graph, graph, modules, page_content, scores, seo, store
 from pagelens.operators.profiles import page_profiles, with_elements
 from pagelens.plans import site_inputs
 from pagelens.sources import structured
@@ -117,20 +117,37 @@ def test_sites_without_inputs_are_scored(spark):
     assert all(r.s == 100 for r in shares)
 
 
+def entity_pages(spark, text, headings, title=None, url_type="product"):
+    row = ("s", 1, "https://a.example/p", url_type, title, "en", 9, text, headings, "Acme", "https://a.example")
+    names = "site_id string, page_id long, page_url string, url_type string, title string, lang string, word_count long, text string, headings array<string>, brand_name string, brand_url string"
+    return spark.createDataFrame([row], names).withColumn("ord", F.struct("page_id"))
+
+
 def test_entity_graph(spark):
-    rows = spark.createDataFrame([("s", 1, "p", "768Wh capacity and 1200W output. Ideal for camping trips and home backup. Customers say it is easy to use and reliable.", ["Fast Charging", "Portable Design"])], "site_id string, page_id long, name string, text string, heading_texts array<string>").withColumn("ord", F.struct("page_id"))
-    entities, edges = graph.entity_candidates(rows)
+    text = "768Wh capacity and 1200W output.\nIdeal for camping trips and home backup. Customers say it is easy to use and reliable. Features: quick start guide, and more. Charges 80% now, 80%x."
+    entities, edges = entity_graph.candidates(entity_pages(spark, text, ["- Fast Charging:", "Overview", "a b c d e f g h i", "Fast Charging"]))
     found = {(r.entity_type, r.name) for r in graph.merge_entities(entities).collect()}
-    assert ("specification", "768Wh") in found and ("use_case", "camping trips and home backup") in found and ("feature", "Fast Charging") in found
-    assert {r.relation_type for r in graph.merge_edges(edges).collect()} == {"mentions", "offers", "describes", "has_feature", "has_spec", "suited_for", "backed_by_claim"}
+    assert {n for t, n in found if t == "feature"} == {"Fast Charging", "quick start guide"}
+    assert {n for t, n in found if t == "specification"} == {"768Wh", "capacity and 1200W", "80%"}  # a % counts where a letter follows
+    assert {n for t, n in found if t == "use_case"} == {"camping trips and home backup"} and ("product_model", "https://a.example/p") in found
+    assert {n for t, n in found if t == "sentiment_claim"} == {"Customers say it is easy to use and reliable"}
+    merged = {(r.relation_type, r.confidence) for r in graph.merge_edges_fully(edges).collect()}
+    assert merged == {("mentions", 86.0), ("mentions", 68.0), ("offers", 88.0), ("describes", 92.0), ("has_feature", 76.0), ("has_spec", 78.0), ("suited_for", 72.0), ("backed_by_claim", 64.0)}
+    assert {r.evidence_type for r in graph.stored_evidence(edges).collect()} == {"text", "heuristic", "heading"}
+    page = next(r for r in graph.merge_entities_fully(entities).collect() if r.entity_type == "source_page")
+    assert page.attributes["text_excerpt"].startswith('"768Wh capacity and') and page.attributes["word_count"] == "9"
+    plain, _ = entity_graph.candidates(entity_pages(spark, "Great for boats", None, "T", "service"))
+    assert {(r.entity_type, r.name) for r in plain.collect()} == {("brand", "Acme"), ("source_page", "T"), ("service_offer", "T"), ("use_case", "boats")}
 
 
 def test_entity_graph_reads_whole_texts(spark):
     text = "Word here. " * 1000 + "".join(f"Rated {i} Ah. Customers saw {i}. Great for trip number {i}. Supports charging mode {i}. " for i in range(20))
-    rows = spark.createDataFrame([("s", 1, "p", text, [])], "site_id string, page_id long, name string, text string, heading_texts array<string>").withColumn("ord", F.struct("page_id"))
-    found = {(r.entity_type, r.name) for r in graph.entity_candidates(rows)[0].collect()}
+    rows = entity_pages(spark, text, [])
+    found = {(r.entity_type, r.name) for r in entity_graph.candidates(rows)[0].collect()}
     for i in range(20):
-        assert {("specification", f"{i} Ah"), ("sentiment_claim", f"Customers saw {i}."), ("use_case", f"trip number {i}"), ("feature", f"charging mode {i}")} <= found
+        assert {("specification", f"Rated {i} Ah"), ("sentiment_claim", f"Customers saw {i}"), ("use_case", f"trip number {i}"), ("feature", f"charging mode {i}")} <= found
+    short = entity_graph.candidates(entity_pages(spark, text[-1700:], []), entity_graph.AUDITED)[0].groupBy("entity_type").count().collect()
+    assert {r.entity_type: r["count"] for r in short if r.entity_type not in ("brand", "source_page", "product_model")} == {"feature": 7, "specification": 10, "use_case": 8, "sentiment_claim": 6}
 
 
 def test_upsert_rules_and_idempotence(spark):
