@@ -45,7 +45,7 @@ class Limits:
     claims: int | None = None
 
 
-WHOLE, AUDITED = Limits(), Limits(600, 8000, 6000, 10, 10, 8, 6)
+WHOLE, AUDITED = Limits(), Limits(400, 8000, 6000, 10, 10, 8, 6)
 
 
 def normal_space(text: Column) -> Column:
