@@ -144,14 +144,14 @@ class BucketStore:
         self._put(f"manifests/{new.version:012d}.json", new.to_json())
         return Commit(new.version, {t: sorted(c[2]) for t, c in changes.items()})
 
-    def merge(self, table: str, batch: DataFrame, site: str, keys: list[str], rule: Rule) -> Commit:
+    def merge(self, table: str, batch: DataFrame, site: str, keys: list[str], rule: Rule, counters: dict[str, int] | None = None) -> Commit:
         """Merge a batch into the buckets that its keys fall in; rule gets those buckets' rows and the batch."""
         base, bucket = self.manifest(), self.bucket(F.col(site), F.struct(*keys))
         batch = cut(batch)
         touched = sorted(r.b for r in batch.select(bucket.alias("b")).distinct().collect())
         old = self.read(table, touched, base)
         rows = rule(self.spark.createDataFrame([], batch.schema) if old is None else old, batch)
-        return self.commit(base, {table: (rows, bucket, touched)})
+        return self.commit(base, {table: (rows, bucket, touched)}, counters)
 
     def lookup(self, table: str, wanted: DataFrame, site: str, keys: list[str]) -> DataFrame | None:
         """The rows of the wanted keys, from their buckets only."""

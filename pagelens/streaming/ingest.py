@@ -1,11 +1,12 @@
-"""Fetched pages as a stream: late duplicates drop out, each batch is merged into a snapshot table."""
+"""Fetched pages as a stream: late duplicates drop out, each batch is merged into the buckets of a table that it touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls
+from pagelens.operators.bucket_store import BucketStore
 from pagelens.operators.store import last_write
 
 
@@ -21,18 +22,23 @@ def fetch_counts(pages: DataFrame, window: str = "1 hour", delay: str = "10 minu
     return hosts.withWatermark("fetched_at", delay).groupBy(F.window("fetched_at", window), "host").agg(F.count("*").alias("fetches"))
 
 
-def merge_into(folder: str):
-    """foreachBatch writer: the batch's latest row of each URL joins the table of versions under folder/version=<batch>.
+def merge_into(folder: str, buckets: int = 64):
+    """foreachBatch writer: the batch's latest row of each URL joins the table ``pages`` of a bucket store in folder.
 
-    A version holds the whole table and is written under its batch number, so a
-    repeated batch writes the same version again and the latest version is the table.
+    A batch rewrites the buckets that its URLs fall in and no other.  The store's manifest holds the number of the
+    last batch, in the same commit as its rows, so a repeated batch changes nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/version={number - 1}"))
-        last_write(rows, ["url_hash"], "fetched_at", "content_hash").write.mode("overwrite").parquet(f"{folder}/version={number}")
+        store = BucketStore(batch.sparkSession, folder, buckets)
+        if store.manifest().counters.get("batch", -1) >= number:
+            return
+        latest = lambda old, new: last_write(old.unionByName(new), ["url_hash"], "fetched_at", "content_hash").select(new.columns)
+        store.merge("pages", batch, "url_hash", ["url_hash"], latest, {"batch": number})
 
     return write
+
+
+def merged_pages(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table that merge_into writes, as of its last batch; None before the first."""
+    return BucketStore(spark, folder).read("pages")

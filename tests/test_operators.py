@@ -4,11 +4,12 @@ import json
 from pyspark.sql import functions as F
 
 from pagelens.operators import crawler, entity_graph, graph, modules, page_content, scores, seo, store
+from pagelens.operators.bucket_store import BucketStore
 from pagelens.operators.profiles import page_profiles, with_elements
 from pagelens.plans import site_inputs
 from pagelens.sources import structured
 from pagelens.sources.pages import page_facts
-from pagelens.streaming.ingest import fetch_counts, merge_into, page_stream
+from pagelens.streaming.ingest import fetch_counts, merge_into, merged_pages, page_stream
 
 HTML = """<!DOCTYPE html><html lang="en-US"><head><title>Widget &amp; Co | Acme</title><meta name="Description" content="All about widgets"><link rel="canonical" href="https://a.example/products/widget">
 <script type="application/ld+json">{"@type":"Product","name":"Widget of Acme","sameAs":["https://social.example/acme"],"datePublished":"2025-01-01"}</script><style>p{}</style></head>
@@ -181,8 +182,23 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("url string, html string, fetched_at timestamp").parquet(str(tmp_path / "in"))
     writing = page_stream(stream).writeStream.foreachBatch(merge_into(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     writing.awaitTermination(120)
-    table = spark.read.parquet(str(tmp_path / "out" / "version=0")).collect()
+    table = merged_pages(spark, str(tmp_path / "out")).collect()
     assert sorted((r.url, r.fetched_at.minute) for r in table) == [("https://a.example/1", 3), ("https://b.example/", 0)]
     counts = fetch_counts(stream).writeStream.format("memory").queryName("fetches").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     counts.awaitTermination(120)
     assert {(r.host, r.fetches) for r in spark.sql("select host, fetches from fetches").collect()} == {("a.example", 3), ("b.example", 1)}
+
+
+def test_batches_rewrite_the_buckets_they_touch(spark, tmp_path):
+    names = "url_hash string, url string, content_hash string, fetched_at timestamp"
+    day = lambda n: dt.datetime(2024, 1, n)
+    write, store = merge_into(str(tmp_path), 16), BucketStore(spark, str(tmp_path), 16)
+    write(spark.createDataFrame([(f"h{i}", f"u{i}", "a", day(1)) for i in range(60)], names), 0)
+    first = store.manifest().folders["pages"]
+    one = spark.createDataFrame([("h1", "u1", "b", day(2)), ("h1", "u1", "c", day(3)), ("h2", "u2", "old", dt.datetime(2023, 1, 1))], names)
+    for _ in range(2):  # the second time the batch is known
+        write(one, 1)
+    second = store.manifest()
+    assert second.version == 2 and second.counters == {"batch": 1} and 1 <= sum(second.folders["pages"][b] != first[b] for b in first) <= 2
+    rows = {r.url_hash: r.content_hash for r in merged_pages(spark, str(tmp_path)).collect()}
+    assert len(rows) == 60 and rows["h1"] == "c" and rows["h2"] == "a"
