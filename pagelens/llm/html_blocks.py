@@ -7,6 +7,8 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+from pagelens.sources.html_tree import next_token
+
 # Elements that break a line of text, that have no content, whose content is never text, and that close an open one of their kind.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -66,11 +68,13 @@ def blocks(page: str | None) -> list[Block]:
         is_open.subtract(name for name, _ in stack[depth:])
         del stack[depth:]
 
-    at = 0
-    while m := TOKEN.search(page, at):
+    at, last = 0, page.rfind(">")
+    while m := next_token(page, at, last, TOKEN):
         if m.start() > at:
             held.append((page[at : m.start()], is_open["a"] > 0))
         at = m.end()
+        if m.re is not TOKEN:
+            continue
         tag = m[3] or m[6]
         if m[1]:
             held.append((" ", False))
