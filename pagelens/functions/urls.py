@@ -111,8 +111,9 @@ def is_internal(url: Column, base: Column) -> Column:
 
 
 def is_inside(url: Column, base_host: Column, prefix: Column) -> Column:
-    """is_internal, of a base whose host and scope prefix are known."""
-    return (host(url) == base_host) & ((prefix == "/") | F.startswith(F.lower(path(url)), prefix))
+    """is_internal, of a base whose host and scope prefix are known; the scope's root counts with and without its last slash."""
+    whole = F.lower(path(url))
+    return (host(url) == base_host) & ((prefix == "/") | F.startswith(whole, prefix) | (F.concat(whole, F.lit("/")) == prefix))
 
 
 def is_likely_homepage(url: Column) -> Column:

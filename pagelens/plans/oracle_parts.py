@@ -114,7 +114,7 @@ l0 as (select page_id, page_url, scheme, auth, path, host, prefix, locale, unnes
 l1 as (select *, trim(replace(replace(regexp_extract(regexp_extract(a, '(?is)^<a\b[^>]*>'), '{_HREF}', 1), '&quot;', '"'), '&amp;', '&')) as h, {visible('a')} as label from l0),
 l2 as (select *, {_absolute()} as target from l1),
 l3 as (select *, row_number() over (partition by page_id, page_url, target order by pos) as rn from l2 where regexp_matches(target, '^https?://')),
-l as (select *, regexp_replace(regexp_extract(target, {q(urls.PARTS)}, 2), '^.*@|:\d*$', '', 'g') = host and (prefix = '/' or starts_with(lower(regexp_extract(target, {q(urls.PARTS)}, 3)), prefix)) as internal from l3 where rn = 1)
+l as (select *, regexp_replace(regexp_extract(target, {q(urls.PARTS)}, 2), '^.*@|:\d*$', '', 'g') = host and (prefix = '/' or starts_with(lower(regexp_extract(target, {q(urls.PARTS)}, 3)), prefix) or lower(regexp_extract(target, {q(urls.PARTS)}, 3)) || '/' = prefix) as internal from l3 where rn = 1)
 """
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pagelens.functions import suffixes, urls
 from pagelens.operators import robots
 from pagelens.plans import oracle_parts as O
+from pagelens.plans import oracle_site as S
+from pagelens.plans import site_inputs
 from pagelens.plans.catalogue import query
-from pagelens.sources import structured
+from pagelens.sources import html_tree, structured
 from pagelens.sources.pages import read_pages
 
 _N = "chr(10)"
@@ -75,3 +77,26 @@ def registered_domains(spark, sf_dir):
     pages = read_pages(spark, sf_dir).select("page_id", urls.host(urls.normalize_url(F.col("url"))).alias("host")).where("host is not null")
     odd = F.when(F.col("page_id") % 25 == 0, "10.0.0.1").when(F.col("page_id") % 25 == 1, "co.uk").when(F.col("page_id") % 25 == 2, "kawasaki.jp")
     return suffixes.registered_domains(pages.select(odd.otherwise(F.expr(HOST)).alias("host")), suffixes.common_rules(spark))
+
+
+_BLANK = lambda value: f"trim(regexp_replace({value}, '\\s+', ' ', 'g'))"
+_METAS = lambda kind, start: f"(select coalesce('{{' || string_agg('\"' || k || '\":\"' || v || '\"', ',' order by k) || '}}', '{{}}') from (select unnest(regexp_extract_all(html, '<meta {kind}=\"({start}[^\"]*)\" content=\"([^\"]*)\"', 1)) as k, unnest(regexp_extract_all(html, '<meta {kind}=\"({start}[^\"]*)\" content=\"([^\"]*)\"', 2)) as v))"
+
+
+@query(f"""with {S.ELEMENTS_SQL} select page_id, title, lang, meta_description, canonical, first_h1 as h1, array_to_string(list_transform(heading_levels, lambda x, i: x || ':' || heading_texts[i]), chr(10)) as headings, internal_link_count as internal_links, external_link_count as external_links, imgs as images,
+len(regexp_extract_all(raw, '(?i)<script\\b')) as scripts, sheets as stylesheets, len(regexp_extract_all(raw, 'application/ld\\+json')) as json_ld, {_METAS('property', 'og:')} as open_graph, {_METAS('name', 'twitter:')} as twitter_cards, case when hreflang then 'fr-FR' else '' end as hreflang, case when viewport then 'width=device-width' end as viewport,
+{_BLANK('text')} as text from e""")
+def page_tree(spark, sf_dir):
+    """What the tree reader finds in every page with drawn elements; links to pages only, white space as one space."""
+    base = F.col("page_url")
+    pages = site_inputs.with_elements(read_pages(spark, sf_dir)).withColumn("page_url", urls.normalize_url(F.col("url")))
+    pages = pages.withColumns({"host": urls.host(base), "prefix": urls.scope_prefix(base)})
+    t = html_tree.with_tree(pages).select("page_id", "tree.*")
+    blank = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    paged = lambda c: F.size(F.filter(c, lambda x: x["url"].rlike("^https?://")))
+    as_json = lambda c: F.concat(F.lit("{"), F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"')))), ","), F.lit("}"))
+    return t.select(
+        "page_id", blank(F.col("title")).alias("title"), F.lower("lang").alias("lang"), "meta_description", "canonical", blank(F.col("h1")).alias("h1"), F.array_join(F.transform("headings", lambda h: F.concat(h["level"], F.lit(":"), blank(h["text"]))), "\n").alias("headings"),
+        paged("internal_links").alias("internal_links"), paged("external_links").alias("external_links"), F.size("images").alias("images"), F.size("scripts").alias("scripts"), F.size("stylesheets").alias("stylesheets"), F.size("json_ld_blocks").alias("json_ld"),
+        as_json("open_graph").alias("open_graph"), as_json("twitter_cards").alias("twitter_cards"), F.array_join("hreflang", ",").alias("hreflang"), "viewport", blank(F.col("text_content")).alias("text"),
+    )
