@@ -327,53 +327,7 @@ def observation_rollup(spark, sf_dir):
     return scores.observations(table(spark, sf_dir, "events"))
 
 
-# -- small inputs written out: robots, sitemaps, JSON-LD, headers, crawlers ------------------
-
-
-@query("""select * from (values ('empty', 'GPTBot', '*', true), ('closed', 'GPTBot', '*', false), ('tie', 'GPTBot', '*', true), ('blank', 'GPTBot', '*', false), ('shared', 'GPTBot', 'gptbot', false), ('shared', 'Bingbot', '*', true), ('own', 'GPTBot', 'gptbot', true),
-('empty', 'Bingbot', '*', true), ('closed', 'Bingbot', '*', false), ('tie', 'Bingbot', '*', true), ('blank', 'Bingbot', '*', false), ('own', 'Bingbot', '*', false)) t(site, crawler, matched_agent, allowed)""")
-def robots_verdict(spark, sf_dir):
-    bodies = [("empty", ""), ("closed", "User-agent: *\nDisallow: /"), ("tie", "User-agent: *\nDisallow: /\nAllow: /"), ("blank", "User-agent: *\nDisallow:"), ("shared", "User-agent: gptbot\nUser-agent: claudebot\nDisallow: / # all\nSitemap: https://a.example/s.xml"), ("own", "User-agent: *\nDisallow: /\nUser-agent: GPTBot\nAllow: /")]
-    return structured.robots_verdicts(spark.createDataFrame(bodies, "site string, body string"), ("GPTBot", "Bingbot"))
-
-
-@query("select * from (values ('a', 1, 'https://a.example/1'), ('a', 2, 'https://a.example/2'), ('a', 3, 'https://a.example/3')) t(site, ord, page)")
-def sitemap_urls(spark, sf_dir):
-    xml = "http://www.sitemaps.org/schemas/sitemap/0.9"
-    urlset = lambda *u: f'<urlset xmlns="{xml}">' + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>"
-    files = [("a", "i", f'<sitemapindex xmlns="{xml}"><sitemap><loc>m1</loc></sitemap><sitemap><loc>m2</loc></sitemap><sitemap><loc>bad</loc></sitemap></sitemapindex>'), ("a", "m1", urlset("https://a.example/1", "https://a.example/2")), ("a", "m2", urlset("https://a.example/2", "https://a.example/3")), ("a", "bad", "<urlset")]
-    return structured.sitemap_urls(spark.createDataFrame(files, "site string, url string, xml string"), spark.createDataFrame([("a", "i")], "site string, url string"))
-
-
-@query("select * from (values (1, true, true, false, false, 50, 0), (2, true, false, true, false, 100, 0), (3, true, false, false, true, 50, 0), (4, true, true, false, false, 50, 2), (5, false, false, false, false, 0, 0)) t(id, json_ld_present, has_organization, has_article, has_product, visible_alignment_score, relation_count)")
-def jsonld_summary(spark, sf_dir):
-    rows = [
-        (1, ['{"@type":"Corporation","@id":"https://example.com/#org"}'], "Example"),
-        (2, ['{"@type":"Article","headline":"Battery backup overview","description":"Battery backup overview","datePublished":"2025-01-10"}'], "Battery backup overview. Last updated."),
-        (3, ["not-json", '{"@type":["https://schema.org/ProductModel","http://schema.org/Offer"]}'], ""),
-        (4, ['{"@graph":[{"@type":"Organization","brand":{}}]}'], "x"),
-        (5, ["not-json"], "x"),
-    ]
-    out = structured.summarize(spark.createDataFrame(rows, "id int, json_ld array<string>, text string"), "id")
-    return out.select("id", "json_ld_present", "has_organization", "has_article", "has_product", "visible_alignment_score", "relation_count")
-
-
-@query()
-def page_structured_data(spark, sf_dir):
-    names = [n for n in structured.summary_columns("text")]
-    return structured.with_summary(profiles(spark, sf_dir)).select("page_id", *names)
-
-
-@query("select * from (values (1, 40), (2, 0), (3, 100)) t(id, score)")
-def security_headers(spark, sf_dir):
-    rows = [(1, {"X-Frame-Options": "DENY", "strict-transport-security": "x"}), (2, {}), (3, {h.upper(): "x" for h in scores.SECURITY_HEADERS})]
-    return spark.createDataFrame(rows, "id int, headers map<string, string>").select("id", scores.security_headers(F.col("headers")).alias("score"))
-
-
-@query("select * from (values (1, 100), (2, 0)) t(id, score)")
-def llms_quality(spark, sf_dir):
-    rows = [(1, "# Example Co\n## Services\nWe provide SEO services.\nPreferred citation: canonical URL.\nContact support@example.com", 420, "Example Co"), (2, None, 0, "Example Co")]
-    return spark.createDataFrame(rows, "id int, preview string, length int, brand string").select("id", scores.llms_effectiveness(F.col("preview"), F.col("length"), F.col("brand")).alias("score"))
+# -- crawlers ------------------------------------------------------------------------
 
 
 def _crawled(spark, sf_dir):
@@ -401,12 +355,6 @@ def crawler_overview(spark, sf_dir):
     return _crawled(spark, sf_dir).select("page_id", "rendering", "verdict", "crawl", "indexing", _codes("major_issues"))
 
 
-@query("select * from (values (1, 42::bigint, 1200::bigint, 0.6::double), (2, 10::bigint, null, null)) t(id, ascore, backlinks_num, follow_ratio)")
-def backlink_figures(spark, sf_dir):
-    rows = [(1, "ascore;backlinks_num;domains_num;ips_num;ipclass_c_num;follows_num;nofollows_num\n42;1200;88;66;40;720;480"), (2, '{"ascore": "10", "follows_num": "n/a"}')]
-    return spark.createDataFrame(rows, "id int, body string").select("id", structured.backlinks(F.col("body")).alias("b")).select("id", "b.ascore", "b.backlinks_num", "b.follow_ratio")
-
-
 @query("select o_orderkey, greatest(0, least(100, round_even(o_totalprice / 5000, 0)::int)) as score, " + O.status("greatest(0, least(100, round_even(o_totalprice / 5000, 0)::int))") + " as status from orders")
 def score_bands(spark, sf_dir):
     value = F.col("o_totalprice") / 5000

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelens.operators.shared import cut
+
 # Lower-case type families and relation keys, and text and date keys.
 ORGANIZATIONS = "organization airline consortium corporation educationalorganization fundingagency governmentorganization localbusiness medicalorganization ngo newsmediaorganization onlinestore performinggroup sportsorganization store travelagency".split()
 ARTICLES = "article blogposting newsarticle report scholarlyarticle socialmediaposting techarticle".split()
@@ -167,32 +169,57 @@ def sitemap_entries(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "locations"])
 
 
-def sitemap_urls(files: DataFrame, starts: DataFrame, most_indexes: int = 10, most_urls: int = 50) -> DataFrame:
-    """files (site, url, xml), starts (site, url) -> site, ord, page: breadth first from the starts, each file once.
+#: Limits of a sitemap's walk, part of the rules: index files followed a site, URLs kept a site.
+MOST_INDEXES, MOST_URLS = 10, 50
+
 
-    The two limits are part of the operator: sitemap files followed per site and URLs kept.
+def sitemap_files(files: DataFrame, starts: DataFrame, most_indexes: int = MOST_INDEXES) -> DataFrame:
+    """files (site, url, xml), starts (site, url, ord) -> site, url, place: the sitemap files that each site's walk reads, in its order.
+
+    Breadth first, all sites at once: a level's files are those that its indexes name, in their order, without the files of
+    earlier levels.  Of a site the first most_indexes index files are followed.  Each level is cut, so a round's plan is small;
+    rounds end with the deepest site, and cycles end since no file comes twice.
     """
-    parsed = files.select("site", "url", sitemap_entries("xml").alias("e")).select("site", "url", "e.kind", "e.locations")
-    level = starts.select("site", "url").distinct().withColumn("depth", F.lit(0))
-    seen = level
-    for depth in range(1, most_indexes + 1):
-        children = level.join(parsed.where("kind = 'sitemapindex'"), ["site", "url"]).select("site", F.explode("locations").alias("url")).distinct()
-        level = children.join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth))
+    parsed = cut(files.select("site", "url", sitemap_entries("xml").alias("e")).select("site", "url", "e.kind", "e.locations"))
+    by_order = Window.partitionBy("site").orderBy("ord")
+    firsts = starts.groupBy("site", "url").agg(F.min("ord").alias("ord")).withColumn("ord", F.row_number().over(by_order))
+    level, depth = firsts.withColumn("followed", F.lit(0)), 0
+    seen: DataFrame | None = None
+    while True:
+        read = level.join(parsed, ["site", "url"]).withColumn("is_index", (F.col("kind") == "sitemapindex") & (F.size("locations") > 0))
+        read = cut(read.withColumn("rank", F.col("followed") + F.sum(F.col("is_index").cast("int")).over(by_order)))
+        here = read.select("site", "url", F.struct(F.lit(depth).alias("depth"), "ord").alias("place"), "kind")
+        seen = here if seen is None else seen.unionByName(here)
+        opened = read.where(F.col("is_index") & (F.col("rank") <= most_indexes))
+        named = opened.select("site", "ord", F.posexplode("locations").alias("pos", "url")).groupBy("site", "url").agg(F.min(F.struct("ord", "pos")).alias("at"))
+        new = named.join(seen.select("site", "url"), ["site", "url"], "left_anti").withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy("at"))).drop("at")
+        followed = read.groupBy("site").agg(F.max("rank").alias("followed"))
+        level, depth = cut(new.join(followed, "site")), depth + 1
         if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    files_order = Window.partitionBy("site").orderBy("depth", "url")
-    kept = seen.withColumn("n", F.row_number().over(files_order)).where(F.col("n") <= most_indexes)
-    found = kept.join(parsed.where("kind = 'urlset'"), ["site", "url"]).select("site", "n", F.posexplode("locations").alias("pos", "page"))
-    first = found.groupBy("site", "page").agg(F.min(F.struct("n", "pos")).alias("at"))
-    return first.withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy("at"))).where(F.col("ord") <= most_urls).select("site", "ord", "page")
+            return seen.where("kind = 'urlset'").select("site", "url", "place").join(parsed.select("site", "url", "locations"), ["site", "url"])
+
+
+def sitemap_urls(files: DataFrame, starts: DataFrame, most_indexes: int = MOST_INDEXES, most_urls: int = MOST_URLS) -> DataFrame:
+    """files (site, url, xml), starts (site, url, ord) -> site, ord, page: the first most_urls URLs of each site's walk (see sitemap_files)."""
+    found = sitemap_files(files, starts, most_indexes).select("site", "place", F.posexplode("locations").alias("pos", "page"))
+    first = found.groupBy("site", "page").agg(F.min(F.struct("place", "pos")).alias("at"))
+    ranked = first.withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy("at")))  # a limit by rank is taken before the shuffle
+    return ranked.where(F.col("ord") <= most_urls).select("site", "ord", "page")
+
+
+def llms_preview(body: Column) -> tuple[Column, Column]:
+    """What is kept of an llms.txt: its first 500 characters, and its length; null without a body."""
+    return F.substring(body, 1, 500), F.coalesce(F.length(body), F.lit(0))
 
 
 def backlinks(payload: Column) -> Column:
-    """The figures of a one-row CSV (; or ,) or JSON body; what is not a number is null."""
-    delimiter = F.when(F.split(payload, "\n")[0].contains(";"), ";").otherwise(",")
-    names = F.transform(F.split(F.split(payload, r"\r?\n")[0], F.lit("[;,]")), lambda n: F.trim(n))
-    values = F.split(F.split(payload, r"\r?\n")[1], F.when(delimiter == ";", ";").otherwise(","))
+    """The figures of a one-row CSV (; or ,; fields may be quoted) or JSON body; thousands may be parted by commas; what is not a number is null."""
+    lines = F.split(payload, r"\r?\n")
+    delimiter = F.when(F.get(lines, F.lit(0)).contains(";"), ";").otherwise(",")
+    bare = lambda v: F.regexp_replace(F.trim(v), r'^"(.*)"$', "$1")
+    # delimiters inside quotes part nothing
+    fields_of = lambda i: F.transform(F.split(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), F.concat(delimiter, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)'))), bare)
+    names, values = fields_of(0), fields_of(1)
     fields = ("ascore", "backlinks_num", "domains_num", "ips_num", "ipclass_c_num", "follows_num", "nofollows_num")
     as_json = F.trim(payload).startswith("{")
     plain = lambda v: F.replace(F.trim(v), F.lit(","), F.lit("")).try_cast("double")

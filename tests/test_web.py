@@ -60,3 +60,78 @@ def test_registered_domains(spark):
     assert {r.host: (r.suffix, r.registered_domain) for r in suffixes.registered_domains(hosts, rules).collect()} == want
     private = suffixes.registered_domains(spark.createDataFrame([("x.github.io",), ("github.io",)], "host string"), suffixes.common_rules(spark, private=True)).collect()
     assert {(r.host, r.registered_domain) for r in private} == {("x.github.io", "x.github.io"), ("github.io", "")}
+
+
+def test_robots_verdicts_of_small_bodies(spark):
+    bodies = [("empty", ""), ("closed", "User-agent: *\nDisallow: /"), ("tie", "User-agent: *\nDisallow: /\nAllow: /"), ("blank", "User-agent: *\nDisallow:"), ("shared", "User-agent: gptbot\nUser-agent: claudebot\nDisallow: / # all\nSitemap: https://a.example/s.xml"), ("own", "User-agent: *\nDisallow: /\nUser-agent: GPTBot\nAllow: /")]
+    got = {(r.site, r.crawler): (r.matched_agent, r.allowed) for r in structured.robots_verdicts(spark.createDataFrame(bodies, "site string, body string"), ("GPTBot", "Bingbot")).collect()}
+    assert got["empty", "GPTBot"] == ("*", True) and got["closed", "Bingbot"] == ("*", False) and got["tie", "GPTBot"] == ("*", True) and got["blank", "GPTBot"] == ("*", False)
+    assert got["shared", "GPTBot"] == ("gptbot", False) and got["shared", "Bingbot"] == ("*", True) and got["own", "GPTBot"] == ("gptbot", True) and got["own", "Bingbot"] == ("*", False)
+
+
+def walk(files, starts, most_indexes, most_urls):
+    """The walk of one site, file by file."""
+    import xml.etree.ElementTree as ET
+    from collections import deque
+
+    pending, visited, found, indexes = deque(dict.fromkeys(starts)), set(), [], 0
+    while pending and len(found) < most_urls:
+        url = pending.popleft()
+        if url in visited:
+            continue
+        visited.add(url)
+        if url not in files:
+            continue
+        try:
+            root = ET.fromstring(files[url])
+        except ET.ParseError:
+            continue
+        locations = [x.text for x in root.iter() if x.tag == "loc" and x.text]
+        if root.tag == "urlset":
+            found += [u for u in dict.fromkeys(locations) if u not in found]
+        elif locations and indexes < most_indexes:
+            indexes += 1
+            pending += [u for u in locations if u not in visited]
+    return found[:most_urls]
+
+
+def test_sitemap_walk_equals_a_queue(spark):
+    rng = random.Random(9)
+    files, starts, want = [], [], {}
+    for site in (f"s{i}" for i in range(25)):
+        own, names = {}, [f"f{i}" for i in range(12)]
+        for name in names:
+            if rng.random() < 0.85:
+                locs = rng.choices(names, k=rng.randint(0, 5)) if (index := rng.random() < 0.6) else [f"u{rng.randrange(30)}" for _ in range(rng.randint(0, 9))]
+                tag = "sitemapindex" if index else "urlset"
+                own[name] = "<broken" if rng.random() < 0.1 else f"<{tag}>" + "".join(f"<x><loc>{u}</loc></x>" for u in locs) + f"</{tag}>"
+        first = rng.choices(names, k=3)
+        files += [(site, url, xml) for url, xml in own.items()]
+        starts += [(site, url, i) for i, url in enumerate(first)]
+        if expected := walk(own, first, 4, 7):
+            want[site] = expected
+    frame, begin = spark.createDataFrame(files, "site string, url string, xml string"), spark.createDataFrame(starts, "site string, url string, ord int")
+    got = {}
+    for r in sorted(structured.sitemap_urls(frame, begin, 4, 7).collect()):
+        got.setdefault(r.site, []).append(r.page)
+    assert got == want and len(want) > 8
+
+
+def test_backlink_payloads(spark):
+    rows = [
+        (1, "ascore;backlinks_num;domains_num;ips_num;ipclass_c_num;follows_num;nofollows_num\n42;1200;88;66;40;720;480"), (2, '{"ascore": "10", "follows_num": "n/a"}'), (3, '"domains_num",ascore\r\n"1,234", 7 '), (4, ""), (5, None), (6, "ascore"),
+        (7, 'ascore;domains_num\n"3";"4;5"'),
+    ]
+    got = {r.id: r.b for r in spark.createDataFrame(rows, "id int, body string").select("id", structured.backlinks(F.col("body")).alias("b")).collect()}
+    assert (got[1].ascore, got[1].backlinks_num, got[1].follow_ratio) == (42, 1200, 0.6) and (got[2].ascore, got[2].backlinks_num, got[2].follow_ratio) == (10, None, None)
+    assert (got[3].ascore, got[3].domains_num) == (7, 1234) and got[4].ascore is None and got[6].ascore is None and (got[7].ascore, got[7].domains_num) == (3, None)
+
+
+def test_json_ld_of_small_blocks(spark):
+    rows = [
+        (1, ['{"@type":"Corporation","@id":"https://example.com/#org"}'], "Example"), (2, ['{"@type":"Article","headline":"Battery backup overview","description":"Battery backup overview","datePublished":"2025-01-10"}'], "Battery backup overview. Last updated."),
+        (3, ["not-json", '{"@type":["https://schema.org/ProductModel","http://schema.org/Offer"]}'], ""), (4, ['{"@graph":[{"@type":"Organization","brand":{}}]}'], "x"), (5, ["not-json"], "x"),
+    ]
+    out = {r.id: r for r in structured.summarize(spark.createDataFrame(rows, "id int, json_ld array<string>, text string"), "id").collect()}
+    assert [out[i].json_ld_present for i in range(1, 6)] == [True] * 4 + [False] and out[1].has_organization and out[2].has_article and out[3].has_product
+    assert [out[i].visible_alignment_score for i in range(1, 6)] == [50, 100, 50, 50, 0] and out[4].relation_count == 2
