@@ -22,7 +22,7 @@ c = F.col
 HOME = ["title", "meta_description", "canonical", "lang", "viewport", "open_graph_present", "twitter_card_present", "hreflang_present", "hreflangs", "h1_count", "first_h1", "html_length", "word_count", "image_score", "lazy_ratio", "sync_scripts", "stylesheets", "ga4", "gsc_verification", "has_publish_date", "has_update_log", "citability_score", "page_url"]
 READ = ["has_faq", "has_author", "has_publish_date", "has_quantified_data", "has_reference_section", "has_inline_citations", "has_tldr", "has_update_log", "answer_first", "word_count", "heading_quality_score", "information_density_score", "chunk_structure_score", "descriptive_internal_link_ratio", "descriptive_external_link_ratio"]
 CONTENT_KINDS = ("service", "article", "about", "case_study")
-TYPES = ["has_organization", "has_website", "has_service", "has_article", "has_faq_page", "has_product", "has_defined_term", "has_breadcrumb_list", "has_date_published", "has_date_modified"]
+TYPES = ["has_organization", "has_local_business", "has_website", "has_service", "has_article", "has_faq_page", "has_product", "has_defined_term", "has_breadcrumb_list", "has_date_published", "has_date_modified"]
 SIGNALS = ("company_name_detected", "address_detected", "phone_detected", "email_detected", "awards_detected", "certifications_detected")
 
 

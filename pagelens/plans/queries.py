@@ -417,4 +417,4 @@ def site_reports(spark, sf_dir):
     return report.site_reports(sites, modules.action_plan(sites))
 
 
-from pagelens.plans import entity_queries, store_queries, web_queries  # noqa: E402,F401  their queries join the catalogue
+from pagelens.plans import entity_queries, finding_queries, store_queries, web_queries  # noqa: E402,F401  their queries join the catalogue
