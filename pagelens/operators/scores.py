@@ -71,9 +71,20 @@ def scored_pages(profiles: DataFrame) -> DataFrame:
     return out.withColumns({"status": status(c("overall_score")), "citation_probability": citation_probability(c("citability_score"))})
 
 
+# Words of a whole URL that tell further types of page, first match first.
+EXTRA_TYPES = {
+    "product": ["product", "products", "item", "sku", "shop", "produit", "produits", "produkt"], "faq": ["faq", "help", "support", "fragen", "vragen", "aide"],
+    "documentation": ["docs", "documentation", "guide", "manual", "gids", "handleiding", "dokumentation"], "comparison": ["compare", "comparison", "vs"],
+}
+KEY_TYPES = ("homepage", "about", "contact", "case_study")
+
+
 def page_type() -> Column:
-    """Editorial page types by the whole URL: product, faq, documentation, comparison, else article or page by its type."""
-    return F.when(c("url_type") == "blog", "article").when(c("url_type") == "docs", "documentation").otherwise(c("url_type"))
+    """The key types by url_type; else product, faq, documentation or comparison by words anywhere in the URL; else article for a blog, or page."""
+    out = F.when(c("url_type").isin(*KEY_TYPES), c("url_type"))
+    for name, words in EXTRA_TYPES.items():
+        out = out.when(F.lower("page_url").rlike("|".join(words)), name)
+    return out.when(c("url_type") == "blog", "article").otherwise("page")
 
 
 def issues() -> Column:

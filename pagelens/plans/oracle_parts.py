@@ -161,7 +161,8 @@ s as (select *, {score('citability_score::double * 0.35::double + content_score:
       case when citability_score >= 75 and {SUPPORT} >= 2 then 'HIGH' when citability_score >= 55 then 'MEDIUM' else 'LOW' end as citation_probability from s0)
 """
 
-_EDITORIAL = "url_type in ('blog', 'docs')"
+_WORDS = lambda *kinds: "regexp_matches(lower(page_url), '" + "|".join(w for k in kinds for w in scores.EXTRA_TYPES[k]) + "')"
+_EDITORIAL = f"(url_type not in ('homepage', 'about', 'contact', 'case_study') and not {_WORDS('product', 'faq')} and ({_WORDS('documentation')} or (url_type = 'blog' and not {_WORDS('comparison')})))"
 #: The rules that pages without structured data can break: position in the rule list, category, condition.
 RULES = (
     (0, "citability", "citability_score < 60"), (1, "content", "content_score < 60"), (2, "evidence", "not has_reference_section and has_quantified_data"), (3, "evidence", "not has_inline_citations and has_reference_section"),

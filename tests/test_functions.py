@@ -48,3 +48,11 @@ def test_heading_quality(spark):
     strings = lambda *x: F.array(*map(F.lit, x))
     row = one(spark, good=T.heading_quality(strings("h1", "h2", "h3"), strings("a", "b", "c")), skip=T.heading_quality(strings("h1", "h3", "h3"), strings("a", "b", "b")), none=T.heading_quality(F.array().cast("array<string>"), F.array().cast("array<string>")))
     assert (row.good, row.skip, row.none) == (100, 70, 0)
+
+
+def test_page_types_by_the_whole_url(spark):
+    from pagelens.operators import scores
+
+    rows = [("https://a.example/", "homepage", "homepage"), ("https://a.example/blog/x", "blog", "article"), ("https://a.example/blog/PRODUCT-news", "blog", "product"), ("https://a.example/x?help=1", "page", "faq"), ("https://guide.example/x", "page", "documentation"), ("https://a.example/docs/shop", "docs", "product"), ("https://a.example/a-vs-b", "page", "comparison"), ("https://a.example/about/docs", "about", "about"), ("https://a.example/x", "landing", "page")]
+    frame = spark.createDataFrame(rows, "page_url string, url_type string, want string")
+    assert [r.got for r in frame.withColumn("got", scores.page_type()).orderBy(*frame.columns).collect()] == [r[2] for r in sorted(rows)]
