@@ -148,7 +148,7 @@ def test_entity_graph_reads_whole_texts(spark):
     for i in range(20):
         assert {("specification", f"Rated {i} Ah"), ("sentiment_claim", f"Customers saw {i}"), ("use_case", f"trip number {i}"), ("feature", f"charging mode {i}")} <= found
     short = entity_graph.candidates(entity_pages(spark, text[-1700:], []), entity_graph.AUDITED)[0].groupBy("entity_type").count().collect()
-    assert {r.entity_type: r["count"] for r in short if r.entity_type not in ("brand", "source_page", "product_model")} == {"feature": 6, "specification": 10, "use_case": 8, "sentiment_claim": 6}
+    assert {r.entity_type: r["count"] for r in short if r.entity_type not in ("brand", "source_page", "product_model")} == {"feature": 4, "specification": 10, "use_case": 8, "sentiment_claim": 6}
 
 
 def test_upsert_rules_and_idempotence(spark):
