@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls
+from pagelens.operators.localize import localized
 from pagelens.operators.modules import DIMENSIONS, PLATFORM_GAPS
 
 c, lit = F.col, F.lit
@@ -174,9 +175,9 @@ def with_findings(sites: DataFrame) -> DataFrame:
     return out.select("site_id", "host", "composite_score", "status", *DIMENSIONS.values(), F.inline(F.array(F.struct(*named))))
 
 
-def site_findings(sites: DataFrame) -> DataFrame:
-    """A row for each finding of each module of each site: site_id, module, kind, pos, finding."""
-    found = with_findings(sites)
+def site_findings(sites: DataFrame, language: str = "en") -> DataFrame:
+    """A row for each finding of each module of each site: site_id, module, kind, pos, finding, in a language."""
+    found = localized(with_findings(sites), language, [f"{m}_found" for m in MODULES])
     kinds = [F.struct(lit(m).alias("module"), lit(kind[:-1]).alias("kind"), c(f"{m}_found.{kind}").alias("texts")) for m in MODULES for kind in ("issues", "strengths", "recommendations")]
     each = found.select("site_id", F.explode(F.array(*kinds)).alias("x")).select("site_id", "x.module", "x.kind", F.posexplode("x.texts").alias("pos", "finding"))
     return each.withColumn("pos", c("pos") + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import findings
+from pagelens.operators import findings, localize
 from pagelens.plans import oracle_parts as O
 from pagelens.plans import oracle_site as S
 from pagelens.plans.catalogue import query
@@ -66,6 +66,18 @@ def site_findings(spark, sf_dir):
     return findings.site_findings(_sites(spark, sf_dir))
 
 
+_FOUND = "x as (" + " union all ".join(f"select site_id, '{m}' as module, '{k}' as kind, {m}_{k} as texts from fl" for m in findings.MODULES for k in ("issue", "strength", "recommendation")) + "), y as (select site_id, module, kind, generate_subscripts(texts, 1)::int as pos, unnest(texts) as finding from x)"
+_ZH = "case finding " + " ".join(f"when {O.q(k)} then {O.q(v)}" for k, v in localize.PHRASES["zh"].items()) + " else case " + " ".join(f"when regexp_matches(finding, {O.q(p)}) then regexp_replace(finding, {O.q(p)}, {O.q(r.replace('$1', chr(92) + '1'))})" for p, r in localize.TEMPLATES["zh"]) + " else finding end end"
+
+
+@query(f"with {_rules_sql()}, {_FOUND} select site_id, module, kind, pos, {_ZH} as finding from y")
+def site_findings_localized(spark, sf_dir):
+    """The findings of all sites in Chinese, translated inside their nested lists."""
+    from pagelens.plans.queries import _sites
+
+    return findings.site_findings(_sites(spark, sf_dir), "zh")
+
+
 _VIEWS = {
     "visibility": ("case when len(ai_issue) > 0 then ai_issue else visibility_issue[1:2] end", "case when len(ai_recommendation) > 0 then ai_recommendation else visibility_recommendation[1:2] end"),
     "brand": (f"case when len(brand_issue) > 0 then brand_issue else [{O.q(findings.BRAND_ISSUE)}] end", f"case when len(brand_recommendation) > 0 then brand_recommendation else [{O.q(findings.BRAND_ADVICE)}] end"),
