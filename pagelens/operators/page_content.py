@@ -9,6 +9,7 @@ from pagelens.functions import text as T
 from pagelens.functions import urls
 from pagelens.functions.numbers import blend, points, score
 from pagelens.operators.scores import filled, flag
+from pagelens.operators.shared import numbered
 from pagelens.sources import pages as P
 from pagelens.sources import structured
 
@@ -127,13 +128,18 @@ def audit_candidates(sites: DataFrame, candidates: DataFrame, known: DataFrame,
 
 
 def merge_candidates(*groups: DataFrame) -> DataFrame:
-    """Groups of (site_id, pos, url, source) in order of precedence -> each URL once, with the source that named it first."""
+    """Groups of (site_id, pos, url, source) in order of precedence -> site_id, url, source, ord: each URL of a site once, with the source that named it first.
+
+    ord counts a site's URLs from 1 by group and pos, then URL.  All sites are numbered in one sort by ranges, so a site of any size is dealt over tasks.
+    """
     rows = None
     for i, group in enumerate(groups):
-        own = group.select("site_id", F.struct(F.lit(i).alias("g"), "pos").alias("at"), urls.normalize_url(c("url")).alias("url"), "source")
+        own = group.select("site_id", F.lit(i).alias("_group"), c("pos").cast("long").alias("_pos"), urls.normalize_url(c("url")).alias("url"), "source")
         rows = own if rows is None else rows.unionByName(own)
-    first = rows.where("url is not null").groupBy("site_id", "url").agg(F.min(F.struct("at", "source")).alias("f"))
-    return first.select("site_id", "url", "f.source", F.row_number().over(Window.partitionBy("site_id").orderBy("f.at")).alias("ord"))
+    first = rows.where("url is not null and site_id is not null").groupBy("site_id", "url").agg(F.min(F.struct("_group", "_pos", "source")).alias("f")).select("site_id", "url", "f.*")
+    counted, _ = numbered(first, ["site_id", "_group", "_pos", "url"], 0, "_number")
+    begins = counted.groupBy("site_id").agg(F.min("_number").alias("_begin"))
+    return counted.join(begins, "site_id").select("site_id", "url", "source", (c("_number") - c("_begin") + 1).alias("ord"))
 
 
 def indexability(pages: DataFrame) -> DataFrame:

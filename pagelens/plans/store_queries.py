@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions import urls
-from pagelens.operators import graph, rollup, store, task_graphs
+from pagelens.operators import graph, page_content, rollup, store, task_graphs
 from pagelens.operators.assets import AssetStore
 from pagelens.operators.graph_store import GraphStore, projected
 from pagelens.operators.profiles import page_profiles
@@ -222,3 +222,28 @@ def asset_store_state(spark, sf_dir):
     assets.save_snapshots(crawl(pages.where("page_id % 7 = 0"), "recrawl", "2024-08-01", F.least(own, F.lit(5))))
     stored = assets.snapshots().select("site_id", "url_hash", F.col("profile_json").alias("stored"))
     return assets.urls().join(stored, ["site_id", "url_hash"], "left").select("site_id", "url_hash", "url_type", "priority", "discovery_source", "fetch_status", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "stored")
+
+
+@query(f"""with {O.URLS}, g as (select site_id, page_url as url, 0 as g, page_id as pos, 'entry' as source from u where segs = [] union all select site_id, page_url, 1, -page_id, 'sitemap' from u where page_id % 3 = 0 union all select site_id, page_url, 2, page_id, 'internal_link' from u),
+f as (select site_id, url, min((g, pos, source)) as f from g group by 1, 2) select site_id, url, f[3] as source, row_number() over (partition by site_id order by f[1], f[2], url) as ord from f""".replace("min((g, pos, source)) as f from g", "min({'g': g, 'p': pos, 's': source}) as f from g").replace("f[3]", "f.s").replace("f[1], f[2]", "f.g, f.p"))
+def discovery_merge(spark, sf_dir):
+    """Each site's URLs once, in order, by the source that named them first: homepages, a drawn sitemap (page ids that 3 divides, last first), links (all)."""
+    u = F.col("page_url")
+    pages = read_pages(spark, sf_dir).select("page_id", urls.normalize_url(F.col("url")).alias("page_url")).where("page_url is not null").withColumn("site_id", urls.site_id(u))
+    group = lambda rows, source, pos: rows.select("site_id", pos.alias("pos"), u.alias("url"), F.lit(source).alias("source"))
+    at = F.col("page_id")
+    return page_content.merge_candidates(group(pages.where(F.size(urls.segments(u)) == 0), "entry", at), group(pages.where("page_id % 3 = 0"), "sitemap", -at), group(pages, "internal_link", at))
+
+
+@query(f"""with {O.URLS}, s as (select page_id as snapshot_id, page_url as normalized_url, case when page_id % 2 = 0 then page_url || '?final' else page_url end as final_url, page_id % 28 as day from u where page_id % 3 <> 0),
+l as (select normalized_url as url, snapshot_id, day from s union select final_url, snapshot_id, day from s), b as (select * from l qualify row_number() over (partition by url order by day desc, snapshot_id desc) = 1),
+w as (select distinct page_url as url from u union select distinct page_url || '?final' from u)
+select w.url, b.snapshot_id, b.snapshot_id is null as to_fetch from w left join b on w.url = b.url""")
+def snapshot_reuse(spark, sf_dir):
+    """Which of the URLs, as given and as redirected, have a stored snapshot: the latest under either of its URLs (page ids that 3 does not divide have one)."""
+    u = F.col("page_url")
+    pages = read_pages(spark, sf_dir).select("page_id", urls.normalize_url(F.col("url")).alias("page_url")).where("page_url is not null")
+    final = F.concat(u, F.lit("?final"))
+    snapshots = pages.where("page_id % 3 <> 0").select(F.col("page_id").alias("snapshot_id"), u.alias("normalized_url"), F.when(F.col("page_id") % 2 == 0, final).otherwise(u).alias("final_url"), (F.col("page_id") % 28).alias("fetched_at"))
+    wanted = pages.select(F.explode(F.array(u, final)).alias("url")).distinct()
+    return store.reuse_snapshots(wanted, snapshots).select("url", "snapshot_id", "to_fetch")

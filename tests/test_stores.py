@@ -225,3 +225,22 @@ def test_task_graphs(spark):
 def test_table_schemas(spark):
     assert len(schemas.TABLES) == 8 and {len(t) for t in schemas.TABLES.values()} == {14, 14, 22, 11, 13, 12, 19}
     assert spark.createDataFrame([], schemas.GRAPH_EDGES).columns[:3] == ["edge_id", "site_id", "edge_key"] and schemas.GRAPH_ENTITIES["confidence"].dataType.simpleString() == "decimal(5,2)"
+
+
+def test_small_merges(spark):
+    from pagelens.operators import crawler, page_content, store
+
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    grown = store.ensure_rows(old, spark.createDataFrame([("b", 9), ("c", 3), ("c", 3)], "k string, v int"), ["k"])
+    assert sorted(map(tuple, grown.collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    rows = spark.createDataFrame([("s", "success"), ("t", "success"), (None, "pending")], "site_id string, fetch_status string")
+    marked = store.mark_stale(rows, spark.createDataFrame([("s",), ("s",), ("none",)], "site_id string"))
+    assert sorted((r.site_id or "", r.fetch_status) for r in marked.collect()) == [("", "pending"), ("s", "stale"), ("t", "success")]
+    group = lambda *r: spark.createDataFrame(list(r), "site_id string, pos int, url string, source string")
+    merged = page_content.merge_candidates(group(("s", 5, "https://a.example/b", "one"), ("s", 2, "https://A.example/a", "one"), ("t", 1, None, "one")), group(("s", 0, "https://a.example/a", "two"), ("s", 9, "https://a.example/c#x", "two"), ("u", 1, "", "two"), (None, 1, "https://x.example", "two")))
+    assert [(r.site_id, r.url, r.source, r.ord) for r in sorted(merged.collect(), key=lambda r: (r.site_id, r.ord))] == [("s", "https://a.example/a", "one", 1), ("s", "https://a.example/b", "one", 2), ("s", "https://a.example/c", "two", 3)]
+    many = group(*[("hot", i, f"https://h.example/{i}", "one") for i in range(3000)], *[(f"s{i}", 0, f"https://x{i}.example", "one") for i in range(50)])
+    got = page_content.merge_candidates(many.repartition(7)).collect()
+    assert sorted(r.ord for r in got if r.site_id == "hot") == list(range(1, 3001)) and all(r.url.endswith(f"/{r.ord - 1}") for r in got if r.site_id == "hot") and all(r.ord == 1 for r in got if r.site_id != "hot")
+    codes = spark.createDataFrame([(None,), (200,), (301,), (404,), (429,), (500,)], "status int")
+    assert [r.o for r in codes.select(crawler.http_outcome(F.col("status")).alias("o")).collect()] == ["network_error", "success", "redirect", "http_error", "rate_limited", "http_error"]
