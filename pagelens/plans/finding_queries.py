@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import findings, localize
+from pagelens.operators import findings, localize, scores
+from pagelens.operators.profiles import page_profiles
 from pagelens.plans import oracle_parts as O
 from pagelens.plans import oracle_site as S
+from pagelens.plans import site_inputs
 from pagelens.plans.catalogue import query
+from pagelens.sources.pages import read_pages
 
 #: module -> rule -> (condition, what a strength needs besides); conditions over the oracle's table m.
 CONDITIONS = {
@@ -99,3 +102,36 @@ def site_summary(spark, sf_dir):
     out = findings.site_summary(_sites(spark, sf_dir))
     plan = F.array_join(F.transform("plan", lambda s: F.concat_ws("|", s["priority"], s["module"], s["action"])), "\n")
     return out.select("site_id", "summary", F.array_join("top_issues", "\n").alias("top_issues"), F.array_join("quick_wins", "\n").alias("quick_wins"), plan.alias("plan"))
+
+
+# -- pages with drawn elements: structured data, metadata and canonical links count ---------------
+
+_IS = lambda name: f"list_contains(types, '{name}')"
+_TECHNICAL = O.score(O.points((20, "title is not null"), (15, "meta_description is not null"), (15, "canonical is not null"), (10, "lang is not null"), (10, "h1_count = 1")) + " + case when heading_count >= 3 then 20 when heading_count > 0 then 10 else 0 end + case when word_count >= 250 then 20 when word_count >= 100 then 10 else 0 end")
+_SCHEMA = O.score(O.points((18, "ld"), (15, _IS("Organization")), (15, _IS("Service")), (10, _IS("Article")), (10, _IS("FAQPage")), (10, _IS("Product")), (6, _IS("DefinedTerm")), (5, "pub"), (5, "mod"), (5, "alignment >= 60"), (10, "same_as")))
+_DRAWN = f"""{S.ELEMENTS_SQL}, s0 as (select *, {O.CONTENT} as content_score, {_TECHNICAL} as technical_score, {_SCHEMA} as schema_score from e),
+s as (select *, {O.score("citability_score::double * 0.35::double + content_score::double * 0.3::double + technical_score::double * 0.2::double + schema_score::double * 0.15::double")} as overall_score from s0)"""
+_DRAWN_RULES = sorted([*O.RULES, (8, "schema", "schema_score >= 50 and alignment < 60"), (9, "freshness", "ld and not pub and not mod")])
+
+
+def _drawn_scores(spark, sf_dir):
+    return scores.scored_pages(page_profiles(site_inputs.with_elements(read_pages(spark, sf_dir))))
+
+
+@query(f"with {_DRAWN} select page_id, citability_score, content_score, technical_score, schema_score, overall_score, {O.status('overall_score')} as status from s")
+def drawn_page_scores(spark, sf_dir):
+    """The scores of every page with drawn elements, structured data included."""
+    return _drawn_scores(spark, sf_dir).select("page_id", "citability_score", "content_score", "technical_score", "schema_score", "overall_score", "status")
+
+
+@query(f"with {_DRAWN} " + " union all ".join(f"select page_id, {i} as ord, {O.q(c)} as category from s where {t}" for i, c, t in _DRAWN_RULES))
+def drawn_page_issues(spark, sf_dir):
+    """The issues of every page with drawn elements; on the given tables no page breaks the rules 3, 6, 10 and 11."""
+    return _drawn_scores(spark, sf_dir).select("page_id", F.explode(scores.issues()).alias("x")).select("page_id", "x.ord", "x.category")
+
+
+@query(f"""with {_DRAWN}, d as (select *, {O.points(*[(1, f"({t})") for _, _, t in _DRAWN_RULES])} as issue_count from s), r as (select *, row_number() over (partition by site_id order by overall_score, issue_count desc, page_url, page_id) as rank from d)
+select site_id, rank, page_id, page_url, overall_score, {O.status('overall_score')} as status, citability_score, content_score, technical_score, schema_score, issue_count from r where rank <= 12""")
+def drawn_page_diagnostics_topk(spark, sf_dir):
+    """The twelve worst pages of each site, with drawn elements."""
+    return scores.worst_pages(_drawn_scores(spark, sf_dir))
