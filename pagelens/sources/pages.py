@@ -30,10 +30,15 @@ def fixed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*others, F.inline(F.array(F.struct(*names)))).select(df.columns)
 
 
+#: Bytes a core of a table that is dealt before its texts are searched; a larger one has splits enough, and moving it would cost more than it saves.
+SMALL_SHARE = 32 << 20
+
+
 def dealt(df: DataFrame) -> DataFrame:
-    """A table of few splits is dealt over all cores before its texts are searched; a large one has splits enough."""
+    """A small table of few splits is dealt over all cores before its texts are searched; any other stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size > cores * SMALL_SHARE or df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,3 +202,14 @@ def test_batches_rewrite_the_buckets_they_touch(spark, tmp_path):
     assert second.version == 2 and second.counters == {"batch": 1} and 1 <= sum(second.folders["pages"][b] != first[b] for b in first) <= 2
     rows = {r.url_hash: r.content_hash for r in merged_pages(spark, str(tmp_path)).collect()}
     assert len(rows) == 60 and rows["h1"] == "c" and rows["h2"] == "a"
+
+
+def test_only_small_tables_are_dealt(spark, tmp_path, monkeypatch):
+    from pagelens.sources import pages as P
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = lambda: spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert P.dealt(table()).rdd.getNumPartitions() == 2 * cores and P.dealt(spark.range(0, 100, 1, cores)).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(P, "SMALL_SHARE", 0)
+    assert P.dealt(table()).rdd.getNumPartitions() == 1
