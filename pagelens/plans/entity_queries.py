@@ -27,7 +27,8 @@ def _candidates(spark, sf_dir):
     c = F.col
     site, kind = F.coalesce("source", F.lit("none")), F.pmod("doc_id", F.lit(4))
     text = F.coalesce("text", F.lit(""))
-    documents = dealt(table(spark, sf_dir, "documents")).withColumn("text", F.expr(DRAWN))
+    # a null text is an empty one before pieces of it are drawn: concat here is null where one of them is
+    documents = dealt(table(spark, sf_dir, "documents")).withColumn("text", text).withColumn("text", F.expr(DRAWN))
     pages = documents.select(
         site.alias("site_id"), c("doc_id").alias("page_id"), F.struct("doc_id").alias("ord"), F.concat(F.lit("https://"), site, F.lit(".example/"), "doc_id").alias("page_url"),
         F.when(kind == 0, "product").when(kind == 1, "landing").when(kind == 2, "service").otherwise("page").alias("url_type"), F.concat(F.lit("document "), "doc_id").alias("title"), "lang", F.length(text).cast("long").alias("word_count"),
@@ -68,7 +69,8 @@ e as (select site_id, page_id, k_brand as entity_key, 'brand' as entity_type, si
  union all select site_id, page_id, k_offer, offer, title, page_url, 84 from b where offer is not null union all select site_id, page_id, k_value, {_of(0)}, value, null, {_of(1, False)} from w)
 select site_id, entity_key, entity_type, arg_min(name, (page_id, name)) as name, arg_min(entity_url, (page_id, entity_url)) filter (where entity_url <> '') as entity_url, max(confidence)::double as confidence, count(distinct page_id) as pages from e group by 1, 2, 3""")
 def entity_graph_entities(spark, sf_dir):
-    return graph.merge_entities(_candidates(spark, sf_dir)[0])
+    merged = graph.merge_entities(_candidates(spark, sf_dir)[0])
+    return merged.withColumn("name", F.coalesce("name", F.lit("")))  # the merge keeps no empty names; the brand of an empty source has one
 
 
 _EDGES = f"""{_BASE},
