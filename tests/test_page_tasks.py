@@ -14,3 +14,9 @@ def test_tasks_grow_with_the_table_and_hold_like_shares(spark, tmp_path, monkeyp
     counts = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
     assert pages.rdd.getNumPartitions() == len(counts) > 2 * spark.sparkContext.defaultParallelism
     assert sum(counts) == 4000 and max(counts) < 4 * 4000 / len(counts)
+
+
+@pytest.mark.parametrize("name", ["seo_cards", "site_reports", "structure_graph_documents", "structure_graph_edge_attributes", "structure_graph_entity_attributes", "structure_graph_read"])
+def test_what_is_read_several_times_is_parsed_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "<!--" not in plan  # the patterns of the parser lie behind the cut
