@@ -56,19 +56,25 @@ HOT = 512
 MOST_HOT = 100_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", deal: Column | None = None) -> DataFrame:
+def hot_keys(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """sizes (keys, n), a row a key -> keys and _parts, into how many parts to deal the keys with more than HOT rows; the MOST_HOT with most rows."""
+    hot = sizes.where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("_parts"))
+    # a row of one part that changes nothing: the plan is the same whether or not a key is hot
+    none = sizes.sparkSession.range(1).select(*[F.lit(0).cast(sizes.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("_parts"))
+    return hot.unionByName(none).groupBy(*keys).agg(F.max("_parts").alias("_parts")).orderBy(F.col("_parts").desc(), *keys).limit(MOST_HOT)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", deal: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
     """left joined with right on keys; right has n, how many rows of left have its keys.
 
     Keys with more than HOT rows are dealt over n / HOT parts: left's rows by deal, or
     one by one, and right's rows copied to each part.  The list of such keys is
     broadcast; it has at most MOST_HOT rows, and what it leaves out is joined as any
     other key.  Without deal, left must be written (see cut), since its rows are dealt
-    by their place.
+    by their place.  hot is that list where it is written already; else right's plan is
+    run twice, once for the list.
     """
-    hot = right.where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("_parts"))
-    # a row of one part that changes nothing: the plan is the same whether or not a key is hot
-    none = left.sparkSession.range(1).select(*[F.lit(0).cast(right.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("_parts"))
-    hot = hot.unionByName(none).groupBy(*keys).agg(F.max("_parts").alias("_parts")).orderBy(F.col("_parts").desc(), *keys).limit(MOST_HOT)
+    hot = hot_keys(right, keys) if hot is None else hot
     parts, deal = F.coalesce("_parts", F.lit(1)), F.monotonically_increasing_id() if deal is None else F.xxhash64(deal)
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(deal, parts).cast("int")).drop("_parts")
     copied = right.drop("n").join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")

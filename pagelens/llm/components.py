@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is one aggregation (combined before the shuffle, so a hub costs one row
-a task) and one join back to the edges.  Edges shrink to stars around the
+a task) and one join back to the edges; a large star makes no more edges than it gets,
+so they lose their repeats in the small star only.  Edges shrink to stars around the
 smallest id; rounds grow with the logarithm of a component's diameter.
 """
 
@@ -16,7 +17,7 @@ from pagelens.llm.common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct())
     for _ in range(most_rounds):
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(cut(_large_star(edges))))  # written between, since a small star reads its edges twice
         if _settled(edges):
             break
     else:

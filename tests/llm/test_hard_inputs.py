@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.llm import mixing, near_dedup, substring_dedup, toxicity
+from pagelens.llm import components, mixing, near_dedup, substring_dedup, toxicity
 from pagelens.llm.html_blocks import blocks
 
 
@@ -89,3 +89,18 @@ def test_elements_without_end_tag_leave_the_rest(spark):
         assert text(f"<p>one</p><{tag}>gone</{tag}><p>two</p>") == ["one", "two"], tag
     assert text('<p>one</p><textarea><a "</textarea><p>two</p><svg><!-- </svg><p>three "</p>') == ["one", "two", 'three "']
     assert text("<p>one</p><script>if (a < b) '<p>no</p>'") == ["one"]
+
+
+def test_near_dedup_plans_stay_small(spark, documents, monkeypatch):
+    """The driver holds and plans anew the whole of a query after each of its exchanges; what a query reads twice is written once."""
+    lines = []
+
+    def written(df, write=near_dedup.cut):
+        lines.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return write(df)
+
+    monkeypatch.setattr(near_dedup, "cut", written)
+    monkeypatch.setattr(components, "cut", written)
+    kept = near_dedup.keep_one_each(documents)
+    lines.append(kept._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert max(lines) <= 70, sorted(lines)
