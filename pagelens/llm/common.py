@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +59,12 @@ MOST_HOT = 100_000
 
 def hot_keys(sizes: DataFrame, keys: list[str]) -> DataFrame:
     """sizes (keys, n), a row a key -> keys and _parts, into how many parts to deal the keys with more than HOT rows; the MOST_HOT with most rows."""
-    hot = sizes.where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("_parts"))
-    # a row of one part that changes nothing: the plan is the same whether or not a key is hot
-    none = sizes.sparkSession.range(1).select(*[F.lit(0).cast(sizes.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("_parts"))
-    return hot.unionByName(none).groupBy(*keys).agg(F.max("_parts").alias("_parts")).orderBy(F.col("_parts").desc(), *keys).limit(MOST_HOT)
+    # a row of one part that changes nothing: the plan is the same whether or not a key is hot; it stands for a key like it
+    nothing = [F.lit(0).cast(sizes.schema[k].dataType) for k in keys]
+    other = reduce(Column.__or__, [F.col(k) != x for k, x in zip(keys, nothing)])
+    hot = sizes.where((F.col("n") > HOT) & other).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("_parts"))
+    none = sizes.sparkSession.range(1).select(*[x.alias(k) for k, x in zip(keys, nothing)], F.lit(1).alias("_parts"))
+    return hot.unionByName(none).orderBy(F.col("_parts").desc(), *keys).limit(MOST_HOT)
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", deal: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
@@ -78,4 +81,4 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     parts, deal = F.coalesce("_parts", F.lit(1)), F.monotonically_increasing_id() if deal is None else F.xxhash64(deal)
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(deal, parts).cast("int")).drop("_parts")
     copied = right.drop("n").join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+    return dealt.join(copied.hint("merge"), [*keys, "_part"], how).drop("_part")

@@ -262,6 +262,11 @@ def _block_links(idf: Broadcast, threshold: float):
 # -- the operator ---------------------------------------------------------
 
 
+def _sorted(side: DataFrame) -> DataFrame:
+    """Join it by sorting: both sides are dealt by a key of few rows, and to broadcast one after all takes the driver a stage, a table and two blocks more."""
+    return side.hint("merge")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per row: doc_id, text_key, n_shingles, class_id, kept.
 
@@ -282,37 +287,37 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     # one node per different word sequence, numbered in the order of their smallest doc_ids, which different texts may share
     nodes = signed.where("doc_id is not null and n_shingles > 0").groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     nodes = cut(numbered(nodes.select("w1", "w2", "own.*", "bands", "n"), ["doc_id", "w1", "w2"], 0, "id")[0])
-    placed = cut(nodes.select("id", F.explode(F.array_distinct("bands")).alias("bucket")))
+    placed = nodes.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = cut(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     hot = cut(hot_keys(shared, ["bucket"]))  # hubs and sizes have the same buckets
     members = cut(spread_join(placed, shared.withColumn("size", F.col("n")), ["bucket"], deal=F.col("id"), hot=hot))
     score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    hubs = members.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("n"))
+    hubs = members.join(_sorted(score), "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("n"))
     hubs = cut(hubs.select("bucket", (-F.col("top.minus")).alias("hub"), "n"))
     members = cut(spread_join(members, hubs, ["bucket"], deal=F.col("id"), hot=hot))
     ordered = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     pairs = cut(members.where("id <> hub").select("id", "hub").distinct())
 
-    compared = nodes.join(pairs.select(F.explode(F.array("id", "hub")).alias("id")).distinct(), "id", "left_semi").select("id", "doc_id", "text_key")
-    texts = docs.withColumn("text_key", text_key()).join(compared, ["doc_id", "text_key"]).select("id", "text")
+    compared = nodes.join(_sorted(pairs.select(F.explode(F.array("id", "hub")).alias("id")).distinct()), "id", "left_semi").select("id", "doc_id", "text_key")
+    texts = docs.withColumn("text_key", text_key()).join(_sorted(compared), ["doc_id", "text_key"]).select("id", "text")
     texts = cut(texts.dropDuplicates(["id"]))
 
     def verify(candidates: DataFrame) -> DataFrame:
         """Written candidates (id, hub) -> links (u, v); a hub's text is copied once for every HOT candidates, not into one task."""
         sizes = cut(candidates.groupBy("hub").agg(F.count("*").alias("n")))
-        theirs = sizes.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("text_hub")), "hub")
-        both = spread_join(candidates.join(texts, "id"), theirs, ["hub"], deal=F.col("id"), hot=cut(hot_keys(sizes, ["hub"])))
+        theirs = _sorted(sizes).join(texts.select(F.col("id").alias("hub"), F.col("text").alias("text_hub")), "hub")
+        both = spread_join(_sorted(candidates).join(texts, "id"), theirs, ["hub"], deal=F.col("id"), hot=cut(hot_keys(sizes, ["hub"])))
         return both.select("id", "hub", "text", "text_hub").mapInArrow(_verified(idf, threshold), "id long, hub long").select(*ordered("id", "hub"))
 
     found = components(verify(pairs))
     # who is outside the component of a bucket's hub meets the bucket's members of other components
-    of_hub = hubs.join(found.select(F.col("id").alias("hub"), F.col("component").alias("c_hub")), "hub", "left").select("bucket", "n", F.coalesce("c_hub", "hub").alias("c_hub"))
-    here = members.where("size > 2").join(found.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    of_hub = hubs.join(_sorted(found.select(F.col("id").alias("hub"), F.col("component").alias("c_hub"))), "hub", "left").select("bucket", "n", F.coalesce("c_hub", "hub").alias("c_hub"))
+    here = members.where("size > 2").join(_sorted(found.select("id", F.col("component").alias("c"))), "id", "left").withColumn("c", F.coalesce("c", "id"))
     here = cut(spread_join(here, of_hub, ["bucket"], deal=F.col("id"), hot=hot).select("bucket", "id", "hub", F.col("size").alias("n"), "c", "c_hub"))
     queries, others = here.where("c <> c_hub"), here.where("id <> hub")
-    few = queries.where(F.col("n") <= FEW).select("bucket", "id", "c").join(others.where(F.col("n") <= FEW).select("bucket", F.col("id").alias("hub"), F.col("c").alias("c_b")), "bucket")
+    few = _sorted(queries.where(F.col("n") <= FEW).select("bucket", "id", "c")).join(others.where(F.col("n") <= FEW).select("bucket", F.col("id").alias("hub"), F.col("c").alias("c_b")), "bucket")
     few = few.where("c <> c_b").select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).distinct()
-    few = cut(few.join(pairs.select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")), ["id", "hub"], "left_anti"))
+    few = cut(_sorted(few).join(pairs.select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")), ["id", "hub"], "left_anti"))
     # larger buckets: queries and members are dealt into blocks, every query block meets every member block
     sizes = cut(queries.where(F.col("n") > FEW).groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks"), F.ceil(F.max("n") / BLOCK).alias("m_blocks"), F.max("n").alias("n")))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
@@ -321,17 +326,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         spread_join(queries.drop("n"), sizes, ["bucket"], deal=F.col("id"), hot=hot).select("bucket", "id", "c", F.lit(True).alias("query"), block("q_blocks").alias("i"), every("m_blocks").alias("j")),
         spread_join(others.drop("n"), sizes, ["bucket"], deal=F.col("id"), hot=hot).select("bucket", "id", "c", F.lit(False).alias("query"), every("q_blocks").alias("i"), block("m_blocks").alias("j")),
     ]
-    blocks = dealt[0].unionByName(dealt[1]).join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(_block_links(idf, threshold), "u long, v long")
+    blocks = _sorted(dealt[0].unionByName(dealt[1])).join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(_block_links(idf, threshold), "u long, v long")
     more = [] if few.isEmpty() else [cut(verify(few))]
     more += [] if sizes.isEmpty() else [cut(blocks)]
-    more = [links for links in more if not links.isEmpty()]
+    more = reduce(DataFrame.unionByName, more) if more else None
     idf.destroy()  # all that reads it is written
-    if more:  # the stars found so far stand for their links
-        found = components(reduce(DataFrame.unionByName, more, found.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+    if more is not None and not more.isEmpty():  # the stars found so far stand for their links
+        found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     # a class has the doc_id of its first node, and that node's text stays
     first = nodes.select(F.col("id").alias("component"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"))
-    owners = nodes.select("id", "w1", "w2", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(first, "component").select("w1", "w2", "n", "class_id", "class_key")
+    owners = nodes.select("id", "w1", "w2", "n").join(_sorted(found), "id", "left").withColumn("component", F.coalesce("component", "id")).join(first, "component").select("w1", "w2", "n", "class_id", "class_key")
     signed = signed.drop("bands")
     hot = cut(hot_keys(nodes.select("w1", "w2", "n"), ["w1", "w2"]))
     linked = spread_join(signed.where("n_shingles > 0 and doc_id is not null"), owners, ["w1", "w2"], hot=hot).select("doc_id", "text_key", "n_shingles", "class_id", "class_key")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.llm import components, mixing, near_dedup, substring_dedup, toxicity
+from pagelens.llm import common, components, mixing, near_dedup, substring_dedup, toxicity
 from pagelens.llm.html_blocks import blocks
 
 
@@ -104,3 +104,23 @@ def test_near_dedup_plans_stay_small(spark, documents, monkeypatch):
     kept = near_dedup.keep_one_each(documents)
     lines.append(kept._jdf.queryExecution().optimizedPlan().toString().count("\n"))
     assert max(lines) <= 70, sorted(lines)
+
+
+def test_near_dedup_takes_the_driver_few_stages(spark, documents):
+    """Each stage and each table that is broadcast takes a block of 4 MB of the driver's heap; 123 stages before."""
+    context = spark.sparkContext
+    context.setJobGroup("near", "near")
+    near_dedup.keep_one_each(documents).collect()
+    context.setJobGroup("other", "other")
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("near") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < sum(1 for s in stages if s and s.numCompletedTasks) <= 118
+
+
+def test_key_like_the_row_of_no_key_is_joined_once(spark):
+    left = spark.createDataFrame([(i % 2, i) for i in range(20)], "k long, x long")
+    right = spark.createDataFrame([(0, "a", 10_000), (1, "b", 10_000)], "k long, y string, n long")
+    listed = {r.k: r._parts for r in common.hot_keys(right, ["k"]).collect()}
+    assert listed == {0: 1, 1: 20}
+    got = common.spread_join(left, right, ["k"], deal=F.col("x")).collect()
+    assert sorted((r.k, r.x, r.y) for r in got) == sorted((i % 2, i, "ab"[i % 2]) for i in range(20))
